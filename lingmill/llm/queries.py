@@ -13,6 +13,18 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licenses_query
+
+    return licenses_query(table(spark, sf_dir, "documents"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_query
+
+    return chat_query(table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,5 +51,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_token_counts, op7_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_chat, op3_packing, op6_token_counts, op7_mixing, op10_sharding)}
 ORACLES: dict[str, str] = {}
