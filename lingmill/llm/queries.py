@@ -33,6 +33,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_query(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_query
+
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -51,5 +63,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_chat, op3_packing, op6_token_counts, op7_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_chat, op3_packing, op4_toxicity, op5_minhash, op6_token_counts, op7_mixing, op10_sharding)}
 ORACLES: dict[str, str] = {}
