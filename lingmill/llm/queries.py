@@ -57,11 +57,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_query(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import ann_query
+
+    return ann_query(table(spark, sf_dir, "embeddings"))
+
+
+def op9_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .graph_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import sharding_query
 
     return sharding_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_chat, op3_packing, op4_toxicity, op5_minhash, op6_token_counts, op7_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_chat, op3_packing, op4_toxicity, op5_minhash, op6_token_counts, op7_mixing, op8_ann, op9_graph_dedup, op10_sharding)}
 ORACLES: dict[str, str] = {}
