@@ -15,7 +15,7 @@ link between them can change nothing. In the last round every pair of a bucket w
 members still stand in different components is compared, so no bucket loses a link.
 
 With r = 5 registers a band and 56 bands, a pair at 0.75 shares no bucket with a probability
-under 3e-7. The estimate's standard error at 0.75 is 0.026; pairs are let go below 0.58.
+under 3e-7. The estimate's standard error at 0.75 is 0.026; pairs are let go below 0.63.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ ROWS, BANDS = 5, 56
 REGISTERS = ROWS * BANDS
 #: Base of the registers: 255 levels span set sizes of up to about 3e6.
 BASE = 1.065
-LEAST_ESTIMATE = 0.58
+LEAST_ESTIMATE = 0.63
 
 _U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -181,19 +181,20 @@ def _estimate(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Se
     return pd.Series(np.concatenate(out))
 
 
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets are at least 75 % similar, in whole numbers."""
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= 75 * (len(s) + len(t) - both)
+
+
 @F.pandas_udf(BooleanType())
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes, y: bytes) -> bool:
-        s, t = np.frombuffer(x, dtype=_U64), np.frombuffer(y, dtype=_U64)
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        return 100 * both >= 75 * (len(s) + len(t) - both)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([linked(np.frombuffer(x, dtype=_U64), np.frombuffer(y, dtype=_U64)) for x, y in zip(a, b)], dtype=bool)
 
 
 def _bands(classes: DataFrame) -> DataFrame:
     keys = [F.xxhash64(F.substring("regs", k * ROWS + 1, ROWS), F.lit(k)) for k in range(BANDS)]
-    return classes.select("id", F.explode(F.array(*keys)).alias("key"))
+    return classes.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -215,6 +216,80 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
+def _candidates(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of a bucket's members that stand in different components, whose sizes
+    and registers allow a link, and of whose shared bands this bucket's is the first."""
+    regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint8).reshape(-1, REGISTERS)
+    n, comp, half = pdf["n_shingles"].to_numpy(), pdf["component"].to_numpy(), pdf["half"].to_numpy()
+    band = int(pdf["band"].iloc[0])
+    across = int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0])
+    for x in range(len(pdf) - 1):
+        ys = np.arange(x + 1, len(pdf))
+        ok = (comp[ys] != comp[x]) & (4 * np.minimum(n[ys], n[x]) >= 3 * np.maximum(n[ys], n[x]))
+        if across:
+            ok &= half[ys] != half[x]
+        ys = ys[ok]
+        if not len(ys):
+            continue
+        same = regs[ys] == regs[x]
+        ys, same = ys[(enough := same.sum(1) >= LEAST_ESTIMATE * REGISTERS)], same[enough]
+        first = same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1) == band
+        ys = ys[first]
+        if len(ys):
+            ys = ys[estimate(np.broadcast_to(regs[x], (len(ys), REGISTERS)), regs[ys], np.full(len(ys), float(n[x])), n[ys].astype(float)) >= LEAST_ESTIMATE]
+        if len(ys):
+            yield x, ys
+
+
+def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
+    wanted = np.zeros(len(pdf), dtype=bool)
+    for x, ys in _candidates(pdf):
+        wanted[x] = True
+        wanted[ys] = True
+    return pdf.loc[wanted, ["key", "i", "j", "id"]]
+
+
+def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that connect all that the bucket's confirmed pairs connect, at most one a member."""
+    ids, root = pdf["id"].to_numpy(), {int(c): int(c) for c in pdf["component"]}
+    comp = pdf["component"].tolist()
+    items = [np.frombuffer(b, dtype=_U64) for b in pdf["items"]]
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for x, ys in _candidates(pdf):
+        for y in ys.tolist():
+            p, q = find(comp[x]), find(comp[y])
+            if p != q and linked(items[x], items[y]):
+                root[max(p, q)] = min(p, q)
+                out.append((int(ids[x]), int(ids[y])))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 1024) -> DataFrame:
+    """Links between members of a bucket that still stand in different components.
+
+    Buckets are dealt into pairs of blocks of about `block` members, so no task holds more than
+    two blocks whatever a bucket's size. A first pass over registers finds the members that have
+    a candidate at all; only their sets travel.
+    """
+    placed = members.select("key", "band", "id").join(comps, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    per = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    opened = per.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = placed.join(opened, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    grid = own.withColumn("other", others).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumnRenamed("block", "half")
+    grid = cut(grid.join(classes.select("id", "n_shingles", "regs"), "id").select("key", "band", "i", "j", "half", "id", "component", "n_shingles", "regs"))
+    flagged = cut(grid.groupBy("key", "i", "j").applyInPandas(lambda pdf: _flag(pdf), "key long, i int, j int, id long"))
+    full = grid.join(flagged, ["key", "i", "j", "id"]).join(sets, "id")
+    return full.groupBy("key", "i", "j").applyInPandas(lambda pdf: _confirm(pdf), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -228,7 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(signed.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
     bands = _bands(classes)
     buckets = bands.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot")).filter("members > 1")
-    members = cut(bands.join(buckets.select("key", "pivot"), "key"))
+    members = cut(bands.join(buckets.select("key", "pivot"), "key").select("key", "band", "id", "pivot"))
     pairs = members.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     likely = cut(_likely(pairs, classes))
     # sets of all that share a bucket with anything else, made again from their texts
@@ -242,13 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = components(links)
     links = cut(links.union(_confirmed(_between(likely, comps), sets)))
     comps = components(links)
-    placed = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    left = cut(placed.join(open_keys, "key"))
-    one, other = left.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), left.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = one.join(other, "key").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(likely.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(_confirmed(_likely(rest, classes), sets))
+    more = cut(_rest(members, comps, classes, sets))
     if more.limit(1).count():
         comps = components(links.union(more))
 
