@@ -216,15 +216,52 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
-def _candidates(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, later rows) of a bucket's members that stand in different components, whose sizes
-    and registers allow a link, and of whose shared bands this bucket's is the first."""
-    regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint8).reshape(-1, REGISTERS)
-    n, comp, half = pdf["n_shingles"].to_numpy(), pdf["component"].to_numpy(), pdf["half"].to_numpy()
-    band = int(pdf["band"].iloc[0])
-    across = int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0])
-    for x in range(len(pdf) - 1):
-        ys = np.arange(x + 1, len(pdf))
+Group = dict[str, np.ndarray]
+
+
+def _runs(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[Group]:
+    """Column arrays of each run of equal keys, of frames that are sorted by them."""
+    held: dict[str, list] = {}
+
+    def made() -> Group:
+        return {c: np.concatenate(v) if v[0].dtype != object else np.array([x for part in v for x in part], dtype=object) for c, v in held.items()}
+
+    last = None
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        data = {c: pdf[c].to_numpy() for c in columns}
+        change = np.zeros(len(pdf), dtype=bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
+        first = pdf[keys].iloc[0].tolist()
+        if held and first != last:
+            yield made()
+            held = {}
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            if start and held:
+                yield made()
+                held = {}
+            for c in columns:
+                held.setdefault(c, []).append(data[c][start:end])
+        last = pdf[keys].iloc[-1].tolist()
+    if held:
+        yield made()
+
+
+def _candidates(g: Group, band: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of members that stand in different components and whose sizes and
+    registers allow a link; in a bucket of a band, only pairs that share no earlier band."""
+    comp, half = g["component"], g["half"]
+    if (comp == comp[0]).all():
+        return
+    regs = np.frombuffer(b"".join(g["regs"]), dtype=np.uint8).reshape(-1, REGISTERS)
+    n = g["n_shingles"]
+    across = g["i"][0] != g["j"][0]
+    for x in range(len(comp) - 1):
+        ys = np.arange(x + 1, len(comp))
         ok = (comp[ys] != comp[x]) & (4 * np.minimum(n[ys], n[x]) >= 3 * np.maximum(n[ys], n[x]))
         if across:
             ok &= half[ys] != half[x]
@@ -232,62 +269,94 @@ def _candidates(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
         if not len(ys):
             continue
         same = regs[ys] == regs[x]
-        ys, same = ys[(enough := same.sum(1) >= LEAST_ESTIMATE * REGISTERS)], same[enough]
-        first = same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1) == band
-        ys = ys[first]
+        enough = same.sum(1) >= LEAST_ESTIMATE * REGISTERS
+        if band is not None and enough.any():
+            enough &= same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1) == band
+        ys = ys[enough]
         if len(ys):
             ys = ys[estimate(np.broadcast_to(regs[x], (len(ys), REGISTERS)), regs[ys], np.full(len(ys), float(n[x])), n[ys].astype(float)) >= LEAST_ESTIMATE]
         if len(ys):
             yield x, ys
 
 
-def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
-    wanted = np.zeros(len(pdf), dtype=bool)
-    for x, ys in _candidates(pdf):
-        wanted[x] = True
-        wanted[ys] = True
-    return pdf.loc[wanted, ["key", "i", "j", "id"]]
+class _Union:
+    def __init__(self):
+        self.root: dict[int, int] = {}
 
+    def find(self, x: int) -> int:
+        root = self.root
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect all that the bucket's confirmed pairs connect, at most one a member."""
-    ids, root = pdf["id"].to_numpy(), {int(c): int(c) for c in pdf["component"]}
-    comp = pdf["component"].tolist()
-    items = [np.frombuffer(b, dtype=_U64) for b in pdf["items"]]
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
 
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
 
-    out = []
-    for x, ys in _candidates(pdf):
-        for y in ys.tolist():
-            p, q = find(comp[x]), find(comp[y])
-            if p != q and linked(items[x], items[y]):
-                root[max(p, q)] = min(p, q)
-                out.append((int(ids[x]), int(ids[y])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+_CELL = ["i", "j", "half", "id", "component", "n_shingles", "regs"]
+
+
+def _pairs_frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+
+
+def _flag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each bucket's candidates, as links to a root: at most one row a member."""
+    out: list[tuple[int, int]] = []
+    for g in _runs(frames, ["key", "i", "j"], [*_CELL, "band"]):
+        union, ids = _Union(), g["id"].tolist()
+        for x, ys in _candidates(g, int(g["band"][0])):
+            for y in ys.tolist():
+                union.join(ids[x], ids[y])
+        out += [(x, union.find(x)) for x in list(union.root) if union.find(x) != x]
+        if len(out) > 50_000:
+            yield _pairs_frame(out)
+            out = []
+    yield _pairs_frame(out)
+
+
+def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links that connect all that a cluster's confirmed pairs connect, at most one a component."""
+    for g in _runs(frames, ["cluster", "i", "j"], [*_CELL, "items"]):
+        union, ids, comp = _Union(), g["id"].tolist(), g["component"].tolist()
+        items = [np.frombuffer(b, dtype=_U64) for b in g["items"]]
+        out = []
+        for x, ys in _candidates(g, None):
+            for y in ys.tolist():
+                if union.find(comp[x]) != union.find(comp[y]) and linked(items[x], items[y]):
+                    union.join(comp[x], comp[y])
+                    out.append((ids[x], ids[y]))
+        if out:
+            yield _pairs_frame(out)
+
+
+def _grid(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
+    """Deals the rows of each key into pairs of blocks (i, j) of about `block` rows, so that every pair of rows meets."""
+    own = rows.join(sizes.select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks")), key).withColumn("half", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.withColumn("i", F.least("half", "other")).withColumn("j", F.greatest("half", "other")).drop("other", "blocks")
 
 
 def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 1024) -> DataFrame:
     """Links between members of a bucket that still stand in different components.
 
-    Buckets are dealt into pairs of blocks of about `block` members, so no task holds more than
-    two blocks whatever a bucket's size. A first pass over registers finds the members that have
-    a candidate at all; only their sets travel.
+    Buckets are dealt into pairs of blocks, so no task holds more than two blocks whatever a
+    bucket's size. A first pass over registers finds candidate pairs and returns what they
+    connect; in these clusters, dealt likewise, pairs are confirmed on sets that travel once.
     """
     placed = members.select("key", "band", "id").join(comps, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    per = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    opened = per.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = placed.join(opened, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    grid = own.withColumn("other", others).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumnRenamed("block", "half")
-    grid = cut(grid.join(classes.select("id", "n_shingles", "regs"), "id").select("key", "band", "i", "j", "half", "id", "component", "n_shingles", "regs"))
-    flagged = cut(grid.groupBy("key", "i", "j").applyInPandas(lambda pdf: _flag(pdf), "key long, i int, j int, id long"))
-    full = grid.join(flagged, ["key", "i", "j", "id"]).join(sets, "id")
-    return full.groupBy("key", "i", "j").applyInPandas(lambda pdf: _confirm(pdf), "a long, b long")
+    opened = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    signed = classes.select("id", "n_shingles", "regs")
+    cells = _grid(placed, "key", opened, block).join(signed, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    clusters = components(cells.mapInPandas(_flag, "a long, b long")).withColumnRenamed("component", "cluster")
+    own = clusters.join(comps, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
+    sizes = own.groupBy("cluster").agg(F.count("*").alias("n"))
+    cells = _grid(own, "cluster", sizes, block).join(signed, "id").join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return cells.mapInPandas(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
