@@ -1 +1,152 @@
-"""Queries."""
+"""Batching and token-sequence queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import sequences as s
+from ..operators import batching as b
+from ..operators import noise
+from . import fixtures as fx
+from .registry import query
+
+BOUNDS = [200, 500, 1000, 2000, 4000]
+_CAPS = b.caps(BOUNDS, 8000, 16)
+
+
+def _text(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query(f"WITH {fx.TOKENS} SELECT id, array_to_string(list_concat(list_concat([id % 4 + 5], ids[1:14]), [2]), ',') AS ids FROM tokens")
+def encode_sequence(spark, d):
+    own = fx.tokens(spark, d)
+    return own.select("id", _text(s.encode(F.col("ids"), (F.col("id") % 4 + 5).cast("int"), 2, 16)).alias("ids"))
+
+
+def _numbered(spark, d):
+    return fx.load(spark, d, "documents").select("doc_id", F.col("n_chars").alias("length"))
+
+
+@query("SELECT doc_id, doc_id // 64 AS buffer, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
+def buffer_sort(spark, d):
+    out = b.buffer_sort(_numbered(spark, d), "doc_id", 64, F.col("length"))
+    return out.select("doc_id", F.col("buffer").cast("long").alias("buffer"), F.col("rank").cast("long").alias("rank"))
+
+
+_BUCKET = f"len(list_filter({BOUNDS}, lambda x : x < n_chars))"
+
+
+@query(f"SELECT doc_id, {_BUCKET}::BIGINT AS bucket FROM documents")
+def bucket_assign(spark, d):
+    return _numbered(spark, d).select("doc_id", s.bucket(F.col("length"), BOUNDS).cast("long").alias("bucket"))
+
+
+_BATCHES = f"""WITH k AS (SELECT doc_id, n_chars, {_BUCKET} AS bucket FROM documents), c AS (SELECT *, ({_CAPS})[bucket + 1] AS cap FROM k),
+ batches AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // cap AS batch FROM c)"""
+
+
+def _batches(spark, d):
+    return b.dynamic_batches(_numbered(spark, d), BOUNDS, 8000, order="doc_id", max_examples=16)
+
+
+@query(_BATCHES + " SELECT doc_id, bucket::BIGINT AS bucket, batch::BIGINT AS batch FROM batches")
+def dynamic_batches(spark, d):
+    return _batches(spark, d).select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("batch").cast("long").alias("batch"))
+
+
+@query(_BATCHES + " SELECT bucket::BIGINT AS bucket, count(*) AS n, min(n_chars) AS min_len, max(n_chars) AS max_len, sum(n_chars)::BIGINT AS total, round((max(n_chars) - min(n_chars)) / nullif(avg(n_chars), 0), 6) AS pad_factor, (count(*) // max(cap))::BIGINT AS num_batches FROM batches GROUP BY bucket")
+def bucket_stats(spark, d):
+    return b.bucket_stats(_batches(spark, d)).withColumn("bucket", F.col("bucket").cast("long"))
+
+
+@query(_BATCHES + " SELECT bucket::BIGINT AS bucket, batch::BIGINT AS batch, sum(n_chars)::BIGINT AS total, (max(n_chars) * count(*) - sum(n_chars))::BIGINT AS padding, round(100.0 * (max(n_chars) * count(*) - sum(n_chars)) / nullif(max(n_chars) * count(*), 0), 6) AS padding_pct FROM batches GROUP BY bucket, batch")
+def batch_padding(spark, d):
+    out = b.batch_padding(_batches(spark, d))
+    return out.withColumns({"bucket": F.col("bucket").cast("long"), "batch": F.col("batch").cast("long")})
+
+
+_ORDER = _BATCHES + ", o AS (SELECT bucket, batch, max(n_chars) AS max_len FROM batches GROUP BY bucket, batch), p AS (SELECT *, row_number() OVER (ORDER BY max_len DESC, bucket, batch) - 1 AS position FROM o)"
+
+
+def _order(spark, d):
+    return b.batch_order(_batches(spark, d), "descending").select(F.col("bucket").cast("long").alias("bucket"), F.col("batch").cast("long").alias("batch"), "max_len", F.col("position").cast("long").alias("position"))
+
+
+@query(_ORDER + " SELECT bucket::BIGINT AS bucket, batch::BIGINT AS batch, max_len, position FROM p")
+def batch_order_desc(spark, d):
+    return _order(spark, d)
+
+
+@query(_ORDER + ", n AS (SELECT count(*) AS n FROM p), w AS (SELECT position AS slot, position FROM p UNION ALL SELECT position + n, position FROM p, n WHERE position + n < ceil(n / 4.0) * 4) SELECT slot::BIGINT AS slot, position FROM w WHERE slot % 4 = 1")
+def rank_shard(spark, d):
+    return b.rank_shard(_order(spark, d), "position", 4, 1).select("slot", "position")
+
+
+@query(f"""WITH {fx.TOKENS}, t AS (SELECT id, id // 8 AS batch, ids[1:(id % 30 + 1)] AS x FROM tokens), m AS (SELECT *, least(max(len(x)) OVER (PARTITION BY batch), 24) AS top FROM t)
+ SELECT id, array_to_string(list_transform(range(1, top + 1), lambda k : coalesce(x[k], 1)), ',') AS ids, array_to_string(list_transform(range(1, top + 1), lambda k : CASE WHEN k <= len(x) THEN 1 ELSE 0 END), ',') AS mask FROM m""")
+def pad_and_mask(spark, d):
+    own = fx.tokens(spark, d).select("id", F.floor(F.col("id") / 8).alias("batch"), F.slice("ids", F.lit(1), (F.col("id") % 30 + 1).cast("int")).alias("x"))
+    return b.pad_batch(own, {"x": 1}, ["batch"], 24).select("id", _text("x").alias("ids"), _text("x_mask").alias("mask"))
+
+
+@query(f"""WITH {fx.TOKENS}, p AS (SELECT id, ids AS s, list_reverse(ids) AS t, id % 3 = 0 AS dae FROM tokens)
+ SELECT id, 0 AS side, array_to_string(s, ',') AS input_ids, array_to_string(CASE WHEN dae THEN s ELSE t END, ',') AS labels, CASE WHEN dae THEN 0 ELSE 1 END AS mse FROM p
+ UNION ALL SELECT id, 1, array_to_string(t, ','), array_to_string(CASE WHEN dae THEN t ELSE s END, ','), CASE WHEN dae THEN 0 ELSE 1 END FROM p""")
+def expand_pairs(spark, d):
+    own = fx.tokens(spark, d).select("id", F.col("ids").alias("source_ids"), F.reverse("ids").alias("target_ids"))
+    out = b.expand_pairs(own, F.col("id") % 3 == 0)
+    return out.select("id", "side", _text("input_ids").alias("input_ids"), _text("labels").alias("labels"), "mse")
+
+
+@query(f"""WITH {fx.TOKENS}, n AS (SELECT id, ids, len(ids) - 2 AS n, CASE WHEN len(ids) > 2 THEN (id * 7) % (len(ids) - 2) ELSE 0 END AS k FROM tokens)
+ SELECT id, array_to_string(CASE WHEN n < 2 THEN ids ELSE list_concat(list_concat(ids[1:1], list_concat(ids[k + 2:n + 1], ids[2:k + 1])), ids[n + 2:n + 2]) END, ',') AS ids FROM n""")
+def rotate_tokens(spark, d):
+    return fx.tokens(spark, d).select("id", _text(s.rotate(F.col("ids"), F.col("id") * 7)).alias("ids"))
+
+
+@query(f"WITH {fx.TOKENS} SELECT id, array_to_string(list_transform(ids, lambda x : CASE WHEN x = 13 THEN 0 ELSE x END), ',') AS ids FROM tokens")
+def strip_ignore_index(spark, d):
+    marked = F.transform("ids", lambda x: F.when(x == 13, -100).otherwise(x))
+    return fx.tokens(spark, d).select("id", _text(s.replace_ignored(marked, 0)).alias("ids"))
+
+
+@query()
+def noise_compose(spark, d):
+    """Denoising noise on every document's tokens, with the training ratios."""
+    from ..session import ship_package
+
+    ship_package(spark)
+    own = fx.tokens(spark, d)
+    return own.select("id", _text(noise.noised(F.col("ids"), F.col("id"))).alias("noised"), _text(noise.masked_by_rank(F.col("ids"), F.col("id"), 0.3, 3)).alias("masked"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def first_n(spark, d):
+    """The feature itself: the first rows by position."""
+    return fx.load(spark, d, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(100)
+
+
+@query("SELECT event_id, value * 16000 AS length FROM events WHERE value * 16000 > 16000 AND value * 16000 < 320000")
+def audio_length_range(spark, d):
+    own = fx.load(spark, d, "events").select("event_id", (F.col("value") * 16000).alias("length"))
+    return b.length_between(own, "length", 1.0, 20.0)
+
+
+@query("SELECT lang, doc_id, n_chars FROM documents ORDER BY n_chars DESC, lang DESC, doc_id DESC")
+def multi_key_sort(spark, d):
+    return fx.load(spark, d, "documents").select("lang", "doc_id", "n_chars").orderBy(F.desc("n_chars"), F.desc("lang"), F.desc("doc_id"))
+
+
+@query("SELECT i, d.doc_id, d.n_chars FROM (SELECT doc_id AS i, (doc_id * 3) % 97 AS doc_id FROM documents) JOIN documents d USING (doc_id)")
+def gather_positions(spark, d):
+    own = fx.load(spark, d, "documents")
+    wanted = own.select(F.col("doc_id").alias("i"), (F.col("doc_id") * 3 % 97).alias("doc_id"))
+    return b.gather(own.select("doc_id", "n_chars"), wanted, "doc_id").select("i", "doc_id", "n_chars")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS ordinal FROM documents")
+def global_ordinal(spark, d):
+    w = Window.orderBy("source", "doc_id")
+    return fx.load(spark, d, "documents").select("doc_id", (F.row_number().over(w).cast("long") - 1).alias("ordinal"))
