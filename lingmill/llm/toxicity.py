@@ -67,7 +67,7 @@ def shouting(text: str) -> bool:
 class Model:
     """Feature weights of the linear classifier and its bias; scores texts with a memo by word."""
 
-    def __init__(self, weights: dict[str, float], bias: float, memo_words: int = 500_000):
+    def __init__(self, weights: dict[str, float], bias: float, memo_words: int = 100_000):
         self.weights, self.bias, self.memo_words = weights, bias, memo_words
         self.bases = {f.partition("#")[0] for f in weights}
         self.memo: dict[str, tuple[str, ...]] = {}
