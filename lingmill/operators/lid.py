@@ -10,6 +10,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship_package
 from .curate import lid_resolve
@@ -55,7 +56,7 @@ def identify(df: DataFrame, columns: Sequence[str], make: Callable[[], LanguageI
     make() is called once per worker process. A null text is `unknown` at 0.
     """
     ship_package(df.sparkSession)
-    schema = df.schema
+    schema = StructType(list(df.schema.fields))  # add() would change the frame's own
     for c in columns:
         schema = schema.add(f"{c}_label", "string").add(f"{c}_score", "float")
 
