@@ -209,13 +209,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(_linked("items_a", "items_b")).select("a", "b")
 
 
-def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those that stand in different components."""
-    side = lambda n: comps.select(F.col("id").alias(n), F.col("component").alias(f"c_{n}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
-
-
 Group = dict[str, np.ndarray]
 
 
@@ -377,15 +370,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     likely = cut(_likely(pairs, classes))
     # sets of all that share a bucket with anything else, made again from their texts
     wanted = members.select("id").distinct()
-    sets = cut(texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, items binary").distinct())
+    sets = cut(texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, items binary"))
+    if sets.groupBy("id").count().filter("count > 1").limit(1).count():  # repeated rows
+        sets = cut(sets.distinct())
 
-    # first each document's best pair, then the other pairs with pivots, then all that is left
+    # first each document's best pair, then whatever could still join two components
     ends = likely.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("end"))
     best = ends.groupBy("end").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = cut(_confirmed(best, sets))
     comps = components(links)
-    links = cut(links.union(_confirmed(_between(likely, comps), sets)))
-    comps = components(links)
     more = cut(_rest(members, comps, classes, sets))
     if more.limit(1).count():
         comps = components(links.union(more))
