@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,14 +22,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """Materialise df in the shared checkpoint folder and cut its lineage.
 
-def text_of(col: str = "text") -> Column:
-    """Null texts count as empty."""
-    return F.coalesce(F.col(col), F.lit(""))
+    Shuffle files and checkpoints of earlier rounds go once the driver's collector has found
+    their plans unused; rounds make too little garbage for it to run by itself, so it is asked to.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 #: A-Z only, whatever the locale.

@@ -32,14 +32,15 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     links, loops and either orientation are allowed; rows with a null id are no links."""
     e = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null and a <> b")
     e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = None
+    seen, n = None, e.count()
     for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)))
+        # few tasks write what few rows need, whatever the number of shuffle partitions
+        e = cut(_small_star(_large_star(e)).coalesce(8 + n // 100_000))
         # a fixed point is a set of stars: no node is both a centre and a leaf
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now.n
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("b").alias("id"), F.col("a").alias("component")).union(e.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
