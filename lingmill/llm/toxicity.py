@@ -107,38 +107,44 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip((ids, ys, fs), kinds)], ["doc_id", "toxic", "feature"])
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 50, merge_at: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 50, merge_at: float = 0.3, alone: int = 0, most_silent: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of a hidden label from votes (documents x voters, 1 fires, 0 abstains).
 
-    Each voter has a rate at which it fires given either label, `start` (2 x voters) at first. Voters whose residual
-    correlation given the label is c count as one voter shared among them: a voter's weight is
-    1 / (1 + sum of its correlations above merge_at). Returns posteriors, rates (2 x voters), weights.
+    Each voter has a rate at which it fires given either label, `start` (2 x voters) at first.
+    Voters' correlation beyond what the label explains under these rates is estimated once;
+    a voter's weight is 1 / (1 + sum of those above merge_at), so that copies of one voter count
+    as about one; the last `alone` voters count fully.
+    Many voters' silence together tells at most most_silent (in log odds): lexicons of other
+    languages are silent on every document. Expectation maximisation then fits rates and posteriors.
+    Returns posteriors, rates (2 x voters), weights.
     """
     n, v = votes.shape
-    rate = start.copy()
-    weight = np.ones(v)
+    rate = np.clip(start, 1e-4, 1 - 1e-4)
+    mean = votes.mean(0)
+    left = votes - mean
+    spread = np.sqrt(np.maximum(1e-9, mean * (1 - mean)))
+    explained = prior * (1 - prior) * np.outer(rate[1] - rate[0], rate[1] - rate[0])
+    beyond = np.maximum(0, left.T @ left / max(1, n) - explained) / np.outer(spread, spread)
+    np.fill_diagonal(beyond, 0)
+    beyond[v - alone :], beyond[:, v - alone :] = 0, 0
+    weight = 1 / (1 + np.where(beyond > merge_at, np.minimum(beyond, 1), 0).sum(1))
     post = np.full(n, prior)
     for r in range(rounds):
-        w1, w0 = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        z = np.log(prior / (1 - prior)) + votes @ (weight * w1) + (1 - votes) @ (weight * w0)
+        fired, silent = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
+        lexicon, given = np.arange(v) < v - alone, np.arange(v) >= v - alone
+        quiet = (1 - votes) @ (weight * silent * lexicon)
+        z = np.log(prior / (1 - prior)) + votes @ (weight * fired) + np.clip(quiet, -most_silent, most_silent) + (1 - votes) @ (silent * given)
         new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        done = np.abs(new - post).max() < 1e-6 and r > 5
+        done = r > 5 and np.abs(new - post).max() < 1e-6
         post = new
         for y, p in ((1, post), (0, 1 - post)):
             rate[y] = np.clip((p @ votes + 0.5) / (p.sum() + 1), 1e-4, 1 - 1e-4)
-        if r % 5 == 4:
-            expected = np.outer(post, rate[1]) + np.outer(1 - post, rate[0])
-            left = votes - expected
-            left /= np.maximum(1e-6, left.std(0))
-            corr = np.abs(left.T @ left) / n
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > merge_at, corr, 0).sum(1))
         if done:
             break
     return post, rate, weight
 
 
-def linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, l2: float = 5e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, l2: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression of soft labels on presence features, by accelerated gradient steps."""
     w, b = np.zeros(width), float(np.log(max(target.mean(), 1e-3) / max(1 - target.mean(), 1e-3)))
     vw, vb = w.copy(), b
@@ -198,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, voters
     votes[:, -1] = y
     start = np.vstack([((y == k) @ votes + 0.5) / ((y == k).sum() + 1) for k in (0, 1)])
     start[:, -1] = 0.02, 0.95
-    post, _, _ = label_model(votes, min(0.5, max(0.01, pos / (pos + neg))), start)
+    post, _, _ = label_model(votes, min(0.5, max(0.01, pos / (pos + neg))), start, alone=1)
     # documents where no voter fires tell the classifier what is clean
     w, b = linear(r, c, len(ids), len(at), post)
     return Model({f: float(w[i]) for f, i in at.items() if f[0] != "!"}, float(b))

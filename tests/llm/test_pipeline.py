@@ -1,3 +1,4 @@
+import random
 import sys
 
 import pytest
@@ -8,7 +9,8 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept
 
 
 def words(i, n):
-    return " ".join(f"w{(i * 7919 + k * 31) % 5003}" for k in range(n))
+    r = random.Random(i)
+    return " ".join(f"w{r.randrange(5000)}" for _ in range(n))
 
 
 def rows():

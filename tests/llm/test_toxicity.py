@@ -3,8 +3,7 @@ import zlib
 
 import numpy as np
 
-from lingmill.llm.toxicity import Model, fit, label_model, scorer, toxicity_query
-from pyspark.sql import functions as F
+from lingmill.llm.toxicity import Model, fit, label_model, toxicity_query
 
 DOCS = "doc_id long, text string, lang string, score string, predicted int"
 LABELS = "doc_id long, quality int, toxic int"
@@ -65,14 +64,14 @@ def test_label_model_tells_good_voters_from_copies():
     good = [(y & (r.random(3000) < 0.8)) | (~y & (r.random(3000) < 0.02)) for _ in range(4)]
     noisy = r.random(3000) < 0.3
     votes = np.array([*good, noisy, noisy, noisy], dtype=np.float32).T
-    start = np.vstack([np.full(7, 0.05), np.full(7, 0.4)])
+    given = y ^ (r.random(3000) < 0.05)
+    start = np.vstack([votes[given == k].mean(0) for k in (0, 1)])
     post, rate, weight = label_model(votes, 0.2, start)
     assert ((post > 0.5) == y).mean() > 0.96
     assert weight[4:].max() < 0.5 < weight[:4].min()
 
 
 def test_model_scores_whole_texts():
-    m = Model({"bad": 9.0, "xyz*#2": 5.0}, -4.0)
+    m = Model({"bad": 9.0, "xyza*#2": 5.0}, -4.0)
     assert m.score("word " * 100000 + "bad") > 0.9 and m.score("") < 0.1
-    assert m.score("xyza") < 0.1 < 0.5 < m.score("xyza xyzb")
-    assert scorer(m)(F.lit("x")) is not None
+    assert m.score("xyzab xyzab") < 0.1 < 0.5 < m.score("xyzab xyzac")
