@@ -118,7 +118,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
                 break
             members = members[ids[members] != qid]
             diff = vectors[members] - q
-            d = np.sqrt((diff * diff).sum(1))
+            d = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])  # summed in order, so the same on every machine
             near = d <= kth
             best_d, best_i = np.concatenate([best_d, d[near]]), np.concatenate([best_i, ids[members[near]]])
             if len(best_d) > k:

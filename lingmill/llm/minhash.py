@@ -246,7 +246,10 @@ def _runs(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -
 
 def _candidates(g: Group, band: int | None) -> Iterator[tuple[int, np.ndarray]]:
     """(row, later rows) of members that stand in different components and whose sizes and
-    registers allow a link; in a bucket of a band, only pairs that share no earlier band."""
+    registers allow a link; in a bucket of a band, only pairs that share no earlier band.
+
+    Registers are equal with a probability of at least the similarity, so a share of equal
+    ones stands in for the estimate here: for sizes this near, one bounds the other."""
     comp, half = g["component"], g["half"]
     if (comp == comp[0]).all():
         return
@@ -266,8 +269,6 @@ def _candidates(g: Group, band: int | None) -> Iterator[tuple[int, np.ndarray]]:
         if band is not None and enough.any():
             enough &= same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1) == band
         ys = ys[enough]
-        if len(ys):
-            ys = ys[estimate(np.broadcast_to(regs[x], (len(ys), REGISTERS)), regs[ys], np.full(len(ys), float(n[x])), n[ys].astype(float)) >= LEAST_ESTIMATE]
         if len(ys):
             yield x, ys
 

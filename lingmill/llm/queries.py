@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _path(name: str) -> str:
@@ -76,4 +79,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_chat, op3_packing, op4_toxicity, op5_minhash, op6_token_counts, op7_mixing, op8_ann, op9_graph_dedup, op10_sharding)}
-ORACLES: dict[str, str] = {}
