@@ -232,3 +232,20 @@ def group_lists(spark, d):
 @query("SELECT DISTINCT source, lang FROM documents")
 def distinct_values(spark, d):
     return fx.load(spark, d, "documents").select("source", "lang").distinct()
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def tumbling_stats(spark, d):
+    """The streaming extension's aggregation over a batch."""
+    from ..streaming.curation import tumbling_stats as tumbling
+
+    return tumbling(fx.load(spark, d, "events"), "ts", "value", "event_type").withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
+
+
+@query()
+def lid_rule_scores(spark, d):
+    """The rule-based language identifier over both sides of the bitext, where they have no score."""
+    from ..operators.lid import lid_score
+
+    own = fx.bitext(spark, d).drop("source_lid_predicted", "target_lid_predicted")
+    return _scores(lid_score(own))

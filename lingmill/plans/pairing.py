@@ -130,3 +130,26 @@ def label_and_code(spark, d):
 
     iso = F.when(F.col("lang") == "en", "eng").when(F.col("lang") == "fr", "fra")
     return fx.load(spark, d, "documents").select("doc_id", t.label(F.concat(F.lit("__label__"), "lang")).alias("label"), t.code(iso, F.lit("Latn")).alias("code"))
+
+
+@query("SELECT doc_id, 'a' || doc_id AS source_text, CASE WHEN doc_id % 2 = 0 THEN 'b' || doc_id END AS target_text FROM documents")
+def tmx_units(spark, d):
+    i = F.col("doc_id").cast("string")
+    part = lambda lang, text: F.concat(F.lit(f'<tuv xml:lang="{lang}"><seg>'), F.lit(text), i, F.lit("</seg></tuv>"))
+    unit = F.concat(F.lit("<tu>"), part("en", "a"), F.when(F.col("doc_id") % 2 == 0, part("fr", "b")).otherwise(""), F.lit("</tu>"))
+    source, target = readers.tmx_unit(unit, "en", "fr")
+    return fx.load(spark, d, "documents").select("doc_id", source.alias("source_text"), target.alias("target_text"))
+
+
+@query("SELECT event_id AS line, event_type AS source_text, props AS target_text FROM events")
+def line_pairs(spark, d):
+    """Two line streams beside each other by line number."""
+    own = fx.load(spark, d, "events")
+    return pairing.aligned(own.select(F.col("event_id").alias("line"), "event_type"), own.select(F.col("event_id").alias("line"), "props"), "event_type", "props")
+
+
+@query("SELECT doc_id, 'x' || doc_id || ' y' AS source_text, 'z' || doc_id AS target_text FROM documents UNION ALL SELECT doc_id, 'last', 'one' FROM documents")
+def marked_block_pairs(spark, d):
+    i = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("gn: x"), i, F.lit("\ny\nes: z"), i, F.lit("\ngn: last\nes: one"))
+    return fx.load(spark, d, "documents").select("doc_id", F.explode(readers.marked_blocks(text, "gn", "es")).alias("p")).select("doc_id", "p.*")

@@ -66,12 +66,24 @@ def negatives(spark: SparkSession, path: str, code: str) -> DataFrame:
     return lines(spark, path).select((-F.col("line") - 1).cast("long").alias("id"), F.col("value").alias("sentence"), F.lit(code).alias("nllb_code"))
 
 
+_UNIT = "tuv array<struct<`_xml:lang`:string,`_lang`:string,seg:string>>"
+
+
+def _segment(tuv: Column, lang: str) -> Column:
+    own = F.filter(tuv, lambda v: F.lower(F.coalesce(v["_xml:lang"], v["_lang"])).startswith(lang.lower()))
+    return F.get(own, F.lit(0))["seg"]
+
+
 def tmx(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
     """Translation units of a TMX memory: source_text and target_text of the two languages, null where one lacks."""
-    schema = "tuv array<struct<`_xml:lang`:string,`_lang`:string,seg:string>>"
-    units = spark.read.format("xml").option("rowTag", "tu").schema(schema).load(path)
-    seg = lambda lang: F.get(F.filter("tuv", lambda v: F.lower(F.coalesce(v["_xml:lang"], v["_lang"])).startswith(lang.lower())), F.lit(0))["seg"]
-    return units.select(seg(source).alias("source_text"), seg(target).alias("target_text"))
+    units = spark.read.format("xml").option("rowTag", "tu").schema(_UNIT).load(path)
+    return units.select(_segment(F.col("tuv"), source).alias("source_text"), _segment(F.col("tuv"), target).alias("target_text"))
+
+
+def tmx_unit(value: Column, source: str, target: str) -> tuple[Column, Column]:
+    """The two languages' texts of one translation unit that a column holds as XML."""
+    unit = F.from_xml(value, _UNIT)
+    return _segment(unit["tuv"], source), _segment(unit["tuv"], target)
 
 
 def quoted_csv(spark: SparkSession, path: str, source: int = 0, target: int = 1, sep: str = ",", header: bool = True) -> DataFrame:
