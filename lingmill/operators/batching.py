@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import attention, bucket, pad
+from .ordering import number_within
 
 
 def buffer_sort(df: DataFrame, position: str, buffer: int, length: Column) -> DataFrame:
@@ -40,7 +41,7 @@ def dynamic_batches(df: DataFrame, bounds: Sequence[float], max_batch_length: fl
     bounds = check_bounds(bounds)
     cap = F.element_at(F.array(*map(F.lit, caps(bounds, max_batch_length, max_examples))), F.col("bucket") + 1)
     df = df.withColumn("bucket", bucket(F.col(length), list(bounds))).withColumn("cap", cap)
-    df = df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy(order)) - 1) / F.col("cap")))
+    df = number_within(df, ["bucket"], [order], "_place").withColumn("batch", F.floor(F.col("_place") / F.col("cap"))).drop("_place")
     if drop_last:
         df = df.withColumn("_n", F.count("*").over(Window.partitionBy("bucket", "batch"))).filter("_n = cap").drop("_n")
     return df

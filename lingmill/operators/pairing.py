@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import optional, strip
 from .curate import first_of, non_empty
+from .ordering import number_rows
 
 
 def mined_transform(raw: DataFrame, source: tuple[str, str], target: tuple[str, str], *, order: list[str], dataset: str = "allenai", first_id: int = 0) -> DataFrame:
@@ -15,7 +16,6 @@ def mined_transform(raw: DataFrame, source: tuple[str, str], target: tuple[str,
     Ids number the raw rows in `order`, before empty pairs go, so they have gaps. Columns that
     a corpus lacks get an empty string, or null for scores.
     """
-    out = raw
     named = {}
     for side, (field, code) in (("source", source), ("target", target)):
         prefix = f"{side}_sentence_"
@@ -24,9 +24,9 @@ def mined_transform(raw: DataFrame, source: tuple[str, str], target: tuple[str,
         named[f"{side}_lid"] = optional(raw, prefix + "lid", F.lit(None)).cast("float")
         for extra in ("url", "source"):
             named[f"{side}_{extra}"] = strip(optional(raw, prefix + extra, F.lit("")))
-    number = F.row_number().over(Window.orderBy(*order)) - 1 + first_id
     stem = f"{dataset}_{source[1]}-{target[1]}_"
-    out = raw.select(*[c.alias(n) for n, c in named.items()], optional(raw, "laser_score", F.lit(None)).cast("float").alias("laser_score"), F.lit(dataset).alias("dataset"), F.concat(F.lit(stem), number.cast("string")).alias("id"))
+    numbered = number_rows(raw, order, "_number", first_id)
+    out = numbered.select(*[c.alias(n) for n, c in named.items()], optional(raw, "laser_score", F.lit(None)).cast("float").alias("laser_score"), F.lit(dataset).alias("dataset"), F.concat(F.lit(stem), F.col("_number").cast("string")).alias("id"))
     return non_empty(out)
 
 
@@ -66,7 +66,7 @@ def flores_pairs(sentences: DataFrame, *, by: list[str], pivot: str = "eng_Latn"
 
 def hard_negative_ids(sentences: DataFrame, order: list[str]) -> DataFrame:
     """Numbers synthetic negatives -1, -2 and so on in order."""
-    return sentences.withColumn("id", -F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return number_rows(sentences, order, "_number").withColumn("id", -F.col("_number") - 1).drop("_number")
 
 
 def backtranslation_worklist(seed: DataFrame, languages: DataFrame, pivot: str = "eng_Latn") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
 from ..session import ship_package
+from .ordering import number_within
 
 MARGINS = ("absolute", "ratio", "distance")
 
@@ -30,7 +31,7 @@ def check_margin(margin: str) -> str:
 def positions(emb: DataFrame) -> DataFrame:
     """Numbers each language's rows from 0: ids from 0 on upwards, then negative ids from -1 on downwards."""
     order = [F.col("id") < 0, F.when(F.col("id") >= 0, F.col("id")), -F.col("id")]
-    return emb.withColumn("pos", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long") - 1)
+    return number_within(emb, ["lang"], order, "pos")
 
 
 def _unit(s: pd.Series) -> np.ndarray:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as s
 from ..operators import batching as b
 from ..operators import noise
+from ..operators.ordering import number_rows
 from . import fixtures as fx
 from .registry import query
 
@@ -148,5 +148,5 @@ def gather_positions(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS ordinal FROM documents")
 def global_ordinal(spark, d):
-    w = Window.orderBy("source", "doc_id")
-    return fx.load(spark, d, "documents").select("doc_id", (F.row_number().over(w).cast("long") - 1).alias("ordinal"))
+    own = fx.load(spark, d, "documents").select("doc_id", "source")
+    return number_rows(own, ["source", "doc_id"], "ordinal").select("doc_id", "ordinal")

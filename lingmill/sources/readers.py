@@ -8,10 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.ordering import number_rows
 from ..operators.pairing import aligned
 
 FORMATS = {"json": "json", "jsonl": "json", "parquet": "parquet", "csv": "csv", "tsv": "csv", "xml": "xml", "txt": "text"}
@@ -51,7 +52,7 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     for n, path in enumerate(paths):
         rows = spark.read.text(path, wholetext=True).select(F.lit(n).alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "value"))
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("line", F.row_number().over(Window.orderBy("file", "pos")) - 1).select("file", "line", "value")
+    return number_rows(out, ["file", "pos"], "line").select("file", "line", "value")
 
 
 def text_pair(spark: SparkSession, source: str | list[str], target: str | list[str], source_code: str, target_code: str) -> DataFrame:

@@ -337,3 +337,20 @@ def test_streaming(spark, tmp_path):
         q = make(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(60)
         assert want is None or spark.table(name).count() == want
+
+
+def test_row_numbers(spark):
+    from lingmill.operators.ordering import number_rows, number_within
+
+    df = spark.range(5000).selectExpr("id", "id % 7 as k", "(id * 7919) % 5003 as v", "if(id % 7 = 3, null, id % 7) as n").repartition(9)
+    out = number_rows(df, ["v"], "at", start=10).orderBy("v").collect()
+    assert [r["at"] for r in out] == list(range(10, 5010))
+    for key in ("k", "n"):
+        groups = {}
+        for r in number_within(df, [key], [F.desc("v")], "at").collect():
+            groups.setdefault(r[key], []).append((r["at"], -r.v))
+        assert len(groups) == 7
+        for rows in groups.values():
+            rows.sort()
+            assert [a for a, _ in rows] == list(range(len(rows))) and [v for _, v in rows] == sorted(v for _, v in rows)
+    assert number_rows(df.filter("false"), ["v"], "at").count() == 0
