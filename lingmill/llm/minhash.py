@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,7 +138,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.take_along_axis(j, (more[:, None] * log(up) + less[:, None] * log(down) + equal[:, None] * log(1 - up - down)).argmax(1)[:, None], 1)[:, 0]
 
 
-def _texts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _texts(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, data, offsets) of runs of a column's texts, of about `most` bytes or a single text."""
     column = column.cast(pa.large_binary())
     n = len(column)
@@ -169,16 +168,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["id", "items"])
 
 
-@F.pandas_udf(DoubleType())
-def _estimate(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A column of binary values of one length, as rows of bytes, without Python objects."""
+    column = column.cast(pa.large_binary())
+    first = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[first : first + len(column) * width].reshape(-1, width)
+
+
+@F.arrow_udf(DoubleType())
+def _estimate(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
     if not len(a):
-        return pd.Series([], dtype="float64")
-    out = []
-    for i in range(0, len(a), 4096):
-        rows = slice(i, i + 4096)
-        stack = lambda s: np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, REGISTERS)
-        out.append(estimate(stack(a[rows]), stack(b[rows]), na[rows].to_numpy(dtype=float), nb[rows].to_numpy(dtype=float)))
-    return pd.Series(np.concatenate(out))
+        return pa.array([], pa.float64())
+    x, y, n, m = _bytes(a, REGISTERS), _bytes(b, REGISTERS), na.to_numpy().astype(float), nb.to_numpy().astype(float)
+    return pa.array(np.concatenate([estimate(x[i : i + 2048], y[i : i + 2048], n[i : i + 2048], m[i : i + 2048]) for i in range(0, len(x), 2048)]))
 
 
 def linked(s: np.ndarray, t: np.ndarray) -> bool:
@@ -187,9 +189,10 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(s) + len(t) - both)
 
 
-@F.pandas_udf(BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([linked(np.frombuffer(x, dtype=_U64), np.frombuffer(y, dtype=_U64)) for x, y in zip(a, b)], dtype=bool)
+@F.arrow_udf(BooleanType())
+def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
+    # one pair at a time: whole columns of sets would be copies of a batch
+    return pa.array([linked(np.frombuffer(x.as_py(), dtype=_U64), np.frombuffer(y.as_py(), dtype=_U64)) for x, y in zip(a, b)], pa.bool_())
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -209,37 +212,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(_linked("items_a", "items_b")).select("a", "b")
 
 
-Group = dict[str, np.ndarray]
+Group = dict[str, np.ndarray | list]
 
 
-def _runs(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[Group]:
-    """Column arrays of each run of equal keys, of frames that are sorted by them."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[Group]:
+    """Columns of each run of equal keys, of batches that are sorted by them: numbers as arrays, binary values as lists."""
     held: dict[str, list] = {}
 
     def made() -> Group:
-        return {c: np.concatenate(v) if v[0].dtype != object else np.array([x for part in v for x in part], dtype=object) for c, v in held.items()}
+        return {c: np.concatenate(v) if isinstance(v[0], np.ndarray) else [x for part in v for x in part] for c, v in held.items()}
 
     last = None
-    for pdf in frames:
-        if not len(pdf):
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
             continue
-        data = {c: pdf[c].to_numpy() for c in columns}
-        change = np.zeros(len(pdf), dtype=bool)
-        for k in keys:
-            v = pdf[k].to_numpy()
+        by = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(n, dtype=bool)
+        for v in by:
             change[1:] |= v[1:] != v[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
-        first = pdf[keys].iloc[0].tolist()
-        if held and first != last:
-            yield made()
-            held = {}
+        cuts = [0, *np.flatnonzero(change).tolist(), n]
         for start, end in zip(cuts[:-1], cuts[1:]):
-            if start and held:
+            now = [v[start] for v in by]
+            if held and now != last:
                 yield made()
                 held = {}
+            last = now
             for c in columns:
-                held.setdefault(c, []).append(data[c][start:end])
-        last = pdf[keys].iloc[-1].tolist()
+                part = batch.column(c).slice(start, end - start)
+                held.setdefault(c, []).append(part.to_pylist() if pa.types.is_binary(part.type) else part.to_numpy())
     if held:
         yield made()
 
@@ -294,28 +295,28 @@ class _Union:
 _CELL = ["i", "j", "half", "id", "component", "n_shingles", "regs"]
 
 
-def _pairs_frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _flag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each bucket's candidates, as links to a root: at most one row a member."""
     out: list[tuple[int, int]] = []
-    for g in _runs(frames, ["key", "i", "j"], [*_CELL, "band"]):
+    for g in _runs(batches, ["key", "i", "j"], [*_CELL, "band"]):
         union, ids = _Union(), g["id"].tolist()
         for x, ys in _candidates(g, int(g["band"][0])):
             for y in ys.tolist():
                 union.join(ids[x], ids[y])
         out += [(x, union.find(x)) for x in list(union.root) if union.find(x) != x]
         if len(out) > 50_000:
-            yield _pairs_frame(out)
+            yield _pairs_batch(out)
             out = []
-    yield _pairs_frame(out)
+    yield _pairs_batch(out)
 
 
-def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect all that a cluster's confirmed pairs connect, at most one a component."""
-    for g in _runs(frames, ["cluster", "i", "j"], [*_CELL, "items"]):
+    for g in _runs(batches, ["cluster", "i", "j"], [*_CELL, "items"]):
         union, ids, comp = _Union(), g["id"].tolist(), g["component"].tolist()
         items = [np.frombuffer(b, dtype=_U64) for b in g["items"]]
         out = []
@@ -325,7 +326,7 @@ def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     union.join(comp[x], comp[y])
                     out.append((ids[x], ids[y]))
         if out:
-            yield _pairs_frame(out)
+            yield _pairs_batch(out)
 
 
 def _grid(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
@@ -335,7 +336,7 @@ def _grid(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
     return own.withColumn("i", F.least("half", "other")).withColumn("j", F.greatest("half", "other")).drop("other", "blocks")
 
 
-def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 1024) -> DataFrame:
+def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
     """Links between members of a bucket that still stand in different components.
 
     Buckets are dealt into pairs of blocks, so no task holds more than two blocks whatever a
@@ -346,11 +347,11 @@ def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFr
     opened = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
     signed = classes.select("id", "n_shingles", "regs")
     cells = _grid(placed, "key", opened, block).join(signed, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    clusters = components(cells.mapInPandas(_flag, "a long, b long")).withColumnRenamed("component", "cluster")
+    clusters = components(cells.mapInArrow(_flag, "a long, b long")).withColumnRenamed("component", "cluster")
     own = clusters.join(comps, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
     sizes = own.groupBy("cluster").agg(F.count("*").alias("n"))
     cells = _grid(own, "cluster", sizes, block).join(signed, "id").join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return cells.mapInPandas(_confirm, "a long, b long")
+    return cells.mapInArrow(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,9 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, voters
 def scorer(model: Model):
     """A column function text -> score; null and empty texts get the bias's score."""
 
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
     return lambda text: score(text)
 
