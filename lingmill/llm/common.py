@@ -2,36 +2,32 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import ctypes
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import cut, ensure_checkpoint_dir, ship_package
 from ..session import load as table
-from ..session import ship_package
 
-__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "n_space_words", "ship_package", "table", "text_of"]
+__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "n_space_words", "ship_package", "table", "text_of", "trim"]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) take a temporary one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lingmill-ckpt-")
-        spark.sparkContext.setCheckpointDir(path)
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage.
-
-    Shuffle files and checkpoints of earlier rounds go once the driver's collector has found
-    their plans unused; rounds make too little garbage for it to run by itself, so it is asked to.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
+def trim() -> None:
+    """Give freed memory back to the system. Python workers wait idle between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc()(0)
 
 
 def text_of(col: str = "text") -> Column:

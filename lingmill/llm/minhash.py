@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
-from .common import cut, ship_package, text_of
+from .common import cut, ship_package, text_of, trim
 from .components import components
 
 ROWS, BANDS = 5, 56
@@ -160,12 +160,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             regs = [next(made).tobytes() if len(s) else None for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
+        trim()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in _texts(batch.column("text")):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["id", "items"])
+        trim()
 
 
 def _bytes(column: pa.Array, width: int) -> np.ndarray:
@@ -177,6 +179,7 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
 
 @F.arrow_udf(DoubleType())
 def _estimate(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+    trim()
     if not len(a):
         return pa.array([], pa.float64())
     x, y, n, m = _bytes(a, REGISTERS), _bytes(b, REGISTERS), na.to_numpy().astype(float), nb.to_numpy().astype(float)
@@ -191,6 +194,7 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
 
 @F.arrow_udf(BooleanType())
 def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
+    trim()
     # one pair at a time: whole columns of sets would be copies of a batch
     return pa.array([linked(np.frombuffer(x.as_py(), dtype=_U64), np.frombuffer(y.as_py(), dtype=_U64)) for x, y in zip(a, b)], pa.bool_())
 
@@ -311,6 +315,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(out) > 50_000:
             yield _pairs_batch(out)
             out = []
+    trim()
     yield _pairs_batch(out)
 
 
@@ -327,6 +332,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((ids[x], ids[y]))
         if out:
             yield _pairs_batch(out)
+    trim()
 
 
 def _grid(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:

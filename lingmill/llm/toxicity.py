@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import cut, ship_package, text_of
+from .common import cut, ship_package, text_of, trim
 
 #: Insults that vote on their own, whatever the sample shows.
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns dumb imbecile filth vermin retard".split())
@@ -214,6 +214,7 @@ def scorer(model: Model):
 
     @F.arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
+        trim()
         return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
     return lambda text: score(text)
