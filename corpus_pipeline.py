@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lingmill.llm.common import cut, ensure_checkpoint_dir, n_space_words, table, text_of
 from lingmill.llm.minhash import near_duplicates
-from lingmill.llm.mixing import mix
+from lingmill.llm.mixing import mixed_documents
 from lingmill.llm.packing import packing_query
 from lingmill.llm.toxicity import fit, scorer
 
@@ -58,10 +58,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = cut(mix(docs).select("doc_id", F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("times").cast("int").alias("__times")))
-    size = n_space_words(text_of())
-    rows = _matched(docs, taken, [F.col("source").asc_nulls_first(), size, F.xxhash64("text")], ["__source", "__size", "__times"])
+    """Each document as often as the mix takes it. Texts are shuffled only where a source's sample ends."""
+    decided, rest, decisions = mixed_documents(docs)
+    facts = decisions.select("doc_id", F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("times").alias("__times"))
+    order = [F.col("source").asc_nulls_first(), n_space_words(text_of()), F.xxhash64("text")]
+    rows = decided.unionByName(_matched(rest, facts, order, ["__source", "__size", "__times"]).drop("__source", "__size"))
     times = F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__again")
     return rows.filter("__times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("__again")
 

@@ -12,7 +12,7 @@ in key order and each that still fits is taken. A hot source is thus never sorte
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -69,42 +69,89 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(extra=took)[["doc_id", "size", "source", "key", "extra"]]
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, cell_rows: int = 4096) -> DataFrame:
-    """One row per row of docs: doc_id, size, source, source_size, target, epochs, taken.
-
-    taken is size times the number of times the mix takes the document. Null texts and texts
-    without words have size 0 and take 0 words. A null source is a source of its own, last.
-    Repeated rows are documents of their own. An empty table gives an empty one. Only doc_id,
-    text and source are read.
-    """
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with __size, and the exponential key __key by which its sample goes."""
     text = text_of()
     u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    # one pass over the texts; from here rows are a few numbers wide
-    rows = cut(docs.select("doc_id", "source", n_space_words(text).alias("size"), u.alias("u"), quality(text).alias("quality")))
-    # the key's distribution function under weight 1, so that keys fall into cells of like size
-    rows = rows.select("doc_id", "source", "size", (-F.log("u") / F.col("quality")).alias("key"))
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    return docs.withColumns({"__size": n_space_words(text), "__key": -F.log(u) / quality(text)})
+
+
+def _plan(rows: DataFrame, weights: Sequence[float], share: float, cap: float, cell_rows: int) -> DataFrame:
+    """One row per source: its size, target, epochs, number of cells, and the cell in which its sample ends with the room left there."""
+    per = rows.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("rows"))
     goal = targets(per.select("source", "source_size"), weights, share, cap).join(per.select(F.col("source").alias("s2"), "rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     goal = cut(
         goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("sample", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(cell_rows))))
-    ).withColumnRenamed("source", "goal_source")
-    on = F.col("source").eqNullSafe(F.col("goal_source"))
-    cell = F.floor((1 - F.exp(-F.col("key"))) * F.col("cells")).cast("long")
-    rows = rows.join(goal, on).drop("goal_source").withColumn("cell", cell)
-    sums = rows.groupBy("source", "cell", "sample").agg(F.sum("size").alias("cell_size"))
-    before = F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell")) - F.col("cell_size")
-    sums = cut(sums.withColumn("before", before)).withColumn("room", F.col("sample") - F.col("before"))
-    state = sums.select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), F.when(F.col("room") >= F.col("cell_size"), "in").when(F.col("room") <= 0, "out").otherwise("edge").alias("state"), "room")
-    rows = rows.join(state, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell"))).drop("c_source", "c_cell")
-    keep = ["doc_id", "size", "source", "key"]
-    kinds = rows.select(*keep).schema
+        .drop("rows")
+        .withColumnRenamed("source", "goal_source")
+    )
+    sums = _celled(rows, goal).groupBy("goal_source", "cell", "sample").agg(F.sum("__size").alias("cell_size"))
+    before = F.sum("cell_size").over(Window.partitionBy("goal_source").orderBy("cell")) - F.col("cell_size")
+    open_cells = sums.withColumn("room", F.col("sample") - before).filter("room < cell_size")
+    ends = open_cells.groupBy(F.col("goal_source").alias("end_source")).agg(F.min(F.struct("cell", "room")).alias("end"))
+    return cut(goal.join(ends, F.col("goal_source").eqNullSafe(F.col("end_source")), "left").select(*goal.columns, F.col("end.cell").alias("end_cell"), F.col("end.room").alias("room")))
+
+
+def _celled(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """rows beside their source's plan, with their cell: keys in order fall into cells of like size."""
+    cell = F.floor((1 - F.exp(-F.col("__key"))) * F.col("cells")).cast("long")
+    return rows.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn("cell", cell)
+
+
+def _decided(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """Adds `extra`: whether the sample takes a row; null in the cell where it ends."""
+    end = F.col("end_cell")
+    extra = F.when(end.isNull() | (F.col("cell") < end), True).when(F.col("cell") > end, False)
+    return _celled(rows, goal).withColumn("extra", extra)
+
+
+def _edge(rows: DataFrame) -> DataFrame:
+    """Decisions of the rows in the cells where samples end: doc_id, size, source, key, extra. A source has one such cell, of about cell_rows rows."""
+    edge = rows.filter("extra is null").select("doc_id", F.col("__size").alias("size"), "source", F.col("__key").alias("key"), "room")
+    return edge.groupBy("source").applyInPandas(_fill, edge.drop("room").schema.add("extra", "boolean"))
+
+
+_OPTIONS = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 7, "cell_rows": 4096}
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: doc_id, size, source, source_size, target, epochs, times, taken.
+
+    Options: weights, share, cap, seed, cell_rows. taken is size times the number of times the
+    mix takes the document. Null texts and texts without words have size 0 and take 0 words. A
+    null source is a source of its own, last. Repeated rows are documents of their own. An
+    empty table gives an empty one. Only doc_id, text and source are read.
+    """
+    o = _OPTIONS | options
+    ship_package(docs.sparkSession)
+    # one pass over the texts; from here rows are a few numbers wide
+    rows = cut(_keyed(docs.select("doc_id", "text", "source"), o["seed"]).drop("text"))
+    goal = _plan(rows, o["weights"], o["share"], o["cap"], o["cell_rows"])
+    decided = _decided(rows, goal)
+    flat = decided.filter("extra is not null").select("doc_id", F.col("__size").alias("size"), "source", "extra")
+    out = flat.unionByName(_edge(decided).drop("key")).join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
+    times = F.col("epochs") + F.col("extra").cast("long")
+    return out.select("doc_id", "size", "source", "source_size", "target", "epochs", times.alias("times"), (F.col("size") * times).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Whole rows of docs with __times, the number of times the mix takes them, without shuffling texts.
+
+    Returns the decided rows, the few undecided ones of the cells where samples end, and the
+    decisions on these: (doc_id, size, source, times), one for each undecided row.
+    """
+    o = _OPTIONS | options
     ship_package(docs.sparkSession)
-    edge = rows.filter("state = 'edge'").select(*keep, "cell", "room").groupBy("source", "cell").applyInPandas(_fill, kinds.add("extra", "boolean"))
-    flat = rows.filter("state <> 'edge'").select(*keep, (F.col("state") == "in").alias("extra"))
-    out = flat.unionByName(edge.select(*keep, "extra")).join(goal, on)
-    return out.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + F.col("extra").cast("long"))).alias("taken"), (F.col("epochs") + F.col("extra").cast("long")).alias("times"))
+    rows = cut(_keyed(docs.select("doc_id", "text", "source"), o["seed"]).drop("text"))
+    goal = _plan(rows, o["weights"], o["share"], o["cap"], o["cell_rows"])
+    # the plan has one row per source; Spark broadcasts it if it is as small as it looks
+    whole = _decided(_keyed(docs, o["seed"]), goal).withColumn("__times", (F.col("epochs") + F.col("extra").cast("long")).cast("int"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    decisions = _edge(_decided(rows, goal)).join(goal.select("goal_source", "epochs"), F.col("source").eqNullSafe(F.col("goal_source")))
+    decisions = decisions.select("doc_id", "size", "source", (F.col("epochs") + F.col("extra").cast("long")).cast("int").alias("times"))
+    return whole.filter("extra is not null").select(*own, "__times"), whole.filter("extra is null").select(*own), cut(decisions)
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
