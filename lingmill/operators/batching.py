@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import attention, bucket, pad
-from .ordering import number_within
+from .ordering import number_rows, number_within
 
 
 def buffer_sort(df: DataFrame, position: str, buffer: int, length: Column) -> DataFrame:
@@ -66,14 +66,15 @@ def batch_order(df: DataFrame, how: str, *, seed: int = 42, epoch: int = 0, leng
     """Numbers batches: by falling or rising longest length, or at random as seed and epoch decide."""
     batches = df.groupBy("bucket", "batch").agg(F.max(length).alias("max_len"))
     order = {"descending": [F.desc("max_len")], "ascending": [F.asc("max_len")], "random": [F.xxhash64("bucket", "batch", F.lit(seed + epoch))]}[how]
-    return batches.withColumn("position", F.row_number().over(Window.orderBy(*order, "bucket", "batch")) - 1)
+    return number_rows(batches, [*order, "bucket", "batch"], "position")
 
 
 def rank_shard(df: DataFrame, position: str, world: int, rank: int) -> DataFrame:
     """What one of `world` workers takes: every world-th position, wrapped around so that all take as many."""
-    n = F.max(position).over(Window.partitionBy()) + 1
-    total = (F.ceil(n / world) * world).cast("long")
-    return df.withColumn("_turns", F.sequence(F.col(position).cast("long"), F.greatest(total - 1, F.col(position).cast("long")), n.cast("long"))).withColumn("slot", F.explode("_turns")).drop("_turns").filter(F.pmod("slot", F.lit(world)) == rank)
+    own = df.crossJoin(F.broadcast(df.agg((F.max(position) + 1).cast("long").alias("_n"))))  # one row
+    p = F.col(position).cast("long")
+    last = F.greatest((F.ceil(F.col("_n") / world) * world).cast("long") - 1, p)
+    return own.withColumn("slot", F.explode(F.sequence(p, last, F.col("_n")))).drop("_n").filter(F.pmod("slot", F.lit(world)) == rank)
 
 
 def pad_batch(df: DataFrame, columns: dict[str, int], batch: Sequence[str], max_length: int) -> DataFrame:
