@@ -106,10 +106,15 @@ def noised(ids: Column, key: Column, n: Noise = TRAINING, seed: int = 0) -> Colu
 
 
 def masked_by_rank(ids: Column, key: Column, share: float, mask_id: int) -> Column:
-    """mask without Python: the positions whose hashes with the key are the smallest."""
+    """mask without Python: the positions whose hashes with the key are the smallest.
+
+    The last hash to mask is found once for a row and handed to the inner function as its variable;
+    a column named in there would be computed again for each token.
+    """
+    ranked = lambda i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i"))
     size = F.size(ids) - 2
     count = F.ceil(size * F.lit(float(share))).cast("int")
-    body = F.sequence(F.lit(1), size)
-    hashed = F.transform(body, lambda i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i")))
-    chosen = F.slice(F.array_sort(hashed), F.lit(1), count)["i"]
-    return F.when(size < 1, ids).otherwise(F.transform(ids, lambda x, i: F.when(F.array_contains(chosen, i), F.lit(mask_id)).otherwise(x)))
+    hashed = F.array_sort(F.transform(F.sequence(F.lit(1), size), ranked))
+    bound = F.struct(size.alias("size"), F.get(hashed, count - 1).alias("last"))
+    masked = lambda b: F.transform(ids, lambda x, i: F.when((i >= 1) & (i <= b["size"]) & (ranked(i) <= b["last"]), F.lit(mask_id)).otherwise(x))
+    return F.when(size < 1, ids).otherwise(F.transform(F.array(bound), masked)[0])

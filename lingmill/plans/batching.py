@@ -13,6 +13,7 @@ from .registry import query
 
 BOUNDS = [200, 500, 1000, 2000, 4000]
 _CAPS = b.caps(BOUNDS, 8000, 16)
+_SQL_WORDS = 40  # of each text in fx.TOKENS; queries whose rows hold more than their SQL's first tokens need it
 
 
 def _text(c):
@@ -95,7 +96,7 @@ def pad_and_mask(spark, d):
  SELECT id, 0 AS side, array_to_string(s, ',') AS input_ids, array_to_string(CASE WHEN dae THEN s ELSE t END, ',') AS labels, CASE WHEN dae THEN 0 ELSE 1 END AS mse FROM p
  UNION ALL SELECT id, 1, array_to_string(t, ','), array_to_string(CASE WHEN dae THEN t ELSE s END, ','), CASE WHEN dae THEN 0 ELSE 1 END FROM p""")
 def expand_pairs(spark, d):
-    own = fx.tokens(spark, d).select("id", F.col("ids").alias("source_ids"), F.reverse("ids").alias("target_ids"))
+    own = fx.tokens(spark, d, _SQL_WORDS).select("id", F.col("ids").alias("source_ids"), F.reverse("ids").alias("target_ids"))
     out = b.expand_pairs(own, F.col("id") % 3 == 0)
     return out.select("id", "side", _text("input_ids").alias("input_ids"), _text("labels").alias("labels"), "mse")
 
@@ -103,13 +104,13 @@ def expand_pairs(spark, d):
 @query(f"""WITH {fx.TOKENS}, n AS (SELECT id, ids, len(ids) - 2 AS n, CASE WHEN len(ids) > 2 THEN (id * 7) % (len(ids) - 2) ELSE 0 END AS k FROM tokens)
  SELECT id, array_to_string(CASE WHEN n < 2 THEN ids ELSE list_concat(list_concat(ids[1:1], list_concat(ids[k + 2:n + 1], ids[2:k + 1])), ids[n + 2:n + 2]) END, ',') AS ids FROM n""")
 def rotate_tokens(spark, d):
-    return fx.tokens(spark, d).select("id", _text(s.rotate(F.col("ids"), F.col("id") * 7)).alias("ids"))
+    return fx.tokens(spark, d, _SQL_WORDS).select("id", _text(s.rotate(F.col("ids"), F.col("id") * 7)).alias("ids"))
 
 
 @query(f"WITH {fx.TOKENS} SELECT id, array_to_string(list_transform(ids, lambda x : CASE WHEN x = 13 THEN 0 ELSE x END), ',') AS ids FROM tokens")
 def strip_ignore_index(spark, d):
     marked = F.transform("ids", lambda x: F.when(x == 13, -100).otherwise(x))
-    return fx.tokens(spark, d).select("id", _text(s.replace_ignored(marked, 0)).alias("ids"))
+    return fx.tokens(spark, d, _SQL_WORDS).select("id", _text(s.replace_ignored(marked, 0)).alias("ids"))
 
 
 @query()

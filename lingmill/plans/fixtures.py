@@ -82,8 +82,9 @@ def seed(spark: SparkSession, d: str) -> DataFrame:
     return base(spark, d).select(pos.cast("long").alias("id"), "text", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), F.col("code").alias("nllb_code"))
 
 
-def tokens(spark: SparkSession, d: str) -> DataFrame:
-    words: Column = F.slice(F.split("text", " "), 1, 40)
+def tokens(spark: SparkSession, d: str, first: int | None = None) -> DataFrame:
+    """All words of each text as token ids, or the `first` ones where a query's SQL has only those."""
+    words: Column = F.split("text", " ") if first is None else F.slice(F.split("text", " "), 1, first)
     return load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.length(w) + 10).alias("ids"), "n_chars")
 
 
