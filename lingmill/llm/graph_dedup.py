@@ -13,8 +13,11 @@ is made: a shard returns a count and one link to the root of its local component
 Shards beyond `block` members are dealt into blocks that build graphs of their own, and every
 block of queries searches every block of the shard.
 
-A bounded sample of classes is audited against brute force; if the recall is too low, it all
-runs again with more overlap and longer lists.
+A bounded sample of classes, dealt evenly over levels of links found, is audited against brute force:
+each class counts by its share of links found, weighted by what it stands for, and each level of true links
+must reach the recall by itself, so that a large group says nothing about small ones. If a level's recall is
+too low, it all runs again with more overlap and longer lists; if the last attempt's still is, every
+pair of blocks is compared exactly.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ann import usable
@@ -267,6 +270,63 @@ def _auditor(ids: np.ndarray, x: np.ndarray) -> Callable:
     return run
 
 
+def _level(n: Column) -> Column:
+    """0 for no links, then one level for each power of four."""
+    return F.when(n > 0, 1 + F.floor(F.log(n.cast("double") + 0.5) / F.log(F.lit(4.0)))).otherwise(0).cast("int")
+
+
+def _recall(classes: DataFrame, found: DataFrame, rows: int) -> float:
+    """The least recall of any level of true links, by about `rows` classes dealt evenly over levels of links found."""
+    levelled = classes.join(found, "id", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumn("level", _level(F.col("links")))
+    sizes = {r["level"]: r["count"] for r in levelled.groupBy("level").count().collect()}  # at most 32 rows
+    quota = max(1, rows // len(sizes))
+    parts = [levelled.filter(F.col("level") == k).orderBy(F.xxhash64("id", F.lit(23)), "id").limit(quota).toPandas() for k in sorted(sizes)]
+    weights = {k: sizes[k] / len(p) for k, p in zip(sorted(sizes), parts)}
+    audited = pd.concat(parts).drop_duplicates("id")
+    ids = audited["id"].to_numpy()
+    exact = classes.mapInPandas(_auditor(ids, unit(stack(audited["vector"]))), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    true = exact.withColumn("true", _level(F.col("n"))).filter("n > 0").toPandas().merge(audited, on="id")
+    if not len(true):
+        return 1.0
+    w = true["level"].map(weights).to_numpy(dtype=float)
+    share = np.minimum(1.0, true["links"].to_numpy() / true["n"].to_numpy())
+    levels = true["true"].to_numpy()
+    return float(min((w * share)[levels == k].sum() / w[levels == k].sum() for k in np.unique(levels)))
+
+
+def _comparer() -> Callable:
+    def run(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+        if not len(graph) or not len(queries):
+            return none
+        ids, x, copies = graph["id"].to_numpy(), unit(stack(graph["vector"])), graph["copies"].to_numpy()
+        qids, qx = queries["id"].to_numpy(), unit(stack(queries["vector"]))
+        links, ends = np.zeros(len(qids), dtype=np.int64), []
+        for i in range(0, len(qids), 512):
+            hit = (qx[i : i + 512] @ x.T >= THRESHOLD) & (qids[i : i + 512, None] != ids[None, :])
+            links[i : i + 512] = hit @ copies
+            q, node = np.nonzero(hit)
+            ends.append(np.stack([q + i, node]))
+        q, node = np.concatenate(ends, 1)
+        every, at = np.unique(np.concatenate([qids, ids]), return_inverse=True)
+        roots = _roots(at[q], at[len(qids) + node], every)
+        out = pd.concat([pd.DataFrame({"id": qids, "links": links, "root": roots[at[: len(qids)]]}), pd.DataFrame({"id": ids, "links": np.zeros(len(ids), np.int64), "root": roots[at[len(qids) :]]})])
+        return out[(out["links"] > 0) | (out["root"] != out["id"])]
+
+    return run
+
+
+def _compare(classes: DataFrame, n: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """What _link gives, from every pair of blocks of classes compared exactly: work grows with the square of n."""
+    blocks = -(-n // block)
+    rows = classes.select("id", "vector", "copies", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("gb"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    graph = rows.withColumn("qb", other)
+    queries = rows.withColumnRenamed("gb", "qb").withColumn("gb", other).drop("copies")
+    found = cut(graph.groupBy("gb", "qb").cogroup(queries.groupBy("gb", "qb")).applyInPandas(_comparer(), "id long, links long, root long"))
+    return found.groupBy("id").agg(F.sum("links").alias("links")), found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+
+
 def _link(classes: DataFrame, n: int, *, overlap: int, near: int, spread: int, degree: int, shard: int, block: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
     """(id, links to vectors of other classes) and (a, b) links to local roots."""
     sample = classes.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(sample_rows).select("vector").toPandas()
@@ -302,14 +362,12 @@ def near_vectors(vectors: DataFrame, *, overlap: int = 2, near: int = 32, spread
     counts, stars = [], []
     for dim, n in sorted((r["dim"], r["count"]) for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()):
         own = classes.filter(F.size("vector") == dim)
-        audited = own.orderBy(F.xxhash64("id", F.lit(23)), "id").limit(audit_rows).toPandas()
-        ids = audited["id"].to_numpy()
-        exact = own.mapInPandas(_auditor(ids, unit(stack(audited["vector"]))), "id long, n long").agg(F.sum("n").alias("n")).first().n or 0
         for attempt in range(attempts):
             found, star = _link(own, n, overlap=overlap + 2 * attempt, near=near << attempt, spread=spread, degree=degree << attempt, shard=shard, block=block, sample_rows=sample_rows)
-            got = found.filter(F.col("id").isin(*map(int, ids))).agg(F.sum("links").alias("n")).first().n or 0
-            if got >= least_recall * exact:
+            if _recall(own, found, audit_rows) >= least_recall:
                 break
+        else:
+            found, star = _compare(own, n, block)
         counts.append(found)
         stars.append(star)
     out = vectors.select("vec_id", "vector").join(classes.withColumnRenamed("vector", "class_vector"), F.col("vector") == F.col("class_vector"), "left") if counts else vectors.withColumn("id", F.lit(None).cast("long")).withColumn("copies", F.lit(1))
