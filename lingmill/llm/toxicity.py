@@ -58,6 +58,10 @@ def features(text: str) -> set[str]:
     return {f + x for f, n in counts.items() for x in levels(n)}
 
 
+#: The pattern voter's name among the features; no word has it.
+SHOUTING = "!shouting"
+
+
 def shouting(text: str) -> bool:
     """A pattern voter: long runs of capitals or of exclamation marks."""
     return bool(re.search(r"!{3,}|\b[A-Z]{4,}(?:\s+[A-Z]{4,}){2,}", text))
@@ -85,6 +89,8 @@ class Model:
     def score(self, text: str) -> float:
         counts = Counter(f for w in set(WORD.findall(text.lower())) for f in self.hits(w))
         z = self.bias + math.fsum(self.weights.get(f + x, 0.0) for f, n in counts.items() for x in levels(n))
+        if SHOUTING in self.weights and shouting(text):
+            z += self.weights[SHOUTING]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -96,7 +102,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             found = features(t.as_py())
             if shouting(t.as_py()):
-                found.add("!shouting")
+                found.add(SHOUTING)
             ids += [i] * len(found)
             ys += [y] * len(found)
             fs += found
@@ -186,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, voters
     ratio = 2 * (term(F.col("p"), F.col("n") * share) + term(F.col("n") - F.col("p"), F.col("n") * (1 - share)))
     count = cut(count.withColumn("odds", odds).withColumn("ratio", ratio))
     least = 2 * math.log(max(2, count.count()))
-    good = count.filter((F.col("ratio") >= least) & (F.col("odds") >= least_odds) | F.col("feature").isin(*INSULTS, "!shouting"))
+    good = count.filter((F.col("ratio") >= least) & (F.col("odds") >= least_odds) | F.col("feature").isin(*INSULTS, SHOUTING))
     mined = cut(good.orderBy(F.desc("ratio"), "feature").limit(voters))
     names = [r.feature for r in mined.select("feature").collect()]
     if not names:
@@ -206,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, voters
     post, _, _ = label_model(votes, min(0.5, max(0.01, pos / (pos + neg))), start, alone=1)
     # documents where no voter fires tell the classifier what is clean
     w, b = linear(r, c, len(ids), len(at), post)
-    return Model({f: float(w[i]) for f, i in at.items() if f[0] != "!"}, float(b))
+    return Model({f: float(w[i]) for f, i in at.items()}, float(b))
 
 
 def scorer(model: Model):
