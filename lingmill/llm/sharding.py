@@ -8,6 +8,9 @@ document and on leaves below the node, so a change of one leaf's weight changes
 draws of the nodes above it: rows move only into or out of that subtree, and a new leaf
 takes rows only into itself.
 
+The least of least draws is the least of all, so this places as flat weighted rendezvous hashing
+over the leaves does; racks and regions change no placement, and every leaf is drawn for each row.
+
 All of it is one projection of built-in expressions; slots are numbered by a two-level
 count (cells of a shard, then rows within a cell), so no shard is sorted in one task.
 """

@@ -1,0 +1,12 @@
+"""What README says of op10_sharding: racks and regions change no placement."""
+
+from lingmill.llm.sharding import Tree, place
+from pyspark.sql import functions as F
+
+
+def test_tree_places_as_flat_hashing(spark):
+    weights = tuple(1.0 + i % 3 for i in range(41))
+    flat, deep = Tree(weights, per_rack=41, per_region=1), Tree(weights, per_rack=3, per_region=2)
+    k = F.col("id").cast("string")
+    rows = spark.range(2000).select(place(k, Tree(weights)).alias("a"), place(k, flat).alias("b"), place(k, deep).alias("c")).collect()
+    assert all(r.a == r.b == r.c for r in rows) and len({r.a for r in rows}) == 41
