@@ -44,11 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     their plans unused; rounds make too little garbage for it to run by itself, so it is asked to.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    out = _bounded(df.checkpoint(eager=True))
     gc.collect()
     df.sparkSession._jvm.System.gc()
     return out
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """df without its size estimate, where that has outgrown 62 bits.
+
+    A checkpoint keeps the estimate of its plan, and a join's is the product of its sides': in a loop
+    of joins the number of its digits doubles with every round, until planning does nothing but multiply.
+    """
+    plan = df._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() <= 62:
+        return df
+    return type(df)(df.sparkSession._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), df.sparkSession)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
