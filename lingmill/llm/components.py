@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star contractions.
 
 Each round is two aggregations keyed by node; hubs are pre-aggregated with min() before the
-shuffle, and the link table is cut in the shared checkpoint folder after each round. The
+shuffle, their links join by the node's complement, whose own exchange lets AQE split a hub
+(a join that reuses the aggregation's exchange can't be split), and the link table is cut in the shared checkpoint folder after each round. The
 number of rounds is logarithmic in the longest path, and nothing but two sums comes to the driver.
 """
 
@@ -15,14 +16,14 @@ from .common import cut
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("of"), F.least("a", "m").alias("m"))
+    return both.filter("b > a").join(least, F.bitwise_not("a") == F.col("of")).select(F.col("m").alias("a"), "b").filter("a <> b")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     # every row is (smaller, larger); each node joins its smaller neighbours under their least
-    least = e.groupBy("b").agg(F.min("a").alias("m"))
-    joined = e.join(least, "b").select(F.col("m"), F.col("a"), F.col("b"))
+    least = e.groupBy("b").agg(F.min("a").alias("m")).select(F.bitwise_not("b").alias("of"), "m")
+    joined = e.join(least, F.bitwise_not("b") == F.col("of")).select(F.col("m"), F.col("a"), F.col("b"))
     return joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
 
 

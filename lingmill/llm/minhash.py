@@ -6,13 +6,19 @@ least of exponential variables that the shingles draw. Registers merge by maximu
 locality sensitive: two sets agree in a register with a probability of at least their
 similarity. Documents of equal sets form a class, and classes go on alone.
 
-Bands of registers put classes into buckets. Within a bucket members are compared with a
-pivot drawn at random by hash, never all with all. For each candidate pair the similarity is
+Bands of registers put classes into buckets. Rounds of pivots follow: each bucket whose
+members stand in different components compares all of them with one member, the next by
+hash, and lets that one go. For each candidate pair the similarity is
 estimated by the joint likelihood of the registers and the set sizes; pairs that the
-estimate puts far below the threshold go, and the rest are confirmed on the full sets.
-Links found so far give components; pairs whose ends already share one need no check, as a
-link between them can change nothing. In the last round every pair of a bucket whose
-members still stand in different components is compared, so no bucket loses a link.
+estimate puts far below the threshold go, and the rest are confirmed on the full sets, each
+document's best pair first. Links found so far give components; pairs whose ends already
+share one need no check, as a link between them can change nothing. Rows of a round are at most
+as many as there are members left.
+
+Rounds end when what is open no longer shrinks. What is left then meets in blocks: small
+buckets whole, each pair only in the first band it shares; large ones are first joined where they share members, so that
+a pair meets once over all bands. Every pair of members of a bucket that still stand in
+different components is compared there, so no bucket loses a link.
 
 With r = 5 registers a band and 56 bands, a pair at 0.75 shares no bucket with a probability
 under 3e-7. The estimate's standard error at 0.75 is 0.026; pairs are let go below 0.63.
@@ -22,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -249,13 +254,13 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]
         yield made()
 
 
-def _candidates(g: Group, band: int | None) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(g: Group) -> Iterator[tuple[int, np.ndarray]]:
     """(row, later rows) of members that stand in different components and whose sizes and
     registers allow a link; in a bucket of a band, only pairs that share no earlier band.
 
     Registers are equal with a probability of at least the similarity, so a share of equal
     ones stands in for the estimate here: for sizes this near, one bounds the other."""
-    comp, half = g["component"], g["half"]
+    comp, half, band = g["component"], g["half"], int(g["band"][0])
     if (comp == comp[0]).all():
         return
     regs = np.frombuffer(b"".join(g["regs"]), dtype=np.uint8).reshape(-1, REGISTERS)
@@ -271,95 +276,178 @@ def _candidates(g: Group, band: int | None) -> Iterator[tuple[int, np.ndarray]]:
             continue
         same = regs[ys] == regs[x]
         enough = same.sum(1) >= LEAST_ESTIMATE * REGISTERS
-        if band is not None and enough.any():
+        if band >= 0 and enough.any():
             enough &= same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1) == band
         ys = ys[enough]
         if len(ys):
             yield x, ys
 
 
-class _Union:
-    def __init__(self):
-        self.root: dict[int, int] = {}
+def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs of sets.
+
+    Items of a single set are left out, those of two are counted by their pair, and the others by
+    products of presence matrices, `chunk` items at a time."""
+    n = len(sets)
+    out = np.zeros((n, n), dtype=np.int64)
+    if not n:
+        return out
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    items, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = rows[np.argsort(at, kind="stable")]  # by item
+    first = np.cumsum(times) - times
+    two = first[times == 2]
+    pairs = np.bincount(rows[two] * n + rows[two + 1], minlength=n * n).reshape(n, n)
+    out += pairs + pairs.T
+    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    rows = rows[np.repeat(times > 2, times)]
+    cols = np.repeat(np.arange(int((times > 2).sum())), times[times > 2])
+    many = int((times > 2).sum())
+    for low in range(0, many, chunk):
+        a, b = np.searchsorted(cols, [low, low + chunk])
+        there = np.zeros((n, min(chunk, many - low)), dtype=np.float32)
+        there[rows[a:b], cols[a:b] - low] = 1
+        shared = (there @ there.T).astype(np.int64)
+        np.fill_diagonal(shared, 0)
+        out += shared
+    return out
 
-    def find(self, x: int) -> int:
-        root = self.root
-        root.setdefault(x, x)
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.root[max(x, y)] = min(x, y)
-        return x != y
+_CELL = ["i", "j", "half", "id", "component", "n_shingles", "regs", "band"]
 
 
-_CELL = ["i", "j", "half", "id", "component", "n_shingles", "regs"]
+def _pairs_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    joined = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+    return pa.RecordBatch.from_arrays([joined(a), joined(b)], ["a", "b"])
 
 
-def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _merge(label: np.ndarray, nodes: np.ndarray) -> None:
+    """Gives all that have a label of one of the nodes the least of these labels."""
+    found = np.unique(label[nodes])
+    if len(found) > 1:
+        label[np.isin(label, found)] = found[0]
 
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bucket's candidates, as links to a root: at most one row a member."""
-    out: list[tuple[int, int]] = []
-    for g in _runs(batches, ["key", "i", "j"], [*_CELL, "band"]):
-        union, ids = _Union(), g["id"].tolist()
-        for x, ys in _candidates(g, int(g["band"][0])):
-            for y in ys.tolist():
-                union.join(ids[x], ids[y])
-        out += [(x, union.find(x)) for x in list(union.root) if union.find(x) != x]
-        if len(out) > 50_000:
-            yield _pairs_batch(out)
-            out = []
+    """Each cell's candidates, as links to a root: at most one row a member."""
+    left, right, held = [], [], 0
+    for g in _runs(batches, ["key", "i", "j"], _CELL):
+        ids, label = g["id"], np.arange(len(g["id"]))
+        for x, ys in _candidates(g):
+            _merge(label, np.append(ys, x))
+        leaf = np.flatnonzero(label != np.arange(len(ids)))
+        left.append(ids[leaf])
+        right.append(ids[label[leaf]])
+        held += len(leaf)
+        if held > 50_000:
+            yield _pairs_batch(left, right)
+            left, right, held = [], [], 0
     trim()
-    yield _pairs_batch(out)
+    yield _pairs_batch(left, right)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect all that a cluster's confirmed pairs connect, at most one a component."""
-    for g in _runs(batches, ["cluster", "i", "j"], [*_CELL, "items"]):
-        union, ids, comp = _Union(), g["id"].tolist(), g["component"].tolist()
-        items = [np.frombuffer(b, dtype=_U64) for b in g["items"]]
-        out = []
-        for x, ys in _candidates(g, None):
-            for y in ys.tolist():
-                if union.find(comp[x]) != union.find(comp[y]) and linked(items[x], items[y]):
-                    union.join(comp[x], comp[y])
-                    out.append((ids[x], ids[y]))
-        if out:
-            yield _pairs_batch(out)
+    """Links that connect all that a cluster's confirmed pairs connect, at most one a member."""
+    for g in _runs(batches, ["cluster", "i", "j"], ["i", "j", "half", "id", "component", "items"]):
+        ids, half = g["id"], g["half"]
+        comps, label = np.unique(g["component"], return_inverse=True)
+        if len(comps) == 1:
+            continue
+        sets = [np.frombuffer(b, dtype=_U64) for b in g["items"]]
+        n = np.array([len(s) for s in sets])
+        left, right = [], []
+        both = shared_counts(sets)
+        link = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+        if g["i"][0] != g["j"][0]:
+            link &= half[:, None] != half[None, :]
+        for x in range(len(ids)):
+            ys = np.flatnonzero(link[x] & (label != label[x]))
+            if len(ys):
+                ys = ys[np.unique(label[ys], return_index=True)[1]]
+                left.append(np.full(len(ys), ids[x]))
+                right.append(ids[ys])
+                _merge(label, np.append(ys, x))
+        if left:
+            yield _pairs_batch(left, right)
     trim()
 
 
-def _grid(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
-    """Deals the rows of each key into pairs of blocks (i, j) of about `block` rows, so that every pair of rows meets."""
-    own = rows.join(sizes.select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks")), key).withColumn("half", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _grid(rows: DataFrame, key: str, block: int, items: int = 1_000_000) -> DataFrame:
+    """Deals the rows of each key into pairs of blocks (i, j) of about `block` rows and `items` set items at most, so that every pair of rows meets."""
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / items)).cast("int")
+    own = rows.join(rows.groupBy(key).agg(blocks.alias("blocks")), key).withColumn("half", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return own.withColumn("i", F.least("half", "other")).withColumn("j", F.greatest("half", "other")).drop("other", "blocks")
 
 
-def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+def _of(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """rows with the component of their id, which is its own where it has no link."""
+    if comps is None:
+        return rows.withColumn("component", F.col("id"))
+    return rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _rest(left: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 512, small: int = 64) -> DataFrame:
     """Links between members of a bucket that still stand in different components.
 
-    Buckets are dealt into pairs of blocks, so no task holds more than two blocks whatever a
-    bucket's size. A first pass over registers finds candidate pairs and returns what they
-    connect; in these clusters, dealt likewise, pairs are confirmed on sets that travel once.
+    left(key, band, id, component): open buckets. Those of at most `small` members go to a task each. Larger ones are joined into
+    clusters of buckets that share members, and a cluster is dealt into pairs of blocks: no task
+    holds more than two blocks, and a row is copied once a block of its cluster, not once a band. This first pass, over
+    registers, returns what its candidate pairs connect; there, dealt likewise, pairs are confirmed on sets.
     """
-    placed = members.select("key", "band", "id").join(comps, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    opened = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
     signed = classes.select("id", "n_shingles", "regs")
-    cells = _grid(placed, "key", opened, block).join(signed, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    whole = left.join(sizes.filter(F.col("n") <= small).select("key"), "key", "left_semi")
+    whole = whole.select("key", "band", "id", "component", *[F.lit(0).alias(c) for c in ("half", "i", "j")])
+    large = cut(left.join(sizes.filter(F.col("n") > small), "key").select("id", "component", "least"))
+    met = components(large.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "key")
+    members = large.select("id", "component").distinct().join(met, "id").withColumn("band", F.lit(-1))
+    apart = _grid(cut(members.join(signed.select("id", "n_shingles"), "id")), "key", block).drop("n_shingles")
+    cells = whole.unionByName(apart).join(signed, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     clusters = components(cells.mapInArrow(_flag, "a long, b long")).withColumnRenamed("component", "cluster")
-    own = clusters.join(comps, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
-    sizes = own.groupBy("cluster").agg(F.count("*").alias("n"))
-    cells = _grid(own, "cluster", sizes, block).join(signed, "id").join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    own = cut(_of(clusters, comps).join(signed.select("id", "n_shingles"), "id"))
+    cells = _grid(own, "cluster", block).join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return cells.mapInArrow(_confirm, "a long, b long")
 
 
+def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enough: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, components and what is left open, (key, band, id, component), after rounds of pivots.
+
+    In a round each open bucket compares its members with a fresh pivot, which then leaves it. Rounds go on while one
+    leaves at most `enough` of the open rows. Likely pairs that were no document's best wait for the end.
+    """
+    links, waiting, comps = None, None, None
+    left, n = _of(members, None), None
+    while True:
+        pivots = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
+        met = left.join(pivots, "key").filter("id <> pivot")
+        pairs = met.filter("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        likely = cut(_likely(pairs, classes))
+        ends = likely.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("end"))
+        best = cut(ends.groupBy("end").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+        other = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
+        found = _confirmed(best, sets)
+        links = cut(found if links is None else links.union(found))
+        waiting = cut(other if waiting is None else waiting.union(other))
+        comps = components(links)
+        now = _of(met.select("key", "band", "id"), comps)
+        opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        left = cut(now.join(opened, "key", "left_semi").select("key", "band", "id", "component"))
+        before, n = n, left.count()
+        if not n or before is not None and n > enough * before:
+            break
+    side = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    across = waiting.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    found = cut(_confirmed(cut(across.select("a", "b")), sets))
+    if found.limit(1).count():
+        links = links.union(found)
+        comps = components(links)
+        now = _of(left.drop("component"), comps)
+        opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        left = cut(now.join(opened, "key", "left_semi").select("key", "band", "id", "component"))
+    return links, comps, left
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -372,22 +460,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = cut(texts.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, digest binary, regs binary"))
     classes = cut(signed.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
     bands = _bands(classes)
-    buckets = bands.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot")).filter("members > 1")
-    members = cut(bands.join(buckets.select("key", "pivot"), "key").select("key", "band", "id", "pivot"))
-    pairs = members.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    likely = cut(_likely(pairs, classes))
+    buckets = bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    members = cut(bands.join(buckets, "key", "left_semi").select("key", "band", "id"))
     # sets of all that share a bucket with anything else, made again from their texts
     wanted = members.select("id").distinct()
     sets = cut(texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, items binary"))
     if sets.groupBy("id").count().filter("count > 1").limit(1).count():  # repeated rows
         sets = cut(sets.distinct())
 
-    # first each document's best pair, then whatever could still join two components
-    ends = likely.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("end"))
-    best = ends.groupBy("end").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = cut(_confirmed(best, sets))
-    comps = components(links)
-    more = cut(_rest(members, comps, classes, sets))
+    links, comps, left = _pivot_rounds(members, classes, sets)
+    more = cut(_rest(left, comps, classes, sets))
     if more.limit(1).count():
         comps = components(links.union(more))
 
