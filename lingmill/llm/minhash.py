@@ -7,8 +7,8 @@ locality sensitive: two sets agree in a register with a probability of at least
 similarity. Documents of equal sets form a class, and classes go on alone.
 
 Bands of registers put classes into buckets. Rounds of pivots follow: each bucket whose
-members stand in different components compares all of them with one member, the next by
-hash, and lets that one go. For each candidate pair the similarity is
+members stand in different components compares all of them with one member, the next in
+an order by hash that all buckets share, and lets that one go. For each candidate pair the similarity is
 estimated by the joint likelihood of the registers and the set sizes; pairs that the
 estimate puts far below the threshold go, and the rest are confirmed on the full sets, each
 document's best pair first. Links found so far give components; pairs whose ends already
@@ -413,13 +413,14 @@ def _rest(left: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame
 def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enough: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links, components and what is left open, (key, band, id, component), after rounds of pivots.
 
-    In a round each open bucket compares its members with a fresh pivot, which then leaves it. Rounds go on while one
+    In a round each open bucket compares its members with a fresh pivot, which then leaves it. Members stand in the
+    same order in every bucket, so buckets that share most of their members share pivots, and pairs. Rounds go on while one
     leaves at most `enough` of the open rows. Likely pairs that were no document's best wait for the end.
     """
     links, waiting, comps = None, None, None
     left, n = _of(members, None), None
     while True:
-        pivots = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
+        pivots = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
         met = left.join(pivots, "key").filter("id <> pivot")
         pairs = met.filter("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         likely = cut(_likely(pairs, classes))
