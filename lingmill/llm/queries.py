@@ -29,11 +29,9 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from .packing import packing_query
 
-    return packing_query(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing_query(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lingmill.llm.packing import best_fit, byte_bpe, cut_lengths, pack, packing_query, tokenize
+from lingmill.llm.packing import BOUNDARY, Encoder, best_fit, cut_lengths, pack, packing_query, tokenize
 
-RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, piece string, length int"
 
 
@@ -23,10 +23,29 @@ def nasty():
     return ["".join(r.choices(bits, k=r.randint(0, 60))) for _ in range(200)] + ["", " ", "<|endoftext|>", " <|endoftext|> ", "a" * 5000]
 
 
+def same(own, library, texts):
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    return own.encode(texts) == want
+
+
 def test_ids_equal_the_library(library):
-    encode = byte_bpe(RANKS, PATTERN)
-    for text in nasty():
-        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert same(Encoder(PATH), library, nasty())
+    # a memo that is always full, and slices of a few characters
+    small = Encoder(PATH, memo=3, longest=6, slice_chars=7)
+    assert same(small, library, nasty()) and same(small, library, nasty()[::-1])
+
+
+def test_boundaries_hold_beside_every_character(library):
+    """No character next to a boundary, or within a run, makes the library's pre-tokens cross it."""
+    own = Encoder(PATH, memo=1)
+    points = [chr(c) for c in [*range(0x3000), *range(0xA000, 0xA100), 0xFEFF, 0xFFFD, 0x1F600, 0x10FFFF, 0x1C80, 0x2028, 0x2029, 0x3000]]
+    assert same(own, library, [f"a{c} b {c}d 1{c}" for c in points])
+
+
+def test_very_long_texts(library):
+    own = Encoder(PATH)
+    assert same(own, library, ["x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "a" * 2_000_000, "a \n" * 700_000, "some words " * 200_000])
+    assert BOUNDARY.search("a  b") is None and BOUNDARY.search("a b").start() == 1
 
 
 def test_cuts():
@@ -66,8 +85,8 @@ def check(rows, library, out):
 
 
 def test_round_trip(spark, library):
-    rows = list(enumerate(nasty())) + [(7, "again"), (7, "again"), (None, None), (300, "word " * 9000)]
-    out = packing_query(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA), RANKS, PATTERN).collect()
+    rows = list(enumerate(nasty())) + [(7, "again"), (7, "again"), (None, None), (300, "word " * 9000), (301, "x" + " " * 1_200_000 + "y")]
+    out = packing_query(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA), PATH).collect()
     by = check(rows, library, out)
     assert len(by) <= -(-sum(r.length for r in out) // 2048) + 1
 
@@ -80,6 +99,6 @@ def test_rounds_merge_across_partitions(spark):
 
 def test_empty_table_and_kept_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert packing_query(empty, RANKS, PATTERN).collect() == []
-    ids = tokenize(spark.createDataFrame([(1, "a b", "", 0)], SCHEMA), RANKS, PATTERN, keep_ids=True).first().ids
+    assert packing_query(empty, PATH).collect() == []
+    ids = tokenize(spark.createDataFrame([(1, "a b", "", 0)], SCHEMA), PATH, keep_ids=True).first().ids
     assert np.frombuffer(ids, dtype="<u4")[-1] == 0
