@@ -1,23 +1,21 @@
 """Sharding by a hierarchical weighted hash tree (law `key`).
 
-Shards are leaves of a tree region -> rack -> shard. For a document every leaf has an
-exponential draw -ln(u(doc_id, leaf)) / weight(leaf); the draw of a rack or region is the
-least draw below it, which is itself exponential with the subtree's total weight as its
-rate. Descending, each level takes the child with the least draw. A draw depends only on the
-document and on leaves below the node, so a change of one leaf's weight changes only the
-draws of the nodes above it: rows move only into or out of that subtree, and a new leaf
-takes rows only into itself.
+Shards are leaves of a tree region -> rack -> shard. A document descends it: every region
+has an exponential draw -ln(u(doc_id, region)) / weight, a region's weight being the sum of
+its shards', and the least draw wins; then the racks of that region draw, then the shards
+of that rack. A draw depends only on the document, the node and the node's weight. So a
+change of a shard's weight changes the draws of that shard, its rack and its region alone: rows
+move into or out of that region, within it into or out of that rack, and within that into or out of that shard.
 
-The least of least draws is the least of all, so this places as flat weighted rendezvous hashing
-over the leaves does; racks and regions change no placement, and every leaf is drawn for each row.
+A shard that is added opens a region of its own at the root (`Tree.plus`): it takes rows only into itself.
 
+A placement draws for regions + racks of one region + shards of one rack, not for all shards.
 All of it is one projection of built-in expressions; slots are numbered by a two-level
 count (cells of a shard, then rows within a cell), so no shard is sorted in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,65 +23,95 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
+Node = tuple[str, float, int]
+
 
 @dataclass(frozen=True)
 class Tree:
-    """shard s stands in rack s // per_rack, rack r in region r // per_region."""
+    """regions[r][k] are the shards (number, weight) of rack k of region r."""
 
-    weights: tuple[float, ...]
-    per_rack: int = 5
-    per_region: int = 4
+    regions: tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
 
-    @classmethod
-    def even(cls, shards: int) -> Tree:
-        return cls((1.0,) * shards)
-
-    def regions(self) -> dict[int, dict[int, list[int]]]:
-        out: dict[int, dict[int, list[int]]] = {}
-        for s, w in enumerate(self.weights):
-            if w < 0:
-                raise ValueError("weights must not be negative")
-            if w > 0:
-                rack = s // self.per_rack
-                out.setdefault(rack // self.per_region, {}).setdefault(rack, []).append(s)
-        if not out:
+    def __post_init__(self):
+        weights = [w for region in self.regions for rack in region for _, w in rack]
+        if any(w < 0 for w in weights):
+            raise ValueError("weights must not be negative")
+        if not any(w > 0 for w in weights):
             raise ValueError("a tree needs a shard of positive weight")
-        return out
 
+    @classmethod
+    def of(cls, weights: list[float] | tuple[float, ...], per_rack: int = 5, per_region: int = 4) -> Tree:
+        """Shard s stands in rack s // per_rack, rack r in region r // per_region."""
+        shards = list(enumerate(map(float, weights)))
+        racks = [tuple(shards[i : i + per_rack]) for i in range(0, len(shards), per_rack)]
+        return cls(tuple(tuple(racks[i : i + per_region]) for i in range(0, len(racks), per_region)))
+
+    @classmethod
+    def even(cls, shards: int, per_rack: int = 5, per_region: int = 4) -> Tree:
+        return cls.of((1.0,) * shards, per_rack, per_region)
+
+    def plus(self, weight: float = 1.0) -> Tree:
+        """With one more shard, in a region of its own."""
+        number = 1 + max(s for region in self.regions for rack in region for s, _ in rack)
+        return Tree((*self.regions, (((number, float(weight)),),)))
+
+    def root(self) -> list[Node]:
+        """(name, weight, number) of the regions of positive weight."""
+        return [(f"region-{r}", w, r) for r, region in enumerate(self.regions) if (w := sum(w for rack in region for _, w in rack)) > 0]
+
+    def racks(self, region: int) -> list[Node]:
+        return [(f"rack-{region}-{k}", w, k) for k, rack in enumerate(self.regions[region]) if (w := sum(w for _, w in rack)) > 0]
+
+    def shards(self, region: int, rack: int) -> list[Node]:
+        return [(f"shard-{s}", w, s) for s, w in self.regions[region][rack] if w > 0]
+
+
+def _draw(key: Column, nodes: list[Node]) -> Column:
+    """The number of the node with the least draw."""
+    if len(nodes) == 1:
+        return F.lit(nodes[0][2])
+    u = lambda name: (F.pmod(F.xxhash64(key, F.lit(name)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return F.least(*[F.struct((-F.log(u(name)) / F.lit(weight)).alias("draw"), F.lit(number).alias("number")) for name, weight, number in nodes])["number"]
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    u = (F.pmod(F.xxhash64(key, F.lit(f"shard-{shard}")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.struct((-F.log(u) / F.lit(float(weight))).alias("draw"), F.lit(shard).alias("shard"))
 
+def _chosen(of: Column, branches: dict[int, Column]) -> Column:
+    out = None
+    for number, branch in branches.items():
+        out = F.when(of == number, branch) if out is None else out.when(of == number, branch)
+    return out
 
-def _least(items: Sequence[Column]) -> Column:
-    return items[0] if len(items) == 1 else F.least(*items)
 
+def place(docs: DataFrame, key: Column, tree: Tree, name: str) -> DataFrame:
+    """docs with the shard of their key: a draw of regions, then one of the racks of that region, then one of that rack's shards.
 
-def place(key: Column, tree: Tree) -> Column:
-    """Shard of a key: the least draw of each rack, of each region, of all regions."""
-    regions = []
-    for racks in tree.regions().values():
-        regions.append(_least([_least([_draw(key, s, tree.weights[s]) for s in shards]) for shards in racks.values()]))
-    return _least(regions)["shard"]
+    Each level is a column of its own, so that a branch draws only for the node that was chosen."""
+    region, rack = f"__{name}_region", f"__{name}_rack"
+    regions = [r for _, _, r in tree.root()]
+    docs = docs.withColumn(region, _draw(key, tree.root()))
+    docs = docs.withColumn(rack, _chosen(F.col(region), {r: _draw(key, tree.racks(r)) for r in regions}))
+    leaves = {r: _chosen(F.col(rack), {k: _draw(key, tree.shards(r, k)) for _, _, k in tree.racks(r)}) for r in regions}
+    return docs.withColumn(name, _chosen(F.col(region), leaves)).drop(region, rack)
 
 
 def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, *, row_overhead: int = 16, cells: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, shard, grown_shard, slot.
 
-    Null doc_ids share one key. Repeated rows go to the same shard and get slots of their
-    own. A null text has no bytes. An empty table gives an empty one. Only doc_id and text
+    Null doc_ids share one key, and so a shard; their slots are dealt by their texts. Repeated rows go to the same shard and get slots of their
+    own. A null text has no bytes, a text may be of any length. An empty table gives an empty one. Only doc_id and text
     are read; other columns don't matter.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    text = text_of()
     base = docs.select(
         "doc_id",
-        (F.octet_length(text_of()) + F.lit(row_overhead)).cast("long").alias("size"),
-        F.crc32(text_of().cast("binary")).cast("long").alias("text_crc32"),
-        place(key, tree).alias("shard"),
-        (place(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("cell")), F.lit(cells)).cast("int").alias("cell"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"),
+        (F.octet_length(text) + F.lit(row_overhead)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
     )
+    key = F.col("key")
+    base = place(base, key, tree, "shard")
+    base = place(base, key, grown, "grown_shard") if grown else base.withColumn("grown_shard", F.lit(None).cast("int"))
+    # rows of one key, repeated or null, spread over cells by what they hold
+    base = base.withColumn("cell", F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(cells)).cast("int")).drop("key")
     counts = base.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = counts.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("first_slot"))
     rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size"))
@@ -93,5 +121,8 @@ def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, *, row_overhe
 
 
 def sharding_query(docs: DataFrame, shards: int = 40) -> DataFrame:
-    out = assign(docs, Tree.even(shards), Tree.even(shards + 1), cells=256)
+    """The contract's columns over every row of docs, by `assign`: null doc_ids share a shard, null texts have no bytes,
+    repeated rows keep their own slots, an empty table gives an empty one, other columns are not read."""
+    tree = Tree.even(shards)
+    out = assign(docs, tree, tree.plus(), cells=256)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), "slot", F.col("grown_shard").cast("int"))
