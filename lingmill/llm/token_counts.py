@@ -96,9 +96,11 @@ def _count(batches: Iterator[pa.RecordBatch], *, model_path: str, limit: int, hu
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), counts, pa.array([c > limit for c in counts.to_pylist()], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
-def token_counts(docs: DataFrame, model_path: str, *, limit: int = 4096, huge: int = 200_000, chunk: int = 50_000, overlap: int = 400) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, *, limit: int = 4096, huge: int = 8_192, chunk: int = 4_096, overlap: int = 128) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
+    Texts of more than `huge` characters are spliced from chunks of `chunk`; a shorter one is its own only chunk.
+    A text of any length without a proven boundary, such as a run of one letter, is encoded whole in the end.
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows stay; an empty table gives an
     empty one. Only doc_id and text are read. No shuffle: one narrow pass.
     """

@@ -23,7 +23,7 @@ def test_spliced_counts_equal_whole_ones():
 
 
 def test_query(spark):
-    rows = list(enumerate(texts())) + [(1, None), (2, ""), (None, "null id"), (3, "long text, " * 30000), (3, "long text, " * 30000)]
+    rows = list(enumerate(texts())) + [(1, None), (2, ""), (None, "null id"), (3, "long text, " * 30000), (3, "long text, " * 30000), (4, "x" * 100_000), (5, " " * 100_000), (6, "漢" * 50_000)]
     p = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     out = token_counts(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), MODEL, huge=5000, chunk=2000, overlap=100).collect()
     want = [(i, len((t or "").encode()), len(p.encode(t or ""))) for i, t in rows]
@@ -31,5 +31,14 @@ def test_query(spark):
     assert all(r.over_limit == (r.n_tokens > 4096) for r in out)
 
 
+def test_defaults_splice(spark):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choices(["the ", "  ", "abc", "é", "\n", "漢字", " a", "😀 ", "Straße "], k=9000))) for i in range(6)]
+    p, stable = load(MODEL)
+    assert stable and all(len(t) > 8192 for _, t in rows) and all(count_spliced(p, t, 4096, 128) == len(p.encode(t)) for _, t in rows)
+    out = token_counts(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), MODEL).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == {i: len(p.encode(t)) for i, t in rows}
+
+
 def test_empty_table(spark):
     assert token_counts(spark.createDataFrame([], SCHEMA), MODEL).count() == 0
