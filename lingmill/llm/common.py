@@ -6,13 +6,13 @@ import ctypes
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ensure_checkpoint_dir, ship_package
 from ..session import load as table
 
-__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "n_space_words", "ship_package", "table", "text_of", "trim"]
+__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "n_space_words", "ship_package", "table", "text_of", "trim", "unused_names"]
 
 
 @lru_cache(maxsize=1)
@@ -49,3 +49,15 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 def n_space_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(SPACE_WORD)).cast("long")
+
+
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for no column of df to have them."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        out.append(name)
+        there.add(name.lower())
+    return out

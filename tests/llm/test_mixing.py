@@ -1,7 +1,11 @@
+import math
 import random
 from collections import defaultdict
 
-from lingmill.llm.mixing import mix, mixing_query
+import pytest
+import xxhash
+
+from lingmill.llm.mixing import mix, mixed_documents, mixing_query
 
 SCHEMA = "doc_id long, text string, source string, target int, taken string"
 
@@ -70,3 +74,86 @@ def test_empty_table_and_empty_texts(spark):
     assert mixing_query(frame(spark, [])).count() == 0
     out = mixing_query(frame(spark, [(1, "", "a"), (2, None, "b")])).collect()
     assert [(r.size, r.taken, r.target) for r in out] == [(0, 0, 0.0)] * 2
+
+
+def chained(*values):
+    """The hash that draws: strings one after the other, then a 32-bit seed."""
+    h = 42
+    for v in values[:-1]:
+        h = xxhash.xxh64_intdigest(v.encode(), seed=h)
+    m = (1 << 64) - 1
+    rotl = lambda x, r: ((x << r) | (x >> 64 - r)) & m
+    h = (h + 0x27D4EB2F165667C5 + 4) & m
+    h ^= values[-1] * 0x9E3779B185EBCA87 & m
+    h = (rotl(h, 23) * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) & m
+    for shift, by in ((33, 0xC2B2AE3D27D4EB4F), (29, 0x165667B19E3779F9)):
+        h = ((h ^ h >> shift) * by) & m
+    return h ^ h >> 32
+
+
+def brute_sample(data, seed=7):
+    """(doc_id, text, source) -> words taken, by sorting each source's keys and offering every document."""
+    sizes = defaultdict(int)
+    for _, t, s in data:
+        sizes[s] += len((t or "").split())
+    want, out = water(sizes, (5, 2, 1)), defaultdict(list)
+    for s in sizes:
+        keyed = []
+        for i, t, s2 in data:
+            if s2 == s:
+                t = t or ""
+                letters = sum(c.isalpha() for c in t)
+                q = max(0.25, round(letters / max(1, len(t)), 6))
+                u = (chained("null" if i is None else str(i), t, seed) % (1 << 52) + 0.5) / (1 << 52)
+                keyed.append((-math.log(u) / q, i is None, i or 0, len(t.split()), t))
+        epochs = int(want[s] // sizes[s]) if sizes[s] else 0
+        total, room, ended = 0, want[s] - epochs * sizes[s], False
+        for key, _, i, n, t in sorted(keyed):
+            fits = n <= room
+            ended |= not fits
+            out[s].append((key, i, n, epochs, fits, ended))
+            room -= n if fits else 0
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [8, 64, 100_000])
+def test_sample_equals_brute_force(spark, cell_rows):
+    data = rows(900)
+    want = brute_sample(data)
+    got = defaultdict(lambda: defaultdict(list))
+    for r in mix(frame(spark, data), cell_rows=cell_rows).collect():
+        got[r.source][r.doc_id or 0].append((r.size, r.times))
+    for s, every in want.items():
+        by_id = defaultdict(list)
+        for _, i, n, epochs, fits, ended in every:
+            by_id[i].append((n, epochs, fits, ended))
+        for i, own in by_id.items():
+            have = sorted(got[s][i])
+            assert [n for n, _ in have] == sorted(n for n, *_ in own)
+            for (n, times), (_, epochs, fits, ended) in zip(have, sorted(own)):
+                # behind the place where the first document doesn't fit, small ones are offered only inside the interval
+                assert times == epochs + fits or ended and times == epochs
+
+
+CLASHES = ["id", "size", "key", "row", "cell", "target", "room", "epochs", "sample", "extra", "times", "n", "low", "high", "of", "source_size", "spread", "number", "takes_t", "rows_t", "col", "__no", "a.b", "kept", "Rows"]
+
+
+def test_columns_of_any_name_stay(spark):
+    data = [(i, " ".join(["w"] * (1 + i % 30)), "ab"[i % 2], *[f"{c}-{i}" for c in CLASHES]) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    out = mixed_documents(docs, cell_rows=16)
+    assert out.columns == docs.columns
+    known = {d[0]: d for d in data}
+    made = out.collect()
+    assert made and all(tuple(r) == known[r.doc_id] for r in made)
+
+
+def test_equal_rows_and_null_ids(spark):
+    data = [(None, "same words here", "a")] * 3000 + [(None, f"text {i} of a null id", "b") for i in range(2000)] + [(9, "x" * 1_500_000 + " y", "c")]
+    out = mix(frame(spark, data), cell_rows=50).collect()
+    taken = defaultdict(int)
+    for r in out:
+        taken[r.source] += r.taken
+    goal = {r.source: r.target for r in out}
+    assert len(out) == len(data) and all(abs(taken[s] - goal[s]) <= 5 for s in goal)
+    assert len({r.times for r in out if r.source == "b"}) == 2
