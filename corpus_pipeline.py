@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingmill.llm.common import cut, ensure_checkpoint_dir, n_space_words, table, text_of
+from lingmill.llm.common import cut, ensure_checkpoint_dir, table, text_of, unused_names
 from lingmill.llm.minhash import near_duplicates
 from lingmill.llm.mixing import mixed_documents
 from lingmill.llm.packing import packing_query
 from lingmill.llm.toxicity import fit, scorer
+from lingmill.session import delete_folder
 
 TOXIC_AT = 0.3
 
@@ -28,43 +29,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(score(text_of()) < TOXIC_AT)
 
 
-def _matched(docs: DataFrame, facts: DataFrame, order: list, by: list[str]) -> DataFrame:
-    """docs with the columns of facts, one row of facts(doc_id, ...) for each of docs.
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id, once.
 
-    Where a doc_id stands once, rows join by it. Repeated and null ones are numbered on
-    both sides, docs by `order` and facts by the columns `by`; only these rows are sorted.
+    Of rows that share this doc_id the one with the least text stays; null doc_ids all stay.
     """
-    ids = facts.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    many = cut(ids.filter("__n > 1 or __id is null").select("__id"))
-    facts = facts.withColumnRenamed("doc_id", "__doc")
-    once = facts.join(many, F.col("__doc").eqNullSafe(F.col("__id")), "left_anti")
-    single = docs.join(once, F.col("doc_id") == F.col("__doc"))
-    rows = docs.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    of = facts.join(many, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").withColumn("__no", F.row_number().over(Window.partitionBy("__doc").orderBy(*by)))
-    several = rows.join(of, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__no"))).drop("__row", "__no")
-    return single.unionByName(several).drop("__doc")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, once."""
     found = cut(near_duplicates(docs))
-    ids = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.min("kept").alias("__kept"))
+    of, n, kept, row = unused_names(docs, "of", "n", "kept", "row")
+    ids = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias(n), F.min("kept").alias(kept))
     # what goes is the smaller side; it is broadcast only if Spark measures it as small
-    other = cut(ids.filter("__n > 1 or not __kept"))
-    single = docs.join(other, F.col("doc_id") == F.col("__id"), "left_anti")
-    again = docs.join(other.filter("__kept"), F.col("doc_id") == F.col("__id"), "left_semi")
-    first = again.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text"))).filter("__row = 1").drop("__row")
-    return single.unionByName(first)
+    other = cut(ids.filter((F.col(n) > 1) | ~F.col(kept)))
+    same = F.col("doc_id") == F.col(of)
+    single = docs.join(other, same, "left_anti")
+    again = docs.join(other.filter(F.col(kept)), same, "left_semi")
+    # a minimum runs before the shuffle, however many rows share the id
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text").isNull(), "text")).alias(row))
+    return single.unionByName(first.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Texts are shuffled only where a source's sample ends."""
-    decided, rest, decisions = mixed_documents(docs)
-    facts = decisions.select("doc_id", F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("times").alias("__times"))
-    order = [F.col("source").asc_nulls_first(), n_space_words(text_of()), F.xxhash64("text")]
-    rows = decided.unionByName(_matched(rest, facts, order, ["__source", "__size", "__times"]).drop("__source", "__size"))
-    times = F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__again")
-    return rows.filter("__times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("__again")
+    """Each document as often as the mix takes it."""
+    return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,11 +66,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again."""
+    """All stages over documents; what a stage returns is written and read again, and goes once the next one is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            delete_folder(spark, before)
+        before = f"{folder}/{name}"
+    out = cut(STAGES[-1][1](spark, docs, sf_dir))
+    delete_folder(spark, folder)
+    return out
