@@ -52,6 +52,17 @@ def test_stages(spark, folder):
     assert packed.count() >= mixed.count()
 
 
+def test_stages_keep_columns_of_any_name(spark, folder):
+    names = ["of", "_of", "n", "row", "id", "size", "key", "cell", "target", "room", "epochs", "sample", "extra", "component_id", "__id", "__kept", "score", "low"]
+    data = [(*r, *[f"{c}-{r[0]}" for c in names]) for r in rows()[:330]]
+    docs = spark.createDataFrame(data, DOCS + ", " + ", ".join(f"`{c}` string" for c in names))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        made = out.collect()
+        assert made and set(map(tuple, made)) <= set(data)
+
+
 def test_repeated_rows_are_matched_one_by_one(spark, folder):
     docs = spark.createDataFrame([(1, "a b c", "en", "x", 0, "", 0)] * 3 + [(None, "d e", "en", "x", 0, "", 0)] * 2, DOCS)
     out = pipeline.mixing(spark, docs, folder).collect()
