@@ -36,16 +36,19 @@ BOUNDARY = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
 class Encoder:
     """Ids of whole texts by the library's tokenizer at path, with a memo of the ids of short runs between boundaries.
 
-    The memo has two generations of at most `memo` runs: what is not met again goes. Texts are taken in slices of about
-    `slice_chars`, cut at boundaries; a run without one goes to the library whole.
+    The memo starts anew when it holds `memo` runs. Texts are taken in slices of about
+    `slice_chars`, cut at boundaries; a run without one goes to the library whole. New runs from inside a slice go to
+    the library as lines of one text: a line end before a space is a pre-token, and a token, of its own.
     """
 
-    def __init__(self, path: str, memo: int = 300_000, longest: int = 40, slice_chars: int = 1 << 20):
+    def __init__(self, path: str, memo: int = 600_000, longest: int = 40, slice_chars: int = 1 << 20, lines: int = 4096):
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.longest, self.slice_chars = Tokenizer.from_file(path), memo, longest, slice_chars
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.library, self.most, self.longest, self.slice_chars, self.lines = Tokenizer.from_file(path), memo, longest, slice_chars, lines
+        ends = {tuple(self.library.encode(x, add_special_tokens=False).ids[-2:-1]) for x in ("a\n b", "7\n 7", "!\n !")}
+        alone = self.library.encode("\n", add_special_tokens=False).ids
+        self.line_end = alone[0] if ends == {tuple(alone)} and len(alone) == 1 else None
+        self.memo: dict[str, bytes] = {}
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -60,6 +63,26 @@ class Encoder:
     def _raw(self, runs: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
 
+    def _learn(self, inner: set[str], other: set[str]) -> list[str]:
+        """Puts the ids of runs into the memo; inner ones start with a space and end with a character that is no white space. Returns the long runs."""
+        new = inner.difference(self.memo)
+        rest = other.difference(self.memo)
+        plain = [r for r in new if "\n" not in r] if self.line_end is not None else []
+        if len(plain) < len(new):
+            rest.update(new.difference(plain))
+        parts = [plain[at : at + self.lines] for at in range(0, len(plain), self.lines)]
+        for part, e in zip(parts, self.library.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) == len(part) - 1:
+                raw, cuts = ids.tobytes(), (4 * ends).tolist()
+                self.memo.update(zip(part, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]))
+            else:
+                rest.update(part)
+        some = list(rest)
+        self.memo.update(zip(some, self._raw(some)))
+        return [r for r in (*new, *some) if len(r) > self.longest]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         out: list[list[bytes]] = [[] for _ in texts]
@@ -76,17 +99,15 @@ class Encoder:
         return [b"".join(x) for x in out]
 
     def _flush(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        young, old = self.young, self.old
-        runs = {r for _, rs in held for r in rs}
-        new = [r for r in runs if r not in young and r not in old]
-        here = dict(zip(new, self._raw(new)))
-        here.update((r, young[r] if r in young else old[r]) for r in runs if r not in here)
+        inner = set().union(*[rs[1:-1] for _, rs in held])
+        long = self._learn(inner, {r for _, rs in held for r in (rs[0], rs[-1])})
         for i, rs in held:
-            out[i] += [here[r] for r in rs]
+            out[i].append(b"".join(map(self.memo.__getitem__, rs)))
         held.clear()
-        young.update((r, ids) for r, ids in here.items() if len(r) <= self.longest)
-        if len(young) >= self.most:
-            self.old, self.young = young, {}
+        if len(self.memo) >= self.most:
+            self.memo = {}
+        for r in long:
+            self.memo.pop(r, None)
 
 
 @lru_cache(maxsize=2)

@@ -31,15 +31,16 @@ def same(own, library, texts):
 def test_ids_equal_the_library(library):
     assert same(Encoder(PATH), library, nasty())
     # a memo that is always full, and slices of a few characters
-    small = Encoder(PATH, memo=3, longest=6, slice_chars=7)
+    small = Encoder(PATH, memo=3, longest=6, slice_chars=7, lines=2)
     assert same(small, library, nasty()) and same(small, library, nasty()[::-1])
 
 
 def test_boundaries_hold_beside_every_character(library):
     """No character next to a boundary, or within a run, makes the library's pre-tokens cross it."""
-    own = Encoder(PATH, memo=1)
+    own = Encoder(PATH)
+    assert own.line_end is not None
     points = [chr(c) for c in [*range(0x3000), *range(0xA000, 0xA100), 0xFEFF, 0xFFFD, 0x1F600, 0x10FFFF, 0x1C80, 0x2028, 0x2029, 0x3000]]
-    assert same(own, library, [f"a{c} b {c}d 1{c}" for c in points])
+    assert same(own, library, [f"a{c} b {c}d 1{c} c{c}e f{c} .{c} {c}" for c in points])
 
 
 def test_very_long_texts(library):
