@@ -111,8 +111,9 @@ def inverse_sqrt_schedule(spark: SparkSession, steps: int, *, warmup: int, times
 def poisson_pmf(spark: SparkSession, rate: float = 3.0, most: int = 128, least: float = 1e-7) -> DataFrame:
     """(k, p): the law of span lengths, cut off at `most` or where it falls under `least`."""
     k = F.col("id")
-    p = F.exp(-F.lit(rate) + k * F.log(F.lit(rate)) - F.log(F.factorial(F.least(k, F.lit(20))).cast("double")))
-    rows = spark.range(min(most, 21)).select(k.cast("int").alias("k"), F.round(p, 12).alias("p"))
+    factors = F.when(k > 0, F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    p = F.exp(F.aggregate(factors, F.lit(-float(rate)), lambda s, j: s + F.log(F.lit(float(rate)) / j)))
+    rows = spark.range(most).select(k.cast("int").alias("k"), F.round(p, 12).alias("p"))
     return rows.filter((F.col("p") >= least) | (F.col("k") <= rate))
 
 

@@ -13,17 +13,17 @@ from .registry import query
 
 BOUNDS = [200, 500, 1000, 2000, 4000]
 _CAPS = b.caps(BOUNDS, 8000, 16)
-_SQL_WORDS = 40  # of each text in fx.TOKENS; queries whose rows hold more than their SQL's first tokens need it
+_LONGEST = 1024  # tokens of an encoded sequence or a padded row: the operators' own limit
 
 
 def _text(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-@query(f"WITH {fx.TOKENS} SELECT id, array_to_string(list_concat(list_concat([id % 4 + 5], ids[1:14]), [2]), ',') AS ids FROM tokens")
+@query(f"WITH {fx.TOKENS} SELECT id, array_to_string(list_concat(list_concat([id % 4 + 5], ids[1:{_LONGEST - 2}]), [2]), ',') AS ids FROM tokens")
 def encode_sequence(spark, d):
     own = fx.tokens(spark, d)
-    return own.select("id", _text(s.encode(F.col("ids"), (F.col("id") % 4 + 5).cast("int"), 2, 16)).alias("ids"))
+    return own.select("id", _text(s.encode(F.col("ids"), (F.col("id") % 4 + 5).cast("int"), 2, _LONGEST)).alias("ids"))
 
 
 def _numbered(spark, d):
@@ -85,18 +85,18 @@ def rank_shard(spark, d):
     return b.rank_shard(_order(spark, d), "position", 4, 1).select("slot", "position")
 
 
-@query(f"""WITH {fx.TOKENS}, t AS (SELECT id, id // 8 AS batch, ids[1:(id % 30 + 1)] AS x FROM tokens), m AS (SELECT *, least(max(len(x)) OVER (PARTITION BY batch), 24) AS top FROM t)
+@query(f"""WITH {fx.TOKENS}, t AS (SELECT id, id // 8 AS batch, ids AS x FROM tokens), m AS (SELECT *, least(max(len(x)) OVER (PARTITION BY batch), {_LONGEST}) AS top FROM t)
  SELECT id, array_to_string(list_transform(range(1, top + 1), lambda k : coalesce(x[k], 1)), ',') AS ids, array_to_string(list_transform(range(1, top + 1), lambda k : CASE WHEN k <= len(x) THEN 1 ELSE 0 END), ',') AS mask FROM m""")
 def pad_and_mask(spark, d):
-    own = fx.tokens(spark, d).select("id", F.floor(F.col("id") / 8).alias("batch"), F.slice("ids", F.lit(1), (F.col("id") % 30 + 1).cast("int")).alias("x"))
-    return b.pad_batch(own, {"x": 1}, ["batch"], 24).select("id", _text("x").alias("ids"), _text("x_mask").alias("mask"))
+    own = fx.tokens(spark, d).select("id", F.floor(F.col("id") / 8).alias("batch"), F.col("ids").alias("x"))
+    return b.pad_batch(own, {"x": 1}, ["batch"], _LONGEST).select("id", _text("x").alias("ids"), _text("x_mask").alias("mask"))
 
 
 @query(f"""WITH {fx.TOKENS}, p AS (SELECT id, ids AS s, list_reverse(ids) AS t, id % 3 = 0 AS dae FROM tokens)
  SELECT id, 0 AS side, array_to_string(s, ',') AS input_ids, array_to_string(CASE WHEN dae THEN s ELSE t END, ',') AS labels, CASE WHEN dae THEN 0 ELSE 1 END AS mse FROM p
  UNION ALL SELECT id, 1, array_to_string(t, ','), array_to_string(CASE WHEN dae THEN t ELSE s END, ','), CASE WHEN dae THEN 0 ELSE 1 END FROM p""")
 def expand_pairs(spark, d):
-    own = fx.tokens(spark, d, _SQL_WORDS).select("id", F.col("ids").alias("source_ids"), F.reverse("ids").alias("target_ids"))
+    own = fx.tokens(spark, d).select("id", F.col("ids").alias("source_ids"), F.reverse("ids").alias("target_ids"))
     out = b.expand_pairs(own, F.col("id") % 3 == 0)
     return out.select("id", "side", _text("input_ids").alias("input_ids"), _text("labels").alias("labels"), "mse")
 
@@ -104,13 +104,13 @@ def expand_pairs(spark, d):
 @query(f"""WITH {fx.TOKENS}, n AS (SELECT id, ids, len(ids) - 2 AS n, CASE WHEN len(ids) > 2 THEN (id * 7) % (len(ids) - 2) ELSE 0 END AS k FROM tokens)
  SELECT id, array_to_string(CASE WHEN n < 2 THEN ids ELSE list_concat(list_concat(ids[1:1], list_concat(ids[k + 2:n + 1], ids[2:k + 1])), ids[n + 2:n + 2]) END, ',') AS ids FROM n""")
 def rotate_tokens(spark, d):
-    return fx.tokens(spark, d, _SQL_WORDS).select("id", _text(s.rotate(F.col("ids"), F.col("id") * 7)).alias("ids"))
+    return fx.tokens(spark, d).select("id", _text(s.rotate(F.col("ids"), F.col("id") * 7)).alias("ids"))
 
 
 @query(f"WITH {fx.TOKENS} SELECT id, array_to_string(list_transform(ids, lambda x : CASE WHEN x = 13 THEN 0 ELSE x END), ',') AS ids FROM tokens")
 def strip_ignore_index(spark, d):
     marked = F.transform("ids", lambda x: F.when(x == 13, -100).otherwise(x))
-    return fx.tokens(spark, d, _SQL_WORDS).select("id", _text(s.replace_ignored(marked, 0)).alias("ids"))
+    return fx.tokens(spark, d).select("id", _text(s.replace_ignored(marked, 0)).alias("ids"))
 
 
 @query()
@@ -140,10 +140,10 @@ def multi_key_sort(spark, d):
     return fx.load(spark, d, "documents").select("lang", "doc_id", "n_chars").orderBy(F.desc("n_chars"), F.desc("lang"), F.desc("doc_id"))
 
 
-@query("SELECT i, d.doc_id, d.n_chars FROM (SELECT doc_id AS i, (doc_id * 3) % 97 AS doc_id FROM documents) JOIN documents d USING (doc_id)")
+@query("SELECT i, d.doc_id, d.n_chars FROM (SELECT doc_id AS i, (doc_id * 3) % (SELECT count(*) FROM documents) AS doc_id FROM documents) JOIN documents d USING (doc_id)")
 def gather_positions(spark, d):
     own = fx.load(spark, d, "documents")
-    wanted = own.select(F.col("doc_id").alias("i"), (F.col("doc_id") * 3 % 97).alias("doc_id"))
+    wanted = own.select(F.col("doc_id").alias("i"), (F.col("doc_id") * 3 % F.lit(own.count())).alias("doc_id"))
     return b.gather(own.select("doc_id", "n_chars"), wanted, "doc_id").select("i", "doc_id", "n_chars")
 
 

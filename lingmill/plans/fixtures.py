@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import load
@@ -38,7 +38,7 @@ FEATURES = (
 KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\s]', '', 'g'), '[\x00-\x1F\x7F]', '', 'g'), '\p{{Nd}}', '', 'g'), '\s+', ' ', 'g'))"
 EMB = "emb AS (SELECT 'l' || label AS lang, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding::DOUBLE[] AS emb, vec_id, label FROM embeddings)"
 SEED = BASE + ", seed AS (SELECT row_number() OVER (PARTITION BY code ORDER BY doc_id) AS id, text, 'doc/' || doc_id AS url, code AS nllb_code FROM base)"
-TOKENS = "tokens AS (SELECT doc_id AS id, list_transform(string_split(text, ' ')[1:40], lambda w : length(w) + 10)::INTEGER[] AS ids, n_chars FROM documents)"
+TOKENS = "tokens AS (SELECT doc_id AS id, list_transform(string_split(text, ' '), lambda w : length(w) + 10)::INTEGER[] AS ids, n_chars FROM documents)"
 PREDICTIONS = BITEXT + r""", predictions AS (SELECT id, source_nllb_code AS source_langs, target_nllb_code AS target_langs, source_text AS inputs, target_text AS labels,
  array_to_string(list_filter(string_split(target_text, ' '), lambda w, i : i % 5 <> 0), ' ') AS preds FROM bitext)"""
 
@@ -82,10 +82,9 @@ def seed(spark: SparkSession, d: str) -> DataFrame:
     return base(spark, d).select(pos.cast("long").alias("id"), "text", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), F.col("code").alias("nllb_code"))
 
 
-def tokens(spark: SparkSession, d: str, first: int | None = None) -> DataFrame:
-    """All words of each text as token ids, or the `first` ones where a query's SQL has only those."""
-    words: Column = F.split("text", " ") if first is None else F.slice(F.split("text", " "), 1, first)
-    return load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.length(w) + 10).alias("ids"), "n_chars")
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """All words of each text as token ids."""
+    return load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.transform(F.split("text", " "), lambda w: F.length(w) + 10).alias("ids"), "n_chars")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:

@@ -49,17 +49,17 @@ def inv_sqrt_lr(spark, d):
     return m.inverse_sqrt_schedule(spark, 400, warmup=40)
 
 
-@query("""WITH RECURSIVE p AS (SELECT 0 AS k, exp(-3.0) AS p UNION ALL SELECT k + 1, p * 3.0 / (k + 1) FROM p WHERE k < 20) SELECT k, round(p, 12) AS p FROM p WHERE round(p, 12) >= 1e-7 OR k <= 3""")
+@query("""WITH RECURSIVE p AS (SELECT 0 AS k, exp(-3.0) AS p UNION ALL SELECT k + 1, p * 3.0 / (k + 1) FROM p WHERE k < 127) SELECT k, round(p, 12) AS p FROM p WHERE round(p, 12) >= 1e-7 OR k <= 3""")
 def poisson_pmf(spark, d):
     return m.poisson_pmf(spark)
 
 
-@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v : v::DOUBLE)[1:8] AS l, CASE WHEN vec_id % 9 = 0 THEN -100 ELSE vec_id % 8 END AS y FROM embeddings),
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v : v::DOUBLE) AS l, CASE WHEN vec_id % 9 = 0 THEN -100 ELSE vec_id % len(embedding) END AS y FROM embeddings),
  t AS (SELECT *, ln(list_sum(list_transform(l, lambda v : exp(v)))) AS z FROM x)
- SELECT vec_id, round(0.9 * (z - l[y + 1]) + 0.1 * (z - list_sum(l) / 8), 6) AS loss FROM t WHERE y <> -100""")
+ SELECT vec_id, round(0.9 * (z - l[y + 1]) + 0.1 * (z - list_sum(l) / len(l)), 6) AS loss FROM t WHERE y <> -100""")
 def label_smoothed_ce(spark, d):
-    y = F.when(F.col("vec_id") % 9 == 0, -100).otherwise(F.col("vec_id") % 8)
-    loss = m.smoothed_cross_entropy(F.slice("embedding", 1, 8), y)
+    y = F.when(F.col("vec_id") % 9 == 0, -100).otherwise(F.col("vec_id") % F.size("embedding"))
+    loss = m.smoothed_cross_entropy(F.col("embedding"), y)
     return fx.load(spark, d, "embeddings").select("vec_id", F.round(loss, 6).alias("loss")).filter("loss is not null")
 
 

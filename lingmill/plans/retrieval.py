@@ -31,10 +31,10 @@ def l2_normalise(spark, d):
     return own.select("vec_id", F.round(v.dot(F.col("u"), F.col("u")), 6).alias("norm2"), F.round(F.element_at("u", 1), 6).alias("first"))
 
 
-@query(f"WITH {fx.EMB}, s AS (SELECT a.vec_id AS q, b.vec_id AS v, list_cosine_similarity(a.emb, b.emb) AS sim FROM emb a JOIN emb b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0) SELECT q, rn AS rank, v, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, v) AS rn FROM s) WHERE rn <= 5")
+@query(f"WITH {fx.EMB}, s AS (SELECT a.vec_id AS q, b.vec_id AS v, list_cosine_similarity(a.emb, b.emb) AS sim FROM emb a JOIN emb b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0) SELECT q, rn AS rank, v, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, v) AS rn FROM s) WHERE rn <= 5")
 def cosine_topk(spark, d):
     own = fx.load(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("emb"))
-    top = r.nearest(own.filter("pos % 50 = 0").withColumn("lang", F.lit("q")), own.withColumn("lang", F.lit("v")), F.lit(True), 6).filter("i <> j")
+    top = r.nearest(own.filter("pos % 20 = 0").withColumn("lang", F.lit("q")), own.withColumn("lang", F.lit("v")), F.lit(True), 6).filter("i <> j")
     rank = F.row_number().over(Window.partitionBy("i").orderBy("rank"))
     return top.withColumn("rank", rank).filter("rank <= 5").select(F.col("i").alias("q"), F.col("rank").cast("long").alias("rank"), F.col("j").alias("v"), F.round("sim", 6).alias("sim"))
 
@@ -44,10 +44,9 @@ def xsim_pairs(spark, d):
     return r.error_rate(r.xsim(fx.emb(spark, d)))
 
 
-@query(_ERRS + " SELECT src, tgt, err, n FROM errs WHERE src IN ('l0', 'l1') AND tgt IN ('l0', 'l1')")
+@query(_ERRS + " SELECT src, tgt, err, n FROM errs")
 def xsim_sql_backend(spark, d):
-    two = fx.emb(spark, d).filter("lang in ('l0', 'l1')")
-    return r.xsim(two, search=r.sql_nearest)
+    return r.xsim(fx.emb(spark, d), search=r.sql_nearest)
 
 
 @query(_ERRS + " SELECT round(100.0 * sum(err) FILTER (WHERE n >= 50) / sum(n) FILTER (WHERE n >= 50), 6) AS xsim, count(*) FILTER (WHERE n >= 50) AS pairs, count(*) FILTER (WHERE n < 50) AS skipped FROM errs")
@@ -77,10 +76,12 @@ def xsim_margin_distance(spark, d):
     return r.xsim(fx.emb(spark, d), margin="distance")
 
 
-@query(_ERRS + ", x AS (SELECT src, tgt, round(100.0 * err / n, 6) AS xsim FROM errs) SELECT src, max(xsim) FILTER (WHERE tgt = 'l0') AS l0, max(xsim) FILTER (WHERE tgt = 'l1') AS l1, max(xsim) FILTER (WHERE tgt = 'l2') AS l2 FROM x WHERE tgt IN ('l0', 'l1', 'l2') GROUP BY src")
+_LANGS = [f"l{k}" for k in range(10)]
+
+
+@query(_ERRS + ", x AS (SELECT src, tgt, round(100.0 * err / n, 6) AS xsim FROM errs) SELECT src, " + ", ".join(f"max(xsim) FILTER (WHERE tgt = '{x}') AS {x}" for x in _LANGS) + " FROM x GROUP BY src")
 def xsim_nway(spark, d):
-    langs = ["l0", "l1", "l2"]
-    return r.matrix(r.xsim(fx.emb(spark, d)).filter(F.col("tgt").isin(*langs)), langs)
+    return r.matrix(r.xsim(fx.emb(spark, d)), _LANGS)
 
 
 @query(_ERRS + " SELECT src, round(avg(round(100.0 * err / n, 6)), 6) AS avg_xsim FROM errs GROUP BY src")

@@ -45,8 +45,8 @@ def test_text_functions(spark):
 
 
 def test_registry(spark):
-    assert len(registry.LANGUAGES) == len(set(registry.LANGUAGES)) == 202 and len(registry.HIGH_RESOURCE) == 25 and len(registry.TWO_LETTER) == 86
-    assert set(registry.HIGH_RESOURCE) | set(registry.TWO_LETTER) <= set(registry.LANGUAGES)
+    assert len(registry.LANGUAGES) == len(set(registry.LANGUAGES)) == 202 and len(registry.HIGH_RESOURCE) == 25
+    assert set(registry.HIGH_RESOURCE) <= set(registry.LANGUAGES)
     assert registry.languages(spark).filter("high_resource").count() == 25
     assert registry.parse_pairs("a-b, c-d") == [("a", "b"), ("c", "d")]
     for bad in ("a", "a-", "a-b-c"):
