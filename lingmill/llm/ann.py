@@ -142,7 +142,7 @@ def _searcher(k: int, m: int, confidence: float) -> Callable[[pd.DataFrame, pd.D
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, m: int = 10, confidence: float = 0.9, block: int = 16_384, query_block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, m: int = 10, confidence: float = 0.9, block: int = 16_384, query_block: int = 32_768) -> DataFrame:
     """The k nearest found of each query row among all other rows: query_id, rank, vec_id, score.
 
     vectors(vec_id, embedding). Rows whose vec_id or vector is null, zero, or holds a null or
@@ -165,4 +165,5 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, m: int = 10, c
 
 
 def ann_query(vectors: DataFrame) -> DataFrame:
+    """The contract's search, by `nearest`, whose edge cases hold: queries are the rows whose vec_id is divisible by 100."""
     return nearest(vectors, F.pmod("vec_id", F.lit(100)) == 0)

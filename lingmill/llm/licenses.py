@@ -127,7 +127,10 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, base: dict[
         shares = F.transform(F.filter(agreed, _verifier("words", key, at)), _sharer("words", words, weight))
         share = F.coalesce(F.array_max(shares), F.lit(0.0))
         found.append(F.struct(F.lit(t.label).alias("label"), F.least(F.lit(1.0), share).alias("share")))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*base_places).alias("places"), F.filter(F.array(*found), lambda f: f["share"] >= least_share).alias("found"))
+    # starts agree only where two index words stand: without them nothing of a template is looked at
+    matched = F.filter(F.array(*found), lambda f: f["share"] >= least_share)
+    matched = F.when(F.size(F.array_distinct(F.col("hits")["w"])) > 1, matched).otherwise(F.filter(F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("share"))), lambda f: f["share"] > 0))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*base_places).alias("places"), matched.alias("found"))
 
     at = F.col("places")["start"]
     base_labels = F.col("places")["label"]
