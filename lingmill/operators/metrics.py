@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import StructType
 
 from ..functions.text import strip
 from ..session import ship_package
@@ -21,34 +24,70 @@ def tokens(c: Column, how: str = "whitespace") -> Column:
     raise ValueError(f"no such tokenisation: {how}")
 
 
-def _ngrams(words: Column, order: int) -> Column:
-    """All n-grams of 1 to order words as (n, gram)."""
-    each = []
-    for n in range(1, order + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        each.append(F.transform(starts, _gram(words, n)))
-    return F.concat(*each)
-
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all rows, and each word's row."""
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
 
-def _gram(words: Column, n: int):
-    return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, F.lit(n)), " ").alias("gram"))
 
+def clipped_matches(hyp: pa.Array, ref: pa.Array, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each n up to order, every row's number of n-grams of hyp that ref holds too, each at most as often, and of all of hyp.
 
-def corpus_bleu(df: DataFrame, by: Sequence[str], hyp: str = "preds", ref: str = "labels", *, row: str = "id", order: int = 4, tokenize: str = "whitespace") -> DataFrame:
+    An n-gram's number is the rank of its first n - 1 words' number and its last word, so equal numbers are equal grams."""
+    (h, h_row), (r, r_row) = _flat(hyp), _flat(ref)
+    words = pc.dictionary_encode(pa.concat_arrays([h, r])).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row, side = np.concatenate([h_row, r_row]), np.repeat([0, 1], [len(h), len(r)])
+    gram, at, out = words, np.arange(len(words)), []
+    kinds = int(words.max()) + 1 if len(words) else 1
+    for n in range(1, order + 1):
+        if n > 1:
+            last = at + n - 1
+            inside = last < len(words)
+            inside[inside] = (row[last[inside]] == row[at[inside]]) & (side[last[inside]] == side[at[inside]])
+            at, gram = at[inside], gram[inside]
+            gram = np.unique(gram * kinds + words[at + n - 1], return_inverse=True)[1].astype(np.int64)
+        key = row[at] * (int(gram.max()) + 1 if len(gram) else 1) + gram
+        mine = side[at] == 0
+        keys, times = np.unique(key[mine], return_counts=True)
+        other, there = np.unique(key[~mine], return_counts=True)
+        _, i, j = np.intersect1d(keys, other, assume_unique=True, return_indices=True)
+        matched = np.zeros(len(hyp), dtype=np.int64)
+        first = np.zeros(len(keys), dtype=np.int64)
+        first[i] = np.minimum(times[i], there[j])
+        width = int(gram.max()) + 1 if len(gram) else 1
+        np.add.at(matched, keys // width, first)
+        out.append((matched, np.bincount(row[at][mine], minlength=len(hyp))))
+    return out
+
+
+def _matcher(by: int, order: int, at_once: int = 2048):
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                hyp, ref = (batch.column(by + k).combine_chunks() if isinstance(batch.column(by + k), pa.ChunkedArray) else batch.column(by + k) for k in (0, 1))
+                counts = [pa.array(c) for pair in clipped_matches(hyp, ref, order) for c in pair]
+                lengths = [pc.cast(x.value_lengths(), pa.int64()) for x in (hyp, ref)]
+                names = [f"{x}{k}" for k in range(1, order + 1) for x in "mt"]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:by], *counts, *lengths], [*batch.schema.names[:by], *names, "hyp_len", "ref_len"])
+
+    return run
+
+
+def corpus_bleu(df: DataFrame, by: Sequence[str], hyp: str = "preds", ref: str = "labels", *, order: int = 4, tokenize: str = "whitespace") -> DataFrame:
     """BLEU per group: clipped n-gram precisions up to `order` over the whole group, brevity
     penalty, and exponential smoothing: the k-th order without a match counts 1 / 2^k matches.
 
-    Both sides' n-grams are counted in one aggregation keyed by row and gram; nothing is
-    compared row by row.
+    Clipping is local to a row, so n-grams are counted where the row is, a batch at a time, and only the sums of
+    each group are shuffled: no text moves.
     """
-    base = df.select(*by, row, tokens(F.coalesce(F.col(hyp), F.lit("")), tokenize).alias("_h"), tokens(F.coalesce(F.col(ref), F.lit("")), tokenize).alias("_r"))
-    lengths = base.groupBy(*by).agg(F.sum(F.size("_h")).cast("long").alias("hyp_len"), F.sum(F.size("_r")).cast("long").alias("ref_len"))
-    sides = F.array(F.struct(F.lit(1).alias("h"), F.lit(0).alias("r"), _ngrams(F.col("_h"), order).alias("g")), F.struct(F.lit(0).alias("h"), F.lit(1).alias("r"), _ngrams(F.col("_r"), order).alias("g")))
-    grams = base.select(*by, row, F.explode(sides).alias("s")).select(*by, row, "s.h", "s.r", F.explode("s.g").alias("g"))
-    counts = grams.groupBy(*by, row, "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    n = F.col("g.n")
-    stats = counts.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(n == k, F.least("h", "r"))), F.lit(0)).cast("double").alias(f"m{k}") for k in range(1, order + 1)], *[F.coalesce(F.sum(F.when(n == k, F.col("h"))), F.lit(0)).cast("double").alias(f"t{k}") for k in range(1, order + 1)])
-    stats = lengths.join(stats, list(by), "left")
+    ship_package(df.sparkSession)
+    base = df.select(*by, tokens(F.coalesce(F.col(hyp), F.lit("")), tokenize).alias("_h"), tokens(F.coalesce(F.col(ref), F.lit("")), tokenize).alias("_r"))
+    sums = [f"{x}{k}" for k in range(1, order + 1) for x in "mt"]
+    schema = base.select(*by).schema
+    for name in (*sums, "hyp_len", "ref_len"):
+        schema = schema.add(name, "long")
+    counted = base.mapInArrow(_matcher(len(by), order), schema)
+    stats = counted.groupBy(*by).agg(*[F.sum(c).cast("double").alias(c) for c in sums], F.sum("hyp_len").alias("hyp_len"), F.sum("ref_len").alias("ref_len"))
     logs, halvings = F.lit(0.0), F.lit(0)
     for k in range(1, order + 1):
         m, t = F.col(f"m{k}"), F.col(f"t{k}")
@@ -67,7 +106,7 @@ def subset_means(df: DataFrame, value: str, pivot: str = "eng_Latn", source: str
     return df.agg(mean(F.lit(True)).alias("avg_all"), mean((t == pivot) & (s != pivot)).alias("avg_to_pivot"), mean((s == pivot) & (t != pivot)).alias("avg_from_pivot"), mean(s == t).alias("avg_identity"))
 
 
-def word_edits(ref: list[str], hyp: list[str]) -> int:
+def word_edits(ref: Sequence, hyp: Sequence) -> int:
     """Edit distance in words."""
     row = list(range(len(hyp) + 1))
     for i, a in enumerate(ref, 1):
@@ -77,17 +116,28 @@ def word_edits(ref: list[str], hyp: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf(LongType())
-def _edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([word_edits((a or "").split(), (b or "").split()) for a, b in zip(ref, hyp)], dtype="int64")
+#: Words of a row become code points from here on: none of them is a surrogate, and 4-byte ones have room for a million words.
+_FIRST, _LAST = 0x10000, 0x10FFFF
+
+
+@F.pandas_udf(StructType().add("ref", "string").add("hyp", "string").add("edits", "long"))
+def _coded(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Each row's two texts with a character for each different word; their edits instead if there are too many words."""
+    rows = []
+    for a, b in zip(ref, hyp):
+        number: dict[str, int] = {}
+        x, y = ([number.setdefault(w, len(number) + _FIRST) for w in (t or "").split()] for t in (a, b))
+        rows.append(("".join(map(chr, x)), "".join(map(chr, y)), None) if len(number) <= _LAST - _FIRST else (None, None, word_edits(x, y)))
+    return pd.DataFrame(rows, columns=["ref", "hyp", "edits"]).astype({"edits": "Int64"})
 
 
 def word_error_rate(df: DataFrame, by: Sequence[str], hyp: str = "preds", ref: str = "labels") -> DataFrame:
-    """100 x word edits over reference words, over each whole group."""
+    """100 x word edits over reference words, over each whole group. Words become characters, whose edits the JVM counts."""
     ship_package(df.sparkSession)
     words = F.size(tokens(F.coalesce(F.col(ref), F.lit(""))))
-    base = df.select(*by, _edits(F.col(ref), F.col(hyp)).alias("edits"), words.alias("words"))
-    return base.groupBy(*by).agg(F.round(F.try_divide(100.0 * F.sum("edits"), F.sum("words")), 6).alias("wer"))
+    base = df.select(*by, _coded(F.col(ref), F.col(hyp)).alias("c"), words.alias("words"))
+    edits = F.coalesce(F.col("c.edits"), F.levenshtein("c.ref", "c.hyp").cast("long"))
+    return base.groupBy(*by).agg(F.round(F.try_divide(100.0 * F.sum(edits), F.sum("words")), 6).alias("wer"))
 
 
 def smoothed_cross_entropy(logits: Column, label: Column, epsilon: float = 0.1, ignored: int = -100) -> Column:
