@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
-from ..session import ship_package
+from ..session import cut, ship_package
 from .ordering import number_within
 
 MARGINS = ("absolute", "ratio", "distance")
@@ -102,16 +102,20 @@ def xsim(emb: DataFrame, targets: DataFrame | None = None, *, margin: str = "abs
         q, t = q.withColumn("pos", F.col("id").cast("long")), t.withColumn("pos", F.col("id").cast("long"))
     elif align != "position":
         raise ValueError(f"no such alignment: {align}")
+    both_ways = pair is None and targets is None  # every pair is searched in either direction
     pair = different() if pair is None else pair
     if margin == "absolute":
         return errors(search(q, t, pair, 1))
-    return errors(margin_best(q, t, pair, margin=margin, k=k, search=search))
+    return errors(margin_best(q, t, pair, margin=margin, k=k, search=search, both_ways=both_ways))
 
 
-def margin_best(q: DataFrame, t: DataFrame, pair: Column, *, margin: str, k: int, search=nearest) -> DataFrame:
-    """The forward neighbour of the best margin over both sides' mean similarity to their own k neighbours."""
-    forward = search(q, t, pair, k)
-    backward = search(t, q, pair, k).select(F.col("src").alias("tgt"), F.col("tgt").alias("src"), F.col("i").alias("j"), "sim")
+def margin_best(q: DataFrame, t: DataFrame, pair: Column, *, margin: str, k: int, search=nearest, both_ways: bool = False) -> DataFrame:
+    """The forward neighbour of the best margin over both sides' mean similarity to their own k neighbours.
+
+    both_ways: q and t are the same rows and pair holds in either direction, so one search has the neighbours of both sides.
+    """
+    forward = cut(search(q, t, pair, k))
+    backward = (forward if both_ways else search(t, q, pair, k)).select(F.col("src").alias("tgt"), F.col("tgt").alias("src"), F.col("i").alias("j"), "sim")
     ahead = forward.groupBy("src", "tgt", "i").agg(F.avg("sim").alias("ax"))
     back = backward.groupBy("src", "tgt", "j").agg(F.avg("sim").alias("ay"))
     both = forward.join(ahead, ["src", "tgt", "i"]).join(back, ["src", "tgt", "j"])
