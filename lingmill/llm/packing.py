@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship_package, text_of
+from .common import cut, ship_package, text_of, trim
 
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -41,7 +41,7 @@ class Encoder:
     the library as lines of one text: a line end before a space is a pre-token, and a token, of its own.
     """
 
-    def __init__(self, path: str, memo: int = 600_000, longest: int = 40, slice_chars: int = 1 << 20, lines: int = 4096):
+    def __init__(self, path: str, memo: int = 200_000, longest: int = 40, slice_chars: int = 1 << 20, lines: int = 4096):
         from tokenizers import Tokenizer
 
         self.library, self.most, self.longest, self.slice_chars, self.lines = Tokenizer.from_file(path), memo, longest, slice_chars, lines
@@ -139,6 +139,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], *, path: str, end_id: int, capa
                     for column, value in zip(out, (doc_id, piece, start, length, zlib.crc32(raw), raw)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        trim()
 
 
 def tokenize(docs: DataFrame, path: str, *, end_id: int = 0, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
