@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import cut, ensure_checkpoint_dir, ship_package
 from ..session import load as table
 
-__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "n_space_words", "ship_package", "table", "text_of", "trim", "unused_names"]
+__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "n_space_words", "ship_package", "small_side", "table", "text_of", "trim", "unused_names"]
 
 
 @lru_cache(maxsize=1)
@@ -61,3 +61,10 @@ def unused_names(df: DataFrame, *names: str) -> list[str]:
         out.append(name)
         there.add(name.lower())
     return out
+
+
+def small_side(df: DataFrame, most: int = 16_000_000) -> DataFrame:
+    """df with a broadcast hint if its rows, counted here, hold at most `most` bytes; else as it is, for a shuffled join."""
+    held = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    bytes_ = sum(held, F.lit(0).cast("long")) + 16 * len(df.columns)
+    return F.broadcast(df) if (df.agg(F.sum(bytes_).alias("n")).first().n or 0) <= most else df

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import number_rows
-from .common import cut, n_space_words, ship_package, text_of
+from .common import cut, n_space_words, ship_package, small_side, text_of
 
 #: Code points of letters, for the share of letters in a text.
 _NON_LETTERS = r"[^\p{L}]+"
@@ -110,12 +110,13 @@ def _decided(rows: DataFrame, narrow: DataFrame, goal: DataFrame) -> DataFrame:
 
     narrow: the same rows without `row`. The rows of the intervals where samples end, at most cell_rows different ones a source, are decided from these alone.
     """
-    planned = lambda df: df.join(goal, _same("source", "of"))
+    plan = small_side(goal)  # else both sides of the join, texts too, are shuffled before their sizes are known
+    planned = lambda df: df.join(plan, _same("source", "of"))
     at_end = F.col("key").between(F.col("low"), F.col("high"))
     edge = planned(narrow).filter(at_end).groupBy("source", "id", "size", "key").agg(F.count("*").alias("rows"), F.first("room").alias("room"))
     schema = edge.drop("room").select("id", "size", "source", "key", "rows").schema.add("takes", "long")
     takes = cut(edge.groupBy("source").applyInPandas(_fill, schema))
-    takes = takes.select(*[F.col(c).alias(f"{c}_t") for c in takes.columns])
+    takes = small_side(takes.select(*[F.col(c).alias(f"{c}_t") for c in takes.columns]))
     base = [c for c in (*rows.columns, "source_size", "target", "epochs")]
     flat = planned(rows).filter(~at_end).withColumn("extra", (F.col("key") < F.col("low")).cast("long")).select(*base, "extra")
     same = _same("source", "source_t") & _same("id", "id_t") & (F.col("size") == F.col("size_t")) & (F.col("key") == F.col("key_t"))
@@ -128,7 +129,7 @@ def _decided(rows: DataFrame, narrow: DataFrame, goal: DataFrame) -> DataFrame:
     return flat.unionByName(close.withColumn("extra", taken.cast("long")).select(*base, "extra")).withColumn("times", F.col("epochs") + F.col("extra"))
 
 
-_OPTIONS = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 7, "cell_rows": 4096}
+_OPTIONS = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 7, "cell_rows": 512}
 
 
 def _goal(docs: DataFrame, options: dict) -> tuple[DataFrame, DataFrame, int]:
@@ -158,7 +159,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Columns of any name stay as they are, whatever the ones used here; edge cases are those of `mix`.
     """
     narrow, goal, seed = _goal(docs, options)
-    # the plan has one row per source; Spark broadcasts it if it is as small as it looks
     out = _decided(_keyed(docs, seed, True), narrow, goal).filter("times > 0")
     out = out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
