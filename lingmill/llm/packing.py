@@ -10,6 +10,7 @@ by the block length. Each round is cut in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -140,6 +141,10 @@ def _tokenize(batches: Iterator[pa.RecordBatch], *, path: str, end_id: int, capa
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
         trim()
+    # the worker waits for tasks of other stages with what is left here
+    own.memo = {}
+    gc.collect()
+    trim()
 
 
 def tokenize(docs: DataFrame, path: str, *, end_id: int = 0, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
