@@ -289,7 +289,7 @@ def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
     Items of a single set are left out, those of two are counted by their pair, and the others by
     products of presence matrices, `chunk` items at a time."""
     n = len(sets)
-    out = np.zeros((n, n), dtype=np.int64)
+    out = np.zeros((n, n), dtype=np.int32)
     if not n:
         return out
     rows = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -297,9 +297,8 @@ def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
     rows = rows[np.argsort(at, kind="stable")]  # by item
     first = np.cumsum(times) - times
     two = first[times == 2]
-    pairs = np.bincount(rows[two] * n + rows[two + 1], minlength=n * n).reshape(n, n)
-    out += pairs + pairs.T
-    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    np.add.at(out, (rows[two], rows[two + 1]), 1)
+    out += out.T.copy()
     rows = rows[np.repeat(times > 2, times)]
     cols = np.repeat(np.arange(int((times > 2).sum())), times[times > 2])
     many = int((times > 2).sum())
@@ -307,9 +306,8 @@ def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
         a, b = np.searchsorted(cols, [low, low + chunk])
         there = np.zeros((n, min(chunk, many - low)), dtype=np.float32)
         there[rows[a:b], cols[a:b] - low] = 1
-        shared = (there @ there.T).astype(np.int64)
-        np.fill_diagonal(shared, 0)
-        out += shared
+        out += (there @ there.T).astype(np.int32)
+    np.fill_diagonal(out, [len(s) for s in sets])
     return out
 
 
@@ -354,14 +352,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(comps) == 1:
             continue
         sets = [np.frombuffer(b, dtype=_U64) for b in g["items"]]
-        n = np.array([len(s) for s in sets])
+        n = np.array([len(s) for s in sets], dtype=np.int64)
         left, right = [], []
         both = shared_counts(sets)
-        link = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
-        if g["i"][0] != g["j"][0]:
-            link &= half[:, None] != half[None, :]
+        across = g["i"][0] != g["j"][0]
         for x in range(len(ids)):
-            ys = np.flatnonzero(link[x] & (label != label[x]))
+            ok = (100 * both[x].astype(np.int64) >= 75 * (n[x] + n - both[x])) & (label != label[x])
+            if across:
+                ok &= half != half[x]
+            ys = np.flatnonzero(ok)
             if len(ys):
                 ys = ys[np.unique(label[ys], return_index=True)[1]]
                 left.append(np.full(len(ys), ids[x]))
@@ -372,7 +371,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def _grid(rows: DataFrame, key: str, block: int, items: int = 1_000_000) -> DataFrame:
+def _grid(rows: DataFrame, key: str, block: int, items: int = 250_000) -> DataFrame:
     """Deals the rows of each key into pairs of blocks (i, j) of about `block` rows and `items` set items at most, so that every pair of rows meets."""
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / items)).cast("int")
     own = rows.join(rows.groupBy(key).agg(blocks.alias("blocks")), key).withColumn("half", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -387,7 +386,7 @@ def _of(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _rest(left: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 512, small: int = 64) -> DataFrame:
+def _rest(left: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 256, small: int = 64) -> DataFrame:
     """Links between members of a bucket that still stand in different components.
 
     left(key, band, id, component): open buckets. Those of at most `small` members go to a task each. Larger ones are joined into
