@@ -36,6 +36,12 @@ def rotate(ids: Column, offset: Column) -> Column:
     return F.when(n < 2, ids).otherwise(F.concat(F.slice(ids, 1, 1), turned, F.slice(ids, -1, 1)))
 
 
+def code_of_first(ids: Column, codes: dict[int, str]) -> Column:
+    """The language that a sequence's first token stands for; null for another token or none."""
+    named = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    return F.try_element_at(named, F.get(ids, F.lit(0)))
+
+
 def replace_ignored(ids: Column, pad_id: int, ignored: int = -100) -> Column:
     return F.transform(ids, lambda x: F.when(x == ignored, F.lit(pad_id)).otherwise(x))
 

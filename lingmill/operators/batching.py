@@ -85,11 +85,14 @@ def pad_batch(df: DataFrame, columns: dict[str, int], batch: Sequence[str], max_
     return df
 
 
-def expand_pairs(df: DataFrame, denoise: Column, source: str = "source_ids", target: str = "target_ids", noise=lambda c: c) -> DataFrame:
-    """Each row twice: both sides rebuilt from their noised selves where denoise holds, else both directions."""
+def expand_pairs(df: DataFrame, denoise: Column, source: str = "source_ids", target: str = "target_ids", noise=lambda c: c, whole: Column | None = None) -> DataFrame:
+    """Each row twice: both sides rebuilt from their noised selves where denoise holds, else both directions.
+    Evaluation rows, where `whole` holds, pass through once, without an mse."""
     x, y = F.col(source), F.col(target)
     two = F.when(denoise, F.array(F.struct(noise(x).alias("input_ids"), x.alias("labels"), F.lit(0).alias("mse")), F.struct(noise(y).alias("input_ids"), y.alias("labels"), F.lit(0).alias("mse"))))
     two = two.otherwise(F.array(F.struct(x.alias("input_ids"), y.alias("labels"), F.lit(1).alias("mse")), F.struct(y.alias("input_ids"), x.alias("labels"), F.lit(1).alias("mse"))))
+    if whole is not None:
+        two = F.when(whole, F.array(F.struct(x.alias("input_ids"), y.alias("labels"), F.lit(None).cast("int").alias("mse")))).otherwise(two)
     return df.select(*[c for c in df.columns if c not in (source, target)], F.posexplode(two).alias("side", "_p")).select("*", "_p.input_ids", "_p.labels", "_p.mse").drop("_p")
 
 

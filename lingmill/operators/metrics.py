@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.text import strip
 from ..session import ship_package
@@ -24,6 +25,23 @@ def tokens(c: Column, how: str = "whitespace") -> Column:
     raise ValueError(f"no such tokenisation: {how}")
 
 
+def subwords(path: str) -> Callable[[Column], Column]:
+    """A tokenisation by the pieces of a sentencepiece model at path, which all executors reach."""
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def pieces(texts: pa.Array) -> pa.Array:
+        return pa.array(_pieces_of(path).encode(texts.to_pylist(), out_type=str), pa.list_(pa.string()))
+
+    return lambda c: pieces(c)
+
+
+@lru_cache(maxsize=2)
+def _pieces_of(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all rows, and each word's row."""
     return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -73,7 +91,7 @@ def _matcher(by: int, order: int, at_once: int = 2048):
     return run
 
 
-def corpus_bleu(df: DataFrame, by: Sequence[str], hyp: str = "preds", ref: str = "labels", *, order: int = 4, tokenize: str = "whitespace") -> DataFrame:
+def corpus_bleu(df: DataFrame, by: Sequence[str], hyp: str = "preds", ref: str = "labels", *, order: int = 4, tokenize: str | Callable[[Column], Column] = "whitespace") -> DataFrame:
     """BLEU per group: clipped n-gram precisions up to `order` over the whole group, brevity
     penalty, and exponential smoothing: the k-th order without a match counts 1 / 2^k matches.
 
@@ -81,7 +99,8 @@ def corpus_bleu(df: DataFrame, by: Sequence[str], hyp: str = "preds", ref: str =
     each group are shuffled: no text moves.
     """
     ship_package(df.sparkSession)
-    base = df.select(*by, tokens(F.coalesce(F.col(hyp), F.lit("")), tokenize).alias("_h"), tokens(F.coalesce(F.col(ref), F.lit("")), tokenize).alias("_r"))
+    words = tokenize if callable(tokenize) else lambda c: tokens(c, tokenize)
+    base = df.select(*by, words(F.coalesce(F.col(hyp), F.lit(""))).alias("_h"), words(F.coalesce(F.col(ref), F.lit(""))).alias("_r"))
     sums = [f"{x}{k}" for k in range(1, order + 1) for x in "mt"]
     schema = base.select(*by).schema
     for name in (*sums, "hyp_len", "ref_len"):
@@ -158,6 +177,14 @@ def inverse_sqrt_schedule(spark: SparkSession, steps: int, *, warmup: int, times
     return spark.range(steps).select(F.col("id").alias("step"), F.round(factor, 9).alias("factor"))
 
 
+def grouped_schedules(spark: SparkSession, steps: int, *, warmup: int, timescale: int | None = None, specific: str = "specific", others: Sequence[str] = ("shared", "other")) -> DataFrame:
+    """(name, step, factor) per parameter group: the specific one decays from the start, on half the timescale."""
+    timescale = timescale or warmup or 10_000
+    plans = [(g, warmup, timescale) for g in others] + [(specific, 0, timescale // 2)]
+    each = [inverse_sqrt_schedule(spark, steps, warmup=w, timescale=t).select(F.lit(g).alias("name"), "step", "factor") for g, w, t in plans]
+    return reduce(DataFrame.unionByName, each)
+
+
 def poisson_pmf(spark: SparkSession, rate: float = 3.0, most: int = 128, least: float = 1e-7) -> DataFrame:
     """(k, p): the law of span lengths, cut off at `most` or where it falls under `least`."""
     k = F.col("id")

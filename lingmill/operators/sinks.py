@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import delete_folder
 from .curate import rows_per_shard, shuffled
 
 
@@ -15,8 +23,9 @@ def exists(df: DataFrame, path: str) -> bool:
     return target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(target)
 
 
-def write_shards(df: DataFrame, path: str, *, max_rows: int | None = None, shards: int | None = None, overwrite: bool = False) -> bool:
-    """Parquet of at most max_rows rows a file, or of about `shards` files. False if a finished output was there.
+def write_shards(df: DataFrame, path: str, *, max_rows: int | None = None, shards: int | None = None, group_rows: int | None = None, overwrite: bool = False) -> bool:
+    """Parquet of at most max_rows rows a file, or of about `shards` files, in row groups of at most group_rows.
+    False if a finished output was there.
 
     Spark's committer publishes whole outputs only and drops the files of failed tasks.
     """
@@ -28,6 +37,8 @@ def write_shards(df: DataFrame, path: str, *, max_rows: int | None = None, shard
     w = df.write.mode("overwrite")
     if max_rows:
         w = w.option("maxRecordsPerFile", max_rows)
+    if group_rows:
+        w = w.option("parquet.block.row.count.limit", group_rows)
     w.parquet(path)
     return True
 
@@ -41,10 +52,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
+def write_arrow(df: DataFrame, path: str) -> None:
+    """An Arrow file a task, in a folder that all executors reach under this path or URI.
+
+    A task writes under a name of its own attempt and renames the whole file, so one that runs again leaves one file.
+    """
+    kinds = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get()
+        files, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+        name, n = f"{folder}/part-{at.partitionId():05d}.arrow", 0
+        own = f"{folder}/_part-{at.partitionId():05d}-{at.taskAttemptId()}"
+        files.create_dir(folder)
+        with files.open_output_stream(own) as out, pa.ipc.new_file(out, kinds) as writer:
+            for batch in batches:
+                writer.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, kinds)], schema=kinds))
+                n += batch.num_rows
+        files.move(own, name)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    delete_folder(df.sparkSession, path)
+    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def write_as(df: DataFrame, path: str, kind: str) -> None:
-    """csv, json or parquet."""
-    if kind not in ("csv", "json", "parquet"):
+    """csv, json, parquet or arrow."""
+    if kind not in ("arrow", "csv", "json", "parquet"):
         raise ValueError(f"no such format: {kind}")
+    if kind == "arrow":
+        return write_arrow(df, path)
     write_csv(df, path) if kind == "csv" else df.write.mode("overwrite").format(kind).save(path)
 
 

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import gzip
 import io
+import os
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
 from ..operators.ordering import number_rows
 from ..operators.pairing import aligned
 
-FORMATS = {"json": "json", "jsonl": "json", "parquet": "parquet", "csv": "csv", "tsv": "csv", "xml": "xml", "txt": "text"}
+FORMATS = {"arrow": "arrow", "json": "json", "jsonl": "json", "parquet": "parquet", "csv": "csv", "tsv": "csv", "xml": "xml", "txt": "text"}
 
 
 def parquet(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -29,12 +34,50 @@ def by_extension(spark: SparkSession, *paths: str) -> DataFrame:
     if len(kinds) != 1 or next(iter(kinds)) not in FORMATS:
         raise ValueError(f"cannot tell one format from {', '.join(sorted(kinds))}; known: {', '.join(sorted(FORMATS))}")
     kind = kinds.pop()
+    if kind == "arrow":
+        return arrow(spark, *paths)
     r = spark.read
     if kind in ("csv", "tsv"):
         r = r.option("header", "true").option("sep", "\t" if kind == "tsv" else ",").option("multiLine", "true")
     return r.format(FORMATS[kind]).load(list(paths))
 
 
+def _opened_arrow(raw: bytes) -> pa.RecordBatchReader:
+    """The batches of an Arrow file, or of an Arrow stream."""
+    source = pa.py_buffer(raw)
+    if raw[:6] == b"ARROW1":
+        file = pa.ipc.open_file(source)
+        return pa.RecordBatchReader.from_batches(file.schema, (file.get_batch(i) for i in range(file.num_record_batches)))
+    return pa.ipc.open_stream(source)
+
+
+def _arrow_schema(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"raw": pa.array([_opened_arrow(x.as_py()).schema.serialize().to_pybytes() for x in batch.column(0)], pa.binary())})
+
+
+def arrow(spark: SparkSession, *paths: str) -> DataFrame:
+    """Arrow files or streams, or folders of them (*.arrow). All have the first one's schema.
+
+    A task reads a file as one value, so a file holds less than 2 GiB, as the shards of saved data sets do.
+    """
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.arrow")
+    files = r.load(list(paths)).select("content")
+    first = files.limit(1).mapInArrow(_arrow_schema, "raw binary").first()
+    if first is None:
+        raise ValueError(f"no *.arrow file under {', '.join(paths)}")
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(first.raw))))
+    kinds = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                for own in _opened_arrow(x.as_py()):
+                    yield pa.RecordBatch.from_arrays([own.column(f.name).cast(f.type) for f in kinds], names=kinds.names)
+
+    return files.mapInArrow(rows, schema)
+
+
 def catalog(spark: SparkSession, entries: dict[tuple[str, str, str], str], name: str, config: str, split: str) -> DataFrame:
     """A data set by (name, config, split) from a table of local paths."""
     if (name, config, split) not in entries:
@@ -94,6 +137,17 @@ def quoted_csv(spark: SparkSession, path: str, source: int = 0, target: int = 1,
     return df.select(pick(source).alias("source_text"), pick(target).alias("target_text"))
 
 
+def multilingual_csv(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed) of a CSV of that many columns: rows with another number of fields aren't read as text
+    but reported, as their line (`line`)."""
+    bad = "_malformed"
+    schema = StructType([StructField(c, StringType()) for c in (*columns, bad)])
+    own = spark.read.schema(schema).csv(path, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, multiLine=True, quote='"', escape='"', enforceSchema=True)
+    # Spark reads a malformed row's line only beside another column
+    line = F.substring(F.concat(F.col(bad), F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))), F.lit(1), F.length(bad))
+    return own.filter(F.col(bad).isNull()).drop(bad), own.filter(F.col(bad).isNotNull()).select(line.alias("line"))
+
+
 def unpivot_pairs(df: DataFrame, languages: list[str], row: str, pivot: str) -> DataFrame:
     """A table with a column per language to pairs of the pivot with every other: row, source_lang, target_lang, texts."""
     others = F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.col(x).alias("text")) for x in languages if x != pivot]))
@@ -145,6 +199,8 @@ def _opened(where: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
             for name in sorted(z.namelist()):
                 if not name.endswith("/"):
                     yield name, z.read(name)
+    elif where.endswith(".gz") and not where.endswith(".tar.gz"):
+        yield os.path.basename(where).removesuffix(".gz"), gzip.decompress(raw)
     else:
         with tarfile.open(fileobj=io.BytesIO(raw)) as t:
             for m in sorted(t.getmembers(), key=lambda m: m.name):
