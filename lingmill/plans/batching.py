@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as s
 from ..operators import batching as b
 from ..operators import noise
+from ..operators.mapping import buffer_shuffled, map_model
 from ..operators.ordering import number_rows
 from . import fixtures as fx
 from .registry import query
@@ -101,6 +102,44 @@ def expand_pairs(spark, d):
     return out.select("id", "side", _text("input_ids").alias("input_ids"), _text("labels").alias("labels"), "mse")
 
 
+@query(f"""WITH {fx.TOKENS}, p AS (SELECT id, ids AS s, list_reverse(ids) AS t, id % 3 AS k FROM tokens)
+ SELECT id, 0 AS side, array_to_string(s, ',') AS input_ids, array_to_string(CASE WHEN k = 0 THEN s ELSE t END, ',') AS labels, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 END AS mse FROM p
+ UNION ALL SELECT id, 1, array_to_string(t, ','), array_to_string(CASE WHEN k = 0 THEN t ELSE s END, ','), k FROM p WHERE k < 2""")
+def expand_with_evaluation(spark, d):
+    own = fx.tokens(spark, d).select("id", F.col("ids").alias("source_ids"), F.reverse("ids").alias("target_ids"))
+    out = b.expand_pairs(own, F.col("id") % 3 == 0, whole=F.col("id") % 3 == 2)
+    return out.select("id", "side", _text("input_ids").alias("input_ids"), _text("labels").alias("labels"), "mse")
+
+
+_FIRST = {4: "eng_Latn", 5: "fra_Latn", 6: "deu_Latn"}
+
+
+@query(f"WITH {fx.TOKENS} SELECT id, CASE id % 4 + 4 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _FIRST.items()) + " END AS code FROM tokens")
+def language_of_first_token(spark, d):
+    """The fourth token has no language."""
+    encoded = s.encode(F.col("ids"), (F.col("id") % 4 + 4).cast("int"), 2, _LONGEST)
+    return fx.tokens(spark, d).select("id", s.code_of_first(encoded, _FIRST).alias("code"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def buffer_shuffle(spark, d):
+    """Every row comes out once, whatever the order."""
+    return buffer_shuffled(fx.load(spark, d, "documents").select("doc_id", "text"), 1000)
+
+
+class _ByLength:
+    """Stands in for a classifier: a text's label and score follow from its length."""
+
+    def run(self, texts):
+        return [("long" if len(t) > 500 else "short", len(t) / (len(t) + 500)) for t in texts]
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN 'long' ELSE 'short' END AS predicted_label, round(length(text) / (length(text) + 500.0)::DOUBLE, 6) AS confidence_score FROM documents")
+def model_map(spark, d):
+    own = map_model(fx.load(spark, d, "documents").select("doc_id", "text"), "classification", _ByLength)
+    return own.select("doc_id", "predicted_label", F.round("confidence_score", 6).alias("confidence_score"))
+
+
 @query(f"""WITH {fx.TOKENS}, n AS (SELECT id, ids, len(ids) - 2 AS n, CASE WHEN len(ids) > 2 THEN (id * 7) % (len(ids) - 2) ELSE 0 END AS k FROM tokens)
  SELECT id, array_to_string(CASE WHEN n < 2 THEN ids ELSE list_concat(list_concat(ids[1:1], list_concat(ids[k + 2:n + 1], ids[2:k + 1])), ids[n + 2:n + 2]) END, ',') AS ids FROM n""")
 def rotate_tokens(spark, d):

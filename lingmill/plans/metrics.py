@@ -49,6 +49,12 @@ def inv_sqrt_lr(spark, d):
     return m.inverse_sqrt_schedule(spark, 400, warmup=40)
 
 
+@query(f"""SELECT name, i::BIGINT AS step, round(CASE WHEN name = 'specific' THEN 1 / sqrt((i + 20) / 20.0) ELSE {_SCHEDULE.format(shift=0, scale=40.0)} END, 9) AS factor
+ FROM range(400) t(i), (VALUES ('shared'), ('other'), ('specific')) g(name)""")
+def grouped_lr(spark, d):
+    return m.grouped_schedules(spark, 400, warmup=40)
+
+
 @query("""WITH RECURSIVE p AS (SELECT 0 AS k, exp(-3.0) AS p UNION ALL SELECT k + 1, p * 3.0 / (k + 1) FROM p WHERE k < 127) SELECT k, round(p, 12) AS p FROM p WHERE round(p, 12) >= 1e-7 OR k <= 3""")
 def poisson_pmf(spark, d):
     return m.poisson_pmf(spark)
