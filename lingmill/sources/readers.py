@@ -11,13 +11,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
-from ..operators.ordering import number_rows
 from ..operators.pairing import aligned
 
 FORMATS = {"arrow": "arrow", "json": "json", "jsonl": "json", "parquet": "parquet", "csv": "csv", "tsv": "csv", "xml": "xml", "txt": "text"}
@@ -88,14 +87,18 @@ def catalog(spark: SparkSession, entries: dict[tuple[str, str, str], str], name:
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, line, value): every line with its number from 0 over the files in the order given.
 
-    Spark's splits lose line numbers, so each file is read whole by one task; a corpus is many
-    files. Only the lines' order within a file is used, never an id that partitioning decides.
+    Files are read in splits, as Spark deals them. Within a split lines come in order, so a line's number is its
+    place there plus the lines of the splits before, of which there is one count each. An empty file has no line.
     """
     out = None
     for n, path in enumerate(paths):
-        rows = spark.read.text(path, wholetext=True).select(F.lit(n).alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "value"))
+        rows = spark.read.option("lineSep", "\n").text(path).select(F.lit(n).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", r"\r$", "").alias("value"))
         out = rows if out is None else out.unionByName(rows)
-    return number_rows(out, ["file", "pos"], "line").select("file", "line", "value")
+    placed = out.withColumn("at", F.monotonically_increasing_id())
+    split = ["file", "path", "start"]
+    counts = placed.groupBy(*split).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = counts.withColumn("before", F.sum("n").over(Window.orderBy(*split)) - F.col("n")).select(*split, "first", "before")
+    return placed.join(before, split).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
 
 
 def text_pair(spark: SparkSession, source: str | list[str], target: str | list[str], source_code: str, target_code: str) -> DataFrame:

@@ -91,3 +91,22 @@ def test_first_token_and_evaluation_rows(spark):
     assert {r.id: r.c for r in codes.collect()} == {1: "eng_Latn", 2: None, 3: None}
     out = batching.expand_pairs(df, F.lit(True), whole=F.col("eval")).collect()
     assert sorted((r.id, r.side, r.input_ids, r.labels, r.mse) for r in out if r.id > 1) == [(2, 0, [7], [], None), (3, 0, [], [1], None)] and sum(r.id == 1 for r in out) == 2
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    want = []
+    for name, n in (("b.txt", 3000), ("a.txt", 0), ("c.txt", 1700)):
+        own = [f"{name} {i} " + "x" * (i % 37) for i in range(n)]
+        (tmp_path / name).write_bytes("".join(x + ("\r\n" if i % 2 else "\n") for i, x in enumerate(own)).encode())
+        want += own
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        df = readers.lines(spark, *[str(tmp_path / x) for x in ("b.txt", "a.txt", "c.txt")])
+        rows = sorted(df.collect(), key=lambda r: r.line)
+        assert [(r.line, r.value) for r in rows] == list(enumerate(want))
+        assert {r.file for r in rows} == {0, 2}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
