@@ -41,4 +41,8 @@ CHAT = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
 ANN = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT x.vec_id AS query_id, y.vec_id, sqrt(list_sum(list_transform(list_zip(x.e, y.e), lambda z : (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM v x JOIN v y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id)
  SELECT query_id, rn::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rn FROM s) WHERE rn <= 10"""
 
-ORACLES = {"op2_chat": CHAT, "op5_minhash": MINHASH, "op8_ann": ANN, "op9_graph_dedup": GRAPH_DEDUP}
+TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT x.vec_id AS query_id, y.vec_id, list_sum(list_transform(list_zip(x.e, y.e), lambda z : z[1] * z[2]))::BIGINT AS score FROM v x JOIN v y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id)
+ SELECT query_id, rn::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 10"""
+
+ORACLES = {"op2_chat": CHAT, "op5_minhash": MINHASH, "op8_ann": ANN, "op9_graph_dedup": GRAPH_DEDUP, "op11_topk": TOPK}

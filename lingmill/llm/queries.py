@@ -76,4 +76,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_chat, op3_packing, op4_toxicity, op5_minhash, op6_token_counts, op7_mixing, op8_ann, op9_graph_dedup, op10_sharding)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors null or holding null or non-finite components take no part; an empty table gives an empty one."""
+    from .topk import topk_query
+
+    return topk_query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null roles and texts are empty, rows of a null conv_id take no part; an empty table gives an empty one."""
+    from .trie import trie_query
+
+    return trie_query(table(spark, sf_dir, "conversations"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no words; every row of documents gives a row; an empty table gives an empty one."""
+    from .runs import runs_query
+
+    return runs_query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_chat, op3_packing, op4_toxicity, op5_minhash, op6_token_counts, op7_mixing, op8_ann, op9_graph_dedup, op10_sharding, op11_topk, op12_prefix_trie, op13_runs)}
