@@ -66,31 +66,31 @@ class Tree:
         return [(f"shard-{s}", w, s) for s, w in self.regions[region][rack] if w > 0]
 
 
-def _draw(key: Column, nodes: list[Node]) -> Column:
-    """The number of the node with the least draw."""
-    if len(nodes) == 1:
-        return F.lit(nodes[0][2])
-    u = lambda name: (F.pmod(F.xxhash64(key, F.lit(name)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.least(*[F.struct((-F.log(u(name)) / F.lit(weight)).alias("draw"), F.lit(number).alias("number")) for name, weight, number in nodes])["number"]
+_NODE = "struct<name:string,weight:double,number:int>"
+
 
+def _nodes(nodes: list[Node]) -> Column:
+    """Nodes as a constant array: data, so that plans and generated code don't grow with the tree."""
+    return F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"), F.lit(number).alias("number")) for name, weight, number in nodes]).cast(f"array<{_NODE}>")
 
-def _chosen(of: Column, branches: dict[int, Column]) -> Column:
-    out = None
-    for number, branch in branches.items():
-        out = F.when(of == number, branch) if out is None else out.when(of == number, branch)
-    return out
+
+def _draw(key: Column, nodes: Column) -> Column:
+    """The number of the node with the least draw."""
+    u = lambda name: (F.pmod(F.xxhash64(key, name), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return F.array_min(F.transform(nodes, lambda t: F.struct((-F.log(u(t["name"])) / t["weight"]).alias("draw"), t["number"].alias("number"))))["number"]
 
 
 def place(docs: DataFrame, key: Column, tree: Tree, name: str) -> DataFrame:
     """docs with the shard of their key: a draw of regions, then one of the racks of that region, then one of that rack's shards.
 
-    Each level is a column of its own, so that a branch draws only for the node that was chosen."""
+    Each level is a column of its own and draws among the nodes below the one that was chosen."""
     region, rack = f"__{name}_region", f"__{name}_rack"
-    regions = [r for _, _, r in tree.root()]
-    docs = docs.withColumn(region, _draw(key, tree.root()))
-    docs = docs.withColumn(rack, _chosen(F.col(region), {r: _draw(key, tree.racks(r)) for r in regions}))
-    leaves = {r: _chosen(F.col(rack), {k: _draw(key, tree.shards(r, k)) for _, _, k in tree.racks(r)}) for r in regions}
-    return docs.withColumn(name, _chosen(F.col(region), leaves)).drop(region, rack)
+    racks = [tree.racks(r) for r in range(len(tree.regions))]
+    shards = [[tree.shards(r, k) for k in range(len(region))] for r, region in enumerate(tree.regions)]
+    docs = docs.withColumn(region, _draw(key, _nodes(tree.root())))
+    docs = docs.withColumn(rack, _draw(key, F.get(F.array(*[_nodes(r) for r in racks]), F.col(region))))
+    leaves = F.array(*[F.array(*[_nodes(k) for k in r]) for r in shards])
+    return docs.withColumn(name, _draw(key, F.get(F.get(leaves, F.col(region)), F.col(rack)))).drop(region, rack)
 
 
 def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, *, row_overhead: int = 16, cells: int = 64) -> DataFrame:

@@ -4,15 +4,17 @@ A huge document is encoded in overlapping chunks with offsets. Two chunks are sp
 boundary that is proven stable and that both tokenisations show: a place where a run of
 spaces starts after another character. No piece of the vocabulary holds a space mark after
 another character (checked when the model is loaded), so no merge ever crosses such a place
-and the tokens on either side don't depend on the other. Where the overlap holds no such
-place that both chunks agree on, it is widened, in the end to the rest of the document.
+and the tokens on either side don't depend on the other. A chunk goes on to the next such
+place and an overlap beyond; where two chunks don't agree on it, it is widened to a later one, in the end to the rest of the document.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from .common import ship_package, text_of
 
 MARK = "▁"  # what the library writes for a space
 SPACES = " " + MARK
+BOUNDARY = re.compile(f"(?<=[^{SPACES}])[{SPACES}]")
 
 
 @lru_cache(maxsize=2)
@@ -33,37 +36,65 @@ def load(model_path: str):
     return p, stable
 
 
-def boundaries(text: str, start: int, end: int) -> Iterator[int]:
-    """Places in [start, end) where a run of spaces starts after another character."""
-    for i in range(max(start, 1), end):
-        if text[i] in SPACES and text[i - 1] not in SPACES:
-            yield i
+def boundary(text: str, start: int) -> int | None:
+    """The first place from start on where a run of spaces starts after another character."""
+    found = BOUNDARY.search(text, max(start, 1))
+    return found.start() if found else None
 
 
-def token_starts(processor, text: str) -> list[int]:
+@lru_cache(maxsize=2)
+def _piece_bytes(processor) -> np.ndarray | None:
+    """How many bytes of a text each piece covers; None if the model rewrites texts, so that pieces don't tell."""
+    probe = "ﬁ①  Ａ "
+    if processor.normalize(probe) != MARK + probe.replace(" ", MARK):
+        return None
+    pieces = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
+    return np.array([1 if processor.is_byte(i) else 0 if processor.is_control(i) or processor.is_unknown(i) else len(x.replace(MARK, " ").encode()) for i, x in enumerate(pieces)])
+
+
+def token_starts(processor, text: str) -> np.ndarray:
     """Where each token starts in text, in code points; byte tokens of one character start together."""
-    return [begin for begin, _ in processor.encode(text, return_type="offset_mapping")["offsets"]]
+    bytes_ = _piece_bytes(processor)
+    if bytes_ is not None:
+        lengths = bytes_[processor.encode(text, return_type="numpy")]
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        # the library writes a mark before a text; a mark of the text itself is longer than a space and shows in the sum
+        if len(data) and lengths.sum() == len(data) + 1:
+            character = np.cumsum((data & 0xC0) != 0x80) - 1
+            return character[np.maximum(0, np.cumsum(lengths) - lengths - 1)]
+    return np.array([begin for begin, _ in processor.encode(text, return_type="offset_mapping")["offsets"]], dtype=np.int64)
+
+
+def _shows(starts: np.ndarray, place: int) -> bool:
+    at = np.searchsorted(starts, place)
+    return at < len(starts) and starts[at] == place
 
 
 def count_spliced(processor, text: str, chunk: int, overlap: int) -> int:
-    """Tokens of text, from chunks spliced at proven boundaries."""
+    """Tokens of text, from chunks spliced at proven boundaries.
+
+    A chunk ends `overlap` characters after the first boundary beyond its length, however far that is, and the next
+    one starts as many before it: each character is encoded once, and those of overlaps twice. Should a chunk not
+    show the boundary, the one before is encoded anew up to a later one.
+    """
     total, start, first = 0, 0, 0  # tokens that start before `first` have been counted
+    before, after = None, 0
     while True:
-        end = start + chunk
-        if end >= len(text):
-            return total + sum(s >= first - start for s in token_starts(processor, text[start:])) if start else total + len(processor.encode(text))
-        width, cut_at, ours = overlap, None, []
-        while cut_at is None:
-            stop = min(len(text), end + width)
-            ours = token_starts(processor, text[start:stop])
-            shown = {s + start for s in ours}
-            if stop == len(text):
-                return total + sum(s + start >= first for s in ours)
-            theirs = {s + end for s in token_starts(processor, text[end:stop])}
-            cut_at = next((b for b in boundaries(text, end + 1, stop) if b in shown and b in theirs), None)
-            width *= 2
-        total += sum(first <= s + start < cut_at for s in ours)
-        start, first = end, cut_at
+        cut_at = boundary(text, max(start + chunk, after))
+        if not start and cut_at is None:
+            return len(processor.encode(text, return_type="numpy"))
+        ours = token_starts(processor, text[start : None if cut_at is None else cut_at + overlap]) + start
+        if start and not _shows(ours, first):  # no alignment: widen the chunk before
+            (total, start, first), after, before = before, first + max(overlap, first - before[1]), None
+            continue
+        if cut_at is None:
+            return total + int((ours >= first).sum())
+        if not _shows(ours, cut_at):
+            after = cut_at + max(overlap, cut_at - start)
+            continue
+        before, after = (total, start, first), 0
+        total += int(((ours >= first) & (ours < cut_at)).sum())
+        start, first = max(start + 1, cut_at - overlap), cut_at
 
 
 def count_tokens(processor, stable: bool, texts: list[str], *, huge: int, chunk: int, overlap: int, slice_chars: int = 1 << 20) -> list[int]:

@@ -108,3 +108,16 @@ def test_very_long_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert assign(frame(spark, []), Tree.even(3)).count() == 0
+
+
+def test_plans_do_not_grow_with_the_tree(spark):
+    """Nodes are data: the generated code of a tree of 1,000 shards is as long as that of 40."""
+
+    def plan(shards):
+        tree = Tree.even(shards)
+        df = place(spark.range(5).withColumn("k", F.col("id").cast("string")), F.col("k"), tree, "s")
+        assert df.select("s").distinct().count()
+        return spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(df._jdf.queryExecution().executedPlan())
+
+    small, large = plan(40), plan(1000)
+    assert len(large) < 2 * len(small) < 200_000
