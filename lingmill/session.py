@@ -6,10 +6,15 @@ import gc
 import os
 import re
 import tempfile
+import time
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two requests to the collectors.
+COLLECT_EVERY = 5.0
+_collected = 0.0
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per Spark context.
@@ -52,12 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage.
 
     Shuffle files and checkpoints of earlier rounds go once the driver's collector has found
-    their plans unused; rounds make too little garbage for it to run by itself, so it is asked to.
+    their plans unused; rounds make too little garbage for it to run by itself, so it is asked to, every few seconds at most.
     """
+    global _collected
     ensure_checkpoint_dir(df.sparkSession)
     out = _bounded(df.checkpoint(eager=True))
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        _collected = time.monotonic()
     return out
 
 
