@@ -1,8 +1,9 @@
 """Cross-lingual retrieval: nearest neighbours between languages, error rates and margins.
 
-Embeddings are (lang, id, emb). Neighbours come from a grid of blocks: each task multiplies a
+Embeddings are (lang, id, emb). Neighbours come from blocks: each task multiplies a
 block of one language's vectors with a block of another's and keeps the k best per query;
-a window then merges what blocks found. Memory is bounded by the block size, and no
+a window then merges what blocks found. Which blocks meet is decided by cone bounds (see cones.py) where
+languages have several. Memory is bounded by the block size, and no
 similarity matrix is ever made whole. The SQL form in sql_nearest gives the same rows.
 """
 
@@ -12,11 +13,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
 from ..session import cut, ship_package
+from .cones import DECIMALS, cone_nearest, ranked, unit
 from .ordering import number_within
 
 MARGINS = ("absolute", "ratio", "distance")
@@ -35,9 +37,7 @@ def positions(emb: DataFrame) -> DataFrame:
 
 
 def _unit(s: pd.Series) -> np.ndarray:
-    x = np.array(s.tolist(), dtype=np.float64)
-    n = np.sqrt((x * x).sum(1, keepdims=True))
-    return x / np.where(n == 0, 1, n)
+    return unit(np.array(s.tolist(), dtype=np.float64))
 
 
 def _block_searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -45,7 +45,7 @@ def _block_searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFra
         if not len(queries) or not len(targets):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("src", "str"), ("tgt", "str"), ("i", "int64"), ("j", "int64"), ("sim", "float64"))})
         queries, targets = queries.sort_values("pos"), targets.sort_values("pos")
-        sims = _unit(queries["emb"]) @ _unit(targets["emb"]).T
+        sims = np.round(_unit(queries["emb"]) @ _unit(targets["emb"]).T, DECIMALS)
         top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         i = np.repeat(queries["pos"].to_numpy(), top.shape[1])
         return pd.DataFrame({"src": queries["src"].iloc[0], "tgt": queries["tgt"].iloc[0], "i": i, "j": targets["pos"].to_numpy()[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()})
@@ -56,9 +56,17 @@ def _block_searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFra
 def nearest(queries: DataFrame, targets: DataFrame, pair: Column, k: int, block: int = 4096) -> DataFrame:
     """The k most similar targets of each query: src, tgt, i, j, sim, rank; ties go to the smaller position.
 
-    queries and targets are (lang, pos, emb); pair is a condition over src and tgt.
+    queries and targets are (lang, pos, emb); pair is a condition over src and tgt. Languages of more than a block of
+    targets are searched by cones; smaller ones have a single block, which there is nothing to skip of.
     """
     ship_package(queries.sparkSession)
+    largest = targets.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    return cone_nearest(queries, targets, pair, k, block=block) if largest > block else grid_nearest(queries, targets, pair, k, block)
+
+
+def grid_nearest(queries: DataFrame, targets: DataFrame, pair: Column, k: int, block: int = 4096) -> DataFrame:
+    """nearest by every block of queries with every block of targets."""
+    ship_package(queries.sparkSession)
     q = queries.select(F.col("lang").alias("src"), "pos", "emb", F.floor(F.col("pos") / block).alias("qb"))
     t = targets.select(F.col("lang").alias("tgt"), "pos", "emb", F.floor(F.col("pos") / block).alias("tb"))
     q_cells, t_cells = q.select("src", "qb").distinct(), t.select("tgt", "tb").distinct()  # one row per language and block
@@ -67,19 +75,14 @@ def nearest(queries: DataFrame, targets: DataFrame, pair: Column, k: int, block:
     right = t.join(cells, ["tgt", "tb"]).select(*[F.col(c).alias(c) for c in ("src", "tgt", "qb", "tb", "pos", "emb")])
     by = ["src", "tgt", "qb", "tb"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_block_searcher(k), "src string, tgt string, i long, j long, sim double")
-    return _ranked(found, k)
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("src", "tgt", "i").orderBy(F.desc("sim"), "j"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked(found, k)
 
 
 def sql_nearest(queries: DataFrame, targets: DataFrame, pair: Column, k: int) -> DataFrame:
     """nearest in built-in expressions, for moderate sizes."""
     q = queries.select(F.col("lang").alias("src"), F.col("pos").alias("i"), l2_normalise(F.col("emb")).alias("_x"))
     t = targets.select(F.col("lang").alias("tgt"), F.col("pos").alias("j"), l2_normalise(F.col("emb")).alias("_y"))
-    return _ranked(q.join(t, pair).select("src", "tgt", "i", "j", dot(F.col("_x"), F.col("_y")).alias("sim")), k)
+    return ranked(q.join(t, pair).select("src", "tgt", "i", "j", dot(F.col("_x"), F.col("_y")).alias("sim")), k)
 
 
 def different() -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_key
-from ..operators import curate, stats
+from ..operators import curate, key_index, lid_model, stats
+from ..operators.lid import StopWordIdentifier, lid_score
+from ..session import cut, delete_folder, ensure_checkpoint_dir
 from . import fixtures as fx
 from .registry import query
 
@@ -242,10 +246,59 @@ def tumbling_stats(spark, d):
     return tumbling(fx.load(spark, d, "events"), "ts", "value", "event_type").withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
 
 
-@query()
+_WORDS = ", ".join(f"list_sum(list_transform(ws, lambda w : list_contains({sorted(v.split())!r}, w)::INT)) AS s{i}" for i, v in enumerate(StopWordIdentifier.WORDS.values()))
+_RULE = """(SELECT doc_id, (CASE WHEN s0 + s1 + s2 + s3 > 0 THEN greatest(s0, s1, s2, s3) / (s0 + s1 + s2 + s3) ELSE 0 END)::FLOAT AS score
+ FROM (SELECT doc_id, """ + _WORDS + r""" FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents)))"""
+
+
+@query(f"""WITH {fx.BITEXT}, r AS {_RULE} SELECT id, round(coalesce(source_lid, coalesce(a.score, 0))::DOUBLE, 6) AS source_lid, round(coalesce(target_lid, coalesce(b.score, 0))::DOUBLE, 6) AS target_lid
+ FROM bitext JOIN r a ON a.doc_id = sid JOIN r b ON b.doc_id = tid""")
 def lid_rule_scores(spark, d):
     """The rule-based language identifier over both sides of the bitext, where they have no score."""
-    from ..operators.lid import lid_score
-
     own = fx.bitext(spark, d).drop("source_lid_predicted", "target_lid_predicted")
     return _scores(lid_score(own))
+
+
+def _ngrams(order: int) -> str:
+    """Buckets of a text's n-grams from its code points plus one, cp."""
+    sums = " + ".join(f"cp[i + {k}] * {m}" for k, m in enumerate(lid_model.MULTIPLIERS[:order]))
+    return f"list_transform(range(1, len(cp) - {order} + 2), lambda i : ((({order} + {sums}) % 4294967296) * {lid_model.MIX} % 4294967296) >> {32 - lid_model.BITS})"
+
+
+_BUCKETS = f"""p AS (SELECT doc_id, lang, list_transform(regexp_extract_all(lower(coalesce(text, '')), '(?s).'), lambda c : unicode(c)::BIGINT + 1) AS cp FROM documents),
+ g AS (SELECT doc_id, lang, unnest(list_concat({", ".join(_ngrams(n) for n in lid_model.ORDERS)})) AS b FROM p),
+ c AS (SELECT lang AS label, b AS bucket, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, b)"""
+
+
+@query(f"WITH {_BUCKETS} SELECT label, bucket, n FROM c")
+def lid_ngram_counts(spark, d):
+    """What the n-gram model is made of."""
+    return lid_model.bucket_counts(fx.load(spark, d, "documents"))
+
+
+@query(f"""WITH {_BUCKETS}, t AS (SELECT label, sum(n) AS total FROM c GROUP BY label), k AS (SELECT doc_id, b, count(*) AS k FROM g GROUP BY doc_id, b),
+ s AS (SELECT doc_id, t.label, sum(k * ln((coalesce(n, 0) + 0.5) / (total + 0.5 * {1 << lid_model.BITS}))) AS s FROM k CROSS JOIN t LEFT JOIN c ON c.label = t.label AND c.bucket = b GROUP BY doc_id, t.label),
+ m AS (SELECT doc_id, max(s) AS m FROM s GROUP BY doc_id), o AS (SELECT doc_id, min(label) FILTER (WHERE s = m) AS label, round(1 / sum(exp((s - m) / {len(lid_model.ORDERS)})), 6) AS score FROM s JOIN m USING (doc_id) GROUP BY doc_id)
+ SELECT documents.doc_id, coalesce(o.label, 'unknown') AS label, coalesce(o.score, 0) AS score FROM documents LEFT JOIN o ON o.doc_id = documents.doc_id""")
+def lid_model_scores(spark, d):
+    """A model of the documents' languages, and what it says of each document."""
+    docs = fx.load(spark, d, "documents")
+    out = lid_model.identify_by(docs.select("doc_id", "text"), ["text"], lid_model.NgramModel.train(docs))
+    return out.select("doc_id", F.col("text_label").alias("label"), F.round("text_score", 6).alias("score"))
+
+
+@query(f"WITH {fx.FEATURES}{_D1}{_D2} SELECT id, sid, tid FROM d2")
+def dedup_increments(spark, d):
+    """The pairs in three batches, each against the index of the keys before it: the rows of one run over all."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/keys-{uuid.uuid4().hex}"
+    kept = _kept(spark, d)
+    last = kept.agg(F.max("sid").alias("n")).first().n or 0
+    out, low = None, None
+    for k, high in enumerate((last // 2, last // 2 + last // 4, last)):
+        own = F.col("sid") <= high
+        batch = kept.filter(own if low is None else own & (F.col("sid") > low))
+        new = cut(key_index.dedup_batch(batch, folder, f"batch-{k}", order=("sid", "tid"), buckets=8).select("id", "sid", "tid"))
+        out, low = new if out is None else out.union(new), high
+    delete_folder(spark, folder)
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..operators import retrieval as r
+from ..operators.cones import cone_nearest
 from . import fixtures as fx
 from .registry import query
 
@@ -49,6 +50,25 @@ def xsim_sql_backend(spark, d):
     return r.xsim(fx.emb(spark, d), search=r.sql_nearest)
 
 
+def _by_cones(block):
+    return lambda q, t, pair, k: cone_nearest(q, t, pair, k, block=block)
+
+
+@query(_ERRS + " SELECT src, tgt, err, n FROM errs")
+def xsim_cones(spark, d):
+    """Every language in cells of about 16 vectors, visited as far as the cone bounds ask."""
+    return r.xsim(fx.emb(spark, d), search=_by_cones(16))
+
+
+@query(f"WITH {fx.EMB}, s AS (SELECT a.vec_id AS q, b.vec_id AS v, list_cosine_similarity(a.emb, b.emb) AS sim FROM emb a JOIN emb b ON a.vec_id <> b.vec_id) SELECT q, rn AS rank, v, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, v) AS rn FROM s) WHERE rn <= 3")
+def knn_cones(spark, d):
+    """The three nearest others of every vector, in cells of about 128 vectors."""
+    own = fx.load(spark, d, "embeddings").select(F.lit("v").alias("lang"), F.col("vec_id").alias("pos"), F.col("embedding").alias("emb"))
+    top = cone_nearest(own, own, F.lit(True), 4, block=128).filter("i <> j")
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("rank"))
+    return top.withColumn("rank", rank).filter("rank <= 3").select(F.col("i").alias("q"), F.col("rank").cast("long").alias("rank"), F.col("j").alias("v"), F.round("sim", 6).alias("sim"))
+
+
 @query(_ERRS + " SELECT round(100.0 * sum(err) FILTER (WHERE n >= 50) / sum(n) FILTER (WHERE n >= 50), 6) AS xsim, count(*) FILTER (WHERE n >= 50) AS pairs, count(*) FILTER (WHERE n < 50) AS skipped FROM errs")
 def xsim_micro_avg(spark, d):
     return r.micro_average(r.xsim(fx.emb(spark, d)), 50)
