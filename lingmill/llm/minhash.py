@@ -7,15 +7,15 @@ locality sensitive: two sets agree in a register with a probability of at least
 similarity. Documents of equal sets form a class, and classes go on alone.
 
 Bands of registers put classes into buckets. Rounds of pivots follow: each bucket whose
-members stand in different components compares all of them with one member, the next in
-an order by hash that all buckets share, and lets that one go. For each candidate pair the similarity is
+members stand in different components compares all of them with two members, the first and the last in
+an order by hash that all buckets share, and lets those go. For each candidate pair the similarity is
 estimated by the joint likelihood of the registers and the set sizes; pairs that the
 estimate puts far below the threshold go, and the rest are confirmed on the full sets, each
 document's best pair first. Links found so far give components; pairs whose ends already
 share one need no check, as a link between them can change nothing. Rows of a round are at most
 as many as there are members left.
 
-Rounds end when what is open no longer shrinks. What is left then meets in blocks: small
+Rounds end when no large bucket is open, or when what is open no longer shrinks. What is left then meets in blocks: small
 buckets whole, each pair only in the first band it shares; large ones are first joined where they share members, so that
 a pair meets once over all bands. Every pair of members of a bucket that still stand in
 different components is compared there, so no bucket loses a link.
@@ -43,6 +43,8 @@ REGISTERS = ROWS * BANDS
 #: Base of the registers: 255 levels span set sizes of up to about 3e6.
 BASE = 1.065
 LEAST_ESTIMATE = 0.63
+#: A bucket of so many members is compared in a task, whole.
+SMALL = 64
 
 _U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -386,66 +388,61 @@ def _of(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _rest(left: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 256, small: int = 64) -> DataFrame:
-    """Links between members of a bucket that still stand in different components.
+def _rest(left: DataFrame, waiting: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, block: int = 256, small: int = SMALL) -> DataFrame:
+    """Links between members of a bucket, or of a waiting pair, that still stand in different components.
 
     left(key, band, id, component): open buckets. Those of at most `small` members go to a task each. Larger ones are joined into
     clusters of buckets that share members, and a cluster is dealt into pairs of blocks: no task
     holds more than two blocks, and a row is copied once a block of its cluster, not once a band. This first pass, over
-    registers, returns what its candidate pairs connect; there, dealt likewise, pairs are confirmed on sets.
+    registers, returns what its candidate pairs connect; there, and with the waiting pairs(a, b), dealt likewise, pairs are confirmed on sets.
     """
     signed = classes.select("id", "n_shingles", "regs")
     sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     whole = left.join(sizes.filter(F.col("n") <= small).select("key"), "key", "left_semi")
-    whole = whole.select("key", "band", "id", "component", *[F.lit(0).alias(c) for c in ("half", "i", "j")])
-    large = cut(left.join(sizes.filter(F.col("n") > small), "key").select("id", "component", "least"))
-    met = components(large.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "key")
-    members = large.select("id", "component").distinct().join(met, "id").withColumn("band", F.lit(-1))
-    apart = _grid(cut(members.join(signed.select("id", "n_shingles"), "id")), "key", block).drop("n_shingles")
-    cells = whole.unionByName(apart).join(signed, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    clusters = components(cells.mapInArrow(_flag, "a long, b long")).withColumnRenamed("component", "cluster")
-    own = cut(_of(clusters, comps).join(signed.select("id", "n_shingles"), "id"))
+    cells = whole.select("key", "band", "id", "component", *[F.lit(0).alias(c) for c in ("half", "i", "j")])
+    if sizes.filter(F.col("n") > small).limit(1).count():
+        large = cut(left.join(sizes.filter(F.col("n") > small), "key").select("id", "component", "least"))
+        met = components(large.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "key")
+        members = large.select("id", "component").distinct().join(met, "id").withColumn("band", F.lit(-1))
+        cells = cells.unionByName(_grid(members.join(signed.select("id", "n_shingles"), "id"), "key", block).drop("n_shingles"))
+    cells = cells.join(signed, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    clusters = components(cut(cells.mapInArrow(_flag, "a long, b long").unionAll(waiting))).withColumnRenamed("component", "cluster")
+    own = _of(clusters, comps).join(signed.select("id", "n_shingles"), "id")
     cells = _grid(own, "cluster", block).join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return cells.mapInArrow(_confirm, "a long, b long")
 
 
-def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enough: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links, components and what is left open, (key, band, id, component), after rounds of pivots.
+def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enough: float = 0.75, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Links, likely pairs that were no document's best, components, and what is left open, (key, band, id, component), after rounds of pivots.
 
-    In a round each open bucket compares its members with a fresh pivot, which then leaves it. Members stand in the
-    same order in every bucket, so buckets that share most of their members share pivots, and pairs. Rounds go on while one
-    leaves at most `enough` of the open rows. Likely pairs that were no document's best wait for the end.
+    In a round each open bucket compares its members with two fresh pivots, which then leave it. Members stand in the
+    same order in every bucket, so buckets that share most of their members share pivots, and pairs. Rounds go on while there are
+    open buckets of more than `small` members and a round leaves at most `enough` of the open rows.
     """
-    links, waiting, comps = None, None, None
-    left, n = _of(members, None), None
+    links, waiting, left, n = None, None, _of(members, None), None
+    joined = lambda a, b: b if a is None else a.unionAll(b)
     while True:
-        pivots = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
+        place = F.struct(F.xxhash64("id"), "id", "component")
+        pivots = left.groupBy("key").agg(F.min(place).alias("p"), F.max(place).alias("q")).select("key", F.explode(F.array("p", "q")).alias("p")).distinct().select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
         met = left.join(pivots, "key").filter("id <> pivot")
         pairs = met.filter("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         likely = cut(_likely(pairs, classes))
         ends = likely.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("end"))
-        best = cut(ends.groupBy("end").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
-        other = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-        found = _confirmed(best, sets)
-        links = cut(found if links is None else links.union(found))
-        waiting = cut(other if waiting is None else waiting.union(other))
+        best = ends.groupBy("end").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        waiting = joined(waiting, likely.select("a", "b").join(best, ["a", "b"], "left_anti"))
+        links = joined(links, cut(_confirmed(best, sets)))
         comps = components(links)
-        now = _of(met.select("key", "band", "id"), comps)
-        opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        left = cut(now.join(opened, "key", "left_semi").select("key", "band", "id", "component"))
-        before, n = n, left.count()
-        if not n or before is not None and n > enough * before:
+        gone = pivots.select("key", F.col("pivot").alias("id"))
+        now = _of(left.select("key", "band", "id").join(gone, ["key", "id"], "left_anti"), comps)
+        opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
+        left = cut(now.join(opened, "key").select("key", "band", "id", "component", "n"))
+        before, n, most = n, *left.agg(F.count("*"), F.max("n")).first()
+        left = left.drop("n")
+        if not n or most <= small or before is not None and n > enough * before:
             break
     side = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
     across = waiting.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    found = cut(_confirmed(cut(across.select("a", "b")), sets))
-    if found.limit(1).count():
-        links = links.union(found)
-        comps = components(links)
-        now = _of(left.drop("component"), comps)
-        opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        left = cut(now.join(opened, "key", "left_semi").select("key", "band", "id", "component"))
-    return links, comps, left
+    return links, across.select("a", "b"), comps, left
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -464,14 +461,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = cut(bands.join(buckets, "key", "left_semi").select("key", "band", "id"))
     # sets of all that share a bucket with anything else, made again from their texts
     wanted = members.select("id").distinct()
-    sets = cut(texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, items binary"))
-    if sets.groupBy("id").count().filter("count > 1").limit(1).count():  # repeated rows
-        sets = cut(sets.distinct())
+    sets = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, items binary")
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
+    sets = cut(sets.distinct() if repeated else sets)
 
-    links, comps, left = _pivot_rounds(members, classes, sets)
-    more = cut(_rest(left, comps, classes, sets))
+    links, waiting, comps, left = _pivot_rounds(members, classes, sets)
+    more = cut(_rest(left, waiting, comps, classes, sets))
     if more.limit(1).count():
-        comps = components(links.union(more))
+        comps = components(links.unionAll(more))
 
     named = classes.select("digest", F.col("id").alias("class_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")
