@@ -8,8 +8,8 @@ all its shards are united. Each member then searches its shard: greedily from th
 medoid and from its own node, and on over everything within range, until no node in range
 is unexpanded. Every link is verified by the cosine in double precision.
 
-A pair that meets in several shards counts in the first of those that its ends share, so no table of pairs
-is made: a shard returns a count and one link to the root of its local component for each member.
+No table of pairs is made: a shard returns one link to the root of its local component for each member. What is linked
+directly stands in one component, so links are counted there, exactly and from both ends alike, by products of blocks of a component's members.
 Shards beyond `block` members are dealt into blocks that build graphs of their own, and every
 block of queries searches every block of the shard.
 
@@ -23,6 +23,7 @@ pair of blocks is compared exactly.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -194,12 +195,6 @@ def _builder(near: int, spread: int, degree: int) -> Callable:
     return run
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows a and b of shard numbers (equal lengths), the least number that both hold."""
-    both = a[:, :, None] == b[:, None, :]
-    return np.where(both.any(2), a, np.iinfo(np.int32).max).min(1)
-
-
 def _roots(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Least id of each node's component, given links as pairs of positions."""
     root = ids.copy()
@@ -213,13 +208,35 @@ def _roots(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = least
 
 
+def _united(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Roots after more links between positions: components that a link joins get the lesser root."""
+    a, b = root[left], root[right]
+    apart = a != b
+    if not apart.any():
+        return root
+    labels, at = np.unique(np.concatenate([a[apart], b[apart]]), return_inverse=True)
+    least = _roots(at[: len(at) // 2], at[len(at) // 2 :], labels)
+    place = np.minimum(np.searchsorted(labels, root), len(labels) - 1)
+    return np.where(labels[place] == root, least[place], root)
+
+
+def _rooted(qids: np.ndarray, ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """(id, root) of those that links, given as pairs of positions in qids and ids, join to a lesser id; a few links at a time."""
+    every, at = np.unique(np.concatenate([qids, ids]), return_inverse=True)
+    root = every
+    for q, node in found:
+        root = _united(root, at[q], at[len(qids) + node])
+    return pd.DataFrame({"id": every, "root": root})[root != every]
+
+
+_NONE = {"id": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)}
+
+
 def _searcher() -> Callable:
     def run(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if not len(graph) or not len(queries):
-            return none
+            return pd.DataFrame(_NONE)
         graph, queries = graph.sort_values("id").reset_index(drop=True), queries.sort_values("id").reset_index(drop=True)
-        shard = int(graph["shard"].iloc[0])
         ids, x = graph["id"].to_numpy(), unit(stack(graph["vector"]))
         degree = max(1, int(graph["near"].map(len).max()))
         adjacency = np.full((len(ids), degree), -1, dtype=np.int64)
@@ -230,33 +247,58 @@ def _searcher() -> Callable:
             adjacency[i, : len(at)] = at
         mean = x.mean(0)
         medoid = int((x @ mean).argmax())
-        copies, homes = graph["copies"].to_numpy(), stack_ints(graph["shards"])
-        qids, qx, qhomes = queries["id"].to_numpy(), unit(stack(queries["vector"])), stack_ints(queries["shards"])
+        qids, qx = queries["id"].to_numpy(), unit(stack(queries["vector"]))
         at = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
         own = np.where(ids[at] == qids, at, -1)
-        links = np.zeros(len(qids), dtype=np.int64)
-        ends: list[np.ndarray] = []
-        for i in range(0, len(qids), 512):
-            q, node = np.nonzero(search(qx[i : i + 512], own[i : i + 512], x, adjacency, medoid))
-            q += i
-            other = qids[q] != ids[node]
-            q, node = q[other], node[other]
-            for j in range(0, len(q), 1 << 18):
-                a, b = q[j : j + (1 << 18)], node[j : j + (1 << 18)]
-                mine = _first_shared(qhomes[a], homes[b]) == shard
-                np.add.at(links, a[mine], copies[b[mine]])
-            ends.append(np.stack([q, node]))
-        q, node = np.concatenate(ends, 1)
-        every, at = np.unique(np.concatenate([qids, ids]), return_inverse=True)
-        roots = _roots(at[q], at[len(qids) + node], every)
-        out = pd.concat([pd.DataFrame({"id": qids, "links": links, "root": roots[at[: len(qids)]]}), pd.DataFrame({"id": ids, "links": np.zeros(len(ids), np.int64), "root": roots[at[len(qids) :]]})])
-        return out[(out["links"] > 0) | (out["root"] != out["id"])]
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i in range(0, len(qids), 512):
+                q, node = np.nonzero(search(qx[i : i + 512], own[i : i + 512], x, adjacency, medoid))
+                yield q + i, node
+
+        return _rooted(qids, ids, found())
 
     return run
 
 
-def stack_ints(s: pd.Series) -> np.ndarray:
-    return np.array(s.tolist(), dtype=np.int32)
+def _counter() -> Callable:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of a cell: of its block's members among themselves, or of one block's with the other's."""
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        own = pdf[pdf["half"] == pdf["i"]] if across else pdf
+        other = pdf[pdf["half"] == pdf["j"]] if across else pdf
+        ids, x, copies, comp = (own["id"].to_numpy(), unit(stack(own["vector"])), own["copies"].to_numpy(), own["component"].to_numpy()) if len(own) else (np.zeros(0, np.int64),) * 4
+        if not len(own) or not len(other):
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+        y, more, comp_y = unit(stack(other["vector"])), other["copies"].to_numpy(), other["component"].to_numpy()
+        links, back = np.zeros(len(own), dtype=np.int64), np.zeros(len(other), dtype=np.int64)
+        for k in range(0, len(own), 512):
+            hit = (x[k : k + 512] @ y.T >= THRESHOLD) & (comp[k : k + 512, None] == comp_y[None, :])
+            if not across:
+                hit[np.arange(hit.shape[0]), np.arange(k, k + hit.shape[0])] = False
+            links[k : k + 512] = hit @ more
+            if across:
+                back += copies[k : k + 512] @ hit
+        out = pd.DataFrame({"id": ids, "links": links})
+        return pd.concat([out, pd.DataFrame({"id": other["id"].to_numpy(), "links": back})]) if across else out
+
+    return run
+
+
+def _counted(classes: DataFrame, comps: DataFrame, block: int, small: int = 64) -> DataFrame:
+    """(id, links): how many vectors of other classes each class of a component is linked with directly, exactly.
+
+    Components of at most `small` classes share cells; a larger one is dealt into pairs of blocks."""
+    rows = classes.join(comps, "id")
+    sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
+    few = F.col("n") <= small
+    spread = max(1, -(-comps.count() // block))
+    rows = rows.join(sizes, "component").withColumn("few", few).withColumn("cell", F.when(few, F.pmod(F.xxhash64("component"), F.lit(spread))).otherwise(F.col("component")))
+    blocks = F.when(few, 1).otherwise(F.ceil(F.col("n") / block)).cast("int")
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("i", F.least("half", "other")).withColumn("j", F.greatest("half", "other"))
+    cells = rows.select("few", "cell", "i", "j", "half", "id", "component", "vector", "copies").groupBy("few", "cell", "i", "j")
+    return cells.applyInPandas(_counter(), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def _auditor(ids: np.ndarray, x: np.ndarray) -> Callable:
@@ -296,59 +338,53 @@ def _recall(classes: DataFrame, found: DataFrame, rows: int) -> float:
 
 def _comparer() -> Callable:
     def run(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if not len(graph) or not len(queries):
-            return none
-        ids, x, copies = graph["id"].to_numpy(), unit(stack(graph["vector"])), graph["copies"].to_numpy()
+            return pd.DataFrame(_NONE)
+        ids, x = graph["id"].to_numpy(), unit(stack(graph["vector"]))
         qids, qx = queries["id"].to_numpy(), unit(stack(queries["vector"]))
-        links, ends = np.zeros(len(qids), dtype=np.int64), []
-        for i in range(0, len(qids), 512):
-            hit = (qx[i : i + 512] @ x.T >= THRESHOLD) & (qids[i : i + 512, None] != ids[None, :])
-            links[i : i + 512] = hit @ copies
-            q, node = np.nonzero(hit)
-            ends.append(np.stack([q + i, node]))
-        q, node = np.concatenate(ends, 1)
-        every, at = np.unique(np.concatenate([qids, ids]), return_inverse=True)
-        roots = _roots(at[q], at[len(qids) + node], every)
-        out = pd.concat([pd.DataFrame({"id": qids, "links": links, "root": roots[at[: len(qids)]]}), pd.DataFrame({"id": ids, "links": np.zeros(len(ids), np.int64), "root": roots[at[len(qids) :]]})])
-        return out[(out["links"] > 0) | (out["root"] != out["id"])]
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i in range(0, len(qids), 512):
+                q, node = np.nonzero(qx[i : i + 512] @ x.T >= THRESHOLD)
+                yield q + i, node
+
+        return _rooted(qids, ids, found())
 
     return run
 
 
-def _compare(classes: DataFrame, n: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _compare(classes: DataFrame, n: int, block: int) -> DataFrame:
     """What _link gives, from every pair of blocks of classes compared exactly: work grows with the square of n."""
     blocks = -(-n // block)
-    rows = classes.select("id", "vector", "copies", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("gb"))
+    rows = classes.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("gb"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     graph = rows.withColumn("qb", other)
-    queries = rows.withColumnRenamed("gb", "qb").withColumn("gb", other).drop("copies")
-    found = cut(graph.groupBy("gb", "qb").cogroup(queries.groupBy("gb", "qb")).applyInPandas(_comparer(), "id long, links long, root long"))
-    return found.groupBy("id").agg(F.sum("links").alias("links")), found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    queries = rows.withColumnRenamed("gb", "qb").withColumn("gb", other)
+    return cut(graph.groupBy("gb", "qb").cogroup(queries.groupBy("gb", "qb")).applyInPandas(_comparer(), "id long, root long"))
 
 
-def _link(classes: DataFrame, n: int, *, overlap: int, near: int, spread: int, degree: int, shard: int, block: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(id, links to vectors of other classes) and (a, b) links to local roots."""
+def _link(classes: DataFrame, n: int, *, overlap: int, near: int, spread: int, degree: int, shard: int, block: int, sample_rows: int) -> DataFrame:
+    """(id, root): links to local roots."""
     sample = classes.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(sample_rows).select("vector").toPandas()
     c = centroids(stack(sample["vector"]), min(2048, max(1, -(-n // shard))))
     overlap = min(overlap, len(c))
-    schema = "id long, vector array<double>, copies long, shards array<int>"
-    placed = cut(classes.mapInPandas(_assigner(c, overlap), schema))
-    members = placed.select("*", F.explode("shards").alias("shard"))
+    placed = cut(classes.select("id", "vector").mapInPandas(_assigner(c, overlap), "id long, vector array<double>, shards array<int>"))
+    members = placed.select("id", "vector", F.explode("shards").alias("shard"))
     sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # at most 2048 rows
     members = members.join(F.broadcast(sizes), "shard").withColumn("gb", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     lists = members.groupBy("shard", "gb").applyInPandas(lambda pdf: _builder(near, spread, degree)(pdf), "id long, near array<long>")
     united = cut(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # at most overlap x degree each
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    graph = members.join(united, "id").withColumn("qb", blocks).select("shard", "gb", "qb", "id", "vector", "copies", "shards", "near")
-    queries = members.withColumnRenamed("gb", "qb").withColumn("gb", blocks).select(*[F.col(x).alias(x) for x in ("shard", "gb", "qb", "id", "vector", "shards")])
-    found = cut(graph.groupBy("shard", "gb", "qb").cogroup(queries.groupBy("shard", "gb", "qb")).applyInPandas(_searcher(), "id long, links long, root long"))
-    return found.groupBy("id").agg(F.sum("links").alias("links")), found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    graph = members.join(united, "id").withColumn("qb", blocks).select("shard", "gb", "qb", "id", "vector", "near")
+    queries = members.withColumnRenamed("gb", "qb").withColumn("gb", blocks).select(*[F.col(x).alias(x) for x in ("shard", "gb", "qb", "id", "vector")])
+    return cut(graph.groupBy("shard", "gb", "qb").cogroup(queries.groupBy("shard", "gb", "qb")).applyInPandas(_searcher(), "id long, root long"))
 
 
-def near_vectors(vectors: DataFrame, *, overlap: int = 2, near: int = 32, spread: int = 16, degree: int = 24, shard: int = 1500, block: int = 4096, sample_rows: int = 8192, audit_rows: int = 200, least_recall: float = 0.98, attempts: int = 3) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, overlap: int = 2, near: int = 32, spread: int = 16, degree: int = 24, shard: int = 1500, block: int = 4096, sample_rows: int = 8192, audit_rows: int = 200, least_recall: float = 0.98, attempts: int = 3, audits: list | None = None) -> DataFrame:
     """One row per row of vectors(vec_id, embedding): vec_id, n_links, component_id, kept.
 
+    audits, if given, gets the measured recall of each attempt.
+
     Vectors that are null, zero, or hold null or non-finite components link with nothing and
     are kept; so are those of a null vec_id, whose component is null. Vectors of different lengths
     never link. Equal vectors all link; repeated rows of one vec_id count as links of each
@@ -359,23 +395,28 @@ def near_vectors(vectors: DataFrame, *, overlap: int = 2, near: int = 32, spread
     good = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     classes = cut(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", "vector", "copies"))
     # an id with several vectors stands for one class only in the tables below
-    counts, stars = [], []
+    counts, tied = [], []
     for dim, n in sorted((r["dim"], r["count"]) for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()):
         own = classes.filter(F.size("vector") == dim)
-        for attempt in range(attempts):
-            found, star = _link(own, n, overlap=overlap + 2 * attempt, near=near << attempt, spread=spread, degree=degree << attempt, shard=shard, block=block, sample_rows=sample_rows)
-            if _recall(own, found, audit_rows) >= least_recall:
+        for attempt in range(attempts + 1):
+            exact = attempt == attempts
+            found = _compare(own, n, block) if exact else _link(own, n, overlap=overlap + 2 * attempt, near=near << attempt, spread=spread, degree=degree << attempt, shard=shard, block=block, sample_rows=sample_rows)
+            comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+            links = cut(_counted(own, comps, block))
+            recall = 1.0 if exact else _recall(own, links, audit_rows)
+            if audits is not None:
+                audits.append({"dim": dim, "attempt": attempt, "exact": exact, "recall": recall})
+            if recall >= least_recall:
                 break
-        else:
-            found, star = _compare(own, n, block)
-        counts.append(found)
-        stars.append(star)
+        counts.append(links)
+        tied.append(comps)
     out = vectors.select("vec_id", "vector").join(classes.withColumnRenamed("vector", "class_vector"), F.col("vector") == F.col("class_vector"), "left") if counts else vectors.withColumn("id", F.lit(None).cast("long")).withColumn("copies", F.lit(1))
+    if len(counts) > 1:
+        # an id may stand for vectors of several lengths
+        links = reduce(DataFrame.unionAll, counts).groupBy("id").agg(F.sum("links").alias("links"))
+        comps = components(cut(reduce(DataFrame.unionAll, tied)).select(F.col("id").alias("a"), F.col("component").alias("b")))
     if counts:
-        links, ties = counts[0], stars[0]
-        for more, star in zip(counts[1:], stars[1:]):
-            links, ties = links.union(more), ties.union(star)
-        out = out.join(links.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(components(ties), "id", "left")
+        out = out.join(links, "id", "left").join(comps, "id", "left")
     else:
         out = out.withColumn("links", F.lit(0)).withColumn("component", F.lit(None).cast("long"))
     mine = F.col("vec_id").isNotNull()

@@ -35,3 +35,19 @@ def test_exact_when_no_attempt_reaches_the_recall(spark):
     links, component = linked(spark, x, shard=10, block=128, overlap=1, attempts=1, least_recall=1.0)
     g = unit(x) @ unit(x).T >= 0.95
     assert (links == g.sum(1) - 1).all() and (component[200:400] == component[400:]).all()
+
+
+def test_rare_pairs_count_from_both_ends(spark):
+    """Pairs at 0.951 to 0.96 among many single vectors: found, counted alike from both ends, and the recall is returned."""
+    r = np.random.default_rng(4)
+    n, pairs = 2500, 100
+    x = unit(r.standard_normal((n, 64)))
+    side = r.standard_normal((pairs, 64))
+    side = unit(side - (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    c = r.uniform(0.951, 0.96, (pairs, 1))
+    x[pairs : 2 * pairs] = c * x[:pairs] + np.sqrt(1 - c**2) * side
+    audits = []
+    links, component = linked(spark, x, shard=12, sample_rows=2000, audits=audits)
+    assert (links[:pairs] == links[pairs : 2 * pairs]).all() and links[:pairs].mean() >= 0.9 and not links[2 * pairs :].any()
+    assert ((component[:pairs] == component[pairs : 2 * pairs]) == (links[:pairs] > 0)).all()
+    assert audits and all(0 <= a["recall"] <= 1 for a in audits) and audits[-1]["recall"] >= 0.98
