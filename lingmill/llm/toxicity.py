@@ -7,7 +7,7 @@ what the label explains merged into one vote by their estimated correlation) giv
 sampled document a posterior label. A linear classifier on hashed, length-free features is
 trained on those posteriors and scores every document.
 
-What is fitted: at most `sample_rows` labelled rows, none of them held out, chosen by a hash
+What is fitted: at most `sample_rows` labelled ids and one text of each, none of them held out, chosen by a hash
 of doc_id; everything it makes (voters, weights) has a fixed bound. What is scored: every
 whole text. Labels, languages, sources and ids are never inputs of a score.
 """
@@ -168,7 +168,7 @@ def linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, voters: int = 400, least_odds: float = 1.5) -> Model:
-    """Fit on at most sample_rows labelled rows that are not held out.
+    """Fit on at most sample_rows labelled ids that are not held out, and one text of each.
 
     Only counts by feature of the sample, its voters' votes and the model reach the driver;
     all are bounded by sample_rows and voters. Without usable labels the insults alone decide.
@@ -177,7 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, voters
     own = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(cut(chosen)), "doc_id").select("doc_id", "toxic", "text")
+    # one text an id, the first by a hash, however often the id stands in docs
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(cut(chosen)), "doc_id").groupBy("doc_id", "toxic")
+    sample = texts.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = cut(sample.mapInArrow(_feature_rows, "doc_id bigint, toxic int, feature string"))
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)

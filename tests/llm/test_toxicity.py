@@ -75,3 +75,26 @@ def test_model_scores_whole_texts():
     m = Model({"bad": 9.0, "xyza*#2": 5.0}, -4.0)
     assert m.score("word " * 100000 + "bad") > 0.9 and m.score("") < 0.1
     assert m.score("xyzab xyzab") < 0.1 < 0.5 < m.score("xyzab xyzac")
+
+
+def test_a_hot_id_is_one_sample(spark, monkeypatch):
+    """Whatever the rows of an id, the sample has one text of it, and what is collected doesn't grow."""
+    from pyspark.sql import functions as F
+
+    from lingmill.llm import toxicity
+
+    docs, labels, _ = data(300)
+    hot = next(i for i, _, t in labels if t and zlib.crc32(str(i).encode()) % 4 != 2)
+    d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    many = d.unionByName(spark.range(3000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("you idiot scum "), F.col("id")).alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("score", "string"), ("predicted", "int"))]))
+    held = toxicity._feature_rows
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in held(batches):
+            count.add(len(set(b.column(0).to_pylist())))
+            yield b
+
+    monkeypatch.setattr(toxicity, "_feature_rows", counted)
+    fit(many, y)
+    assert count.value <= 2 * len(labels)
