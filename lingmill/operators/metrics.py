@@ -6,12 +6,11 @@ from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from ..functions.text import strip
 from ..session import ship_package
@@ -135,28 +134,91 @@ def word_edits(ref: Sequence, hyp: Sequence) -> int:
     return row[-1]
 
 
-#: Words of a row become code points from here on: none of them is a surrogate, and 4-byte ones have room for a million words.
-_FIRST, _LAST = 0x10000, 0x10FFFF
+def long_edits(ref: Sequence[int], hyp: Sequence[int]) -> int:
+    """Edit distance by bit vectors of any length: bit i of a whole number stands for ref[i], and a step takes a word of hyp."""
+    m = len(ref)
+    if not m:
+        return len(hyp)
+    places: dict[int, int] = {}
+    for i, w in enumerate(ref):
+        places[w] = places.get(w, 0) | 1 << i
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, edits = every, 0, m  # where a cell is one more, or one less, than the cell above it
+    for w in hyp:
+        eq = places.get(w, 0)
+        x = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | (every & ~(h | up)), up & h
+        edits += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & every, (less << 1) & every
+        up, down = less | (every & ~(x | more)), more & x
+    return edits
+
+
+def short_edits(ref: np.ndarray, n_ref: np.ndarray, hyp: np.ndarray, n_hyp: np.ndarray) -> np.ndarray:
+    """long_edits of many pairs at a time, whose references have 1 to 64 words: rows of word numbers, n_ref and n_hyp of them."""
+    order = np.argsort(-n_hyp, kind="stable")
+    ref, n_ref, hyp, n_hyp = ref[order], n_ref[order], hyp[order], n_hyp[order]
+    ref = np.where(np.arange(ref.shape[1])[None, :] < n_ref[:, None], ref, -1)
+    ref = np.pad(ref, ((0, 0), (0, 64 - ref.shape[1])), constant_values=-1)
+    one = np.uint64(1)
+    up, down = np.full(len(ref), ~np.uint64(0)), np.zeros(len(ref), dtype=np.uint64)
+    edits, last = n_ref.astype(np.int64), (n_ref - 1).astype(np.uint64)
+    for t in range(int(n_hyp[0]) if len(n_hyp) else 0):
+        k = int(np.searchsorted(-n_hyp, -t))  # pairs that have a word left come first
+        eq = np.packbits(ref[:k] == hyp[:k, t, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        u, d = up[:k], down[:k]
+        x = eq | d
+        with np.errstate(over="ignore"):
+            h = (((eq & u) + u) ^ u) | eq
+        more, less = d | ~(h | u), u & h
+        edits[:k] += ((more >> last[:k]) & one).astype(np.int64) - ((less >> last[:k]) & one).astype(np.int64)
+        more, less = (more << one) | one, less << one
+        up[:k], down[:k] = less | ~(x | more), more & x
+    out = np.empty_like(edits)
+    out[order] = edits
+    return out
+
+
+def _rows(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Rows of numbers from runs of codes, filled up with -2."""
+    width = int(lengths.max(initial=0))
+    at = starts[:, None] + np.arange(width)[None, :]
+    return np.where(np.arange(width)[None, :] < lengths[:, None], codes[np.minimum(at, max(0, len(codes) - 1))] if len(codes) else -2, -2)
+
+
+def batch_edits(ref: pa.ListArray, hyp: pa.ListArray, cells: int = 1 << 22) -> np.ndarray:
+    """Edit distance of each pair of word lists."""
+    a, b = ref.flatten(), hyp.flatten()
+    codes = pa.concat_arrays([a, b]).dictionary_encode().indices.to_numpy().astype(np.int32)
+    n_ref, n_hyp = ref.value_lengths().to_numpy().astype(np.int64), hyp.value_lengths().to_numpy().astype(np.int64)
+    at_ref, at_hyp = np.cumsum(n_ref) - n_ref, len(a) + np.cumsum(n_hyp) - n_hyp
+    out = np.where(n_ref == 0, n_hyp, n_ref)
+    short = np.flatnonzero((n_ref > 0) & (n_ref <= 64) & (n_hyp > 0) & (n_hyp <= 1024))
+    short = short[np.argsort(n_hyp[short], kind="stable")]
+    low = 0
+    while low < len(short):
+        # lengths rise, so a chunk's last pair has its widest row
+        high = low + max(1, int(np.searchsorted(np.arange(1, len(short) - low + 1) * (64 + n_hyp[short[low:]]), cells, side="right")))
+        own = short[low:high]
+        out[own] = short_edits(_rows(codes, at_ref[own], n_ref[own]), n_ref[own], _rows(codes, at_hyp[own], n_hyp[own]), n_hyp[own])
+        low = high
+    for i in np.flatnonzero((n_ref > 64) & (n_hyp > 0) | (n_ref > 0) & (n_hyp > 1024)):
+        out[i] = long_edits(codes[at_ref[i] : at_ref[i] + n_ref[i]].tolist(), codes[at_hyp[i] : at_hyp[i] + n_hyp[i]].tolist())
+    return out
 
 
-@F.pandas_udf(StructType().add("ref", "string").add("hyp", "string").add("edits", "long"))
-def _coded(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """Each row's two texts with a character for each different word; their edits instead if there are too many words."""
-    rows = []
-    for a, b in zip(ref, hyp):
-        number: dict[str, int] = {}
-        x, y = ([number.setdefault(w, len(number) + _FIRST) for w in (t or "").split()] for t in (a, b))
-        rows.append(("".join(map(chr, x)), "".join(map(chr, y)), None) if len(number) <= _LAST - _FIRST else (None, None, word_edits(x, y)))
-    return pd.DataFrame(rows, columns=["ref", "hyp", "edits"]).astype({"edits": "Int64"})
+@F.arrow_udf(LongType())
+def _edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array(batch_edits(ref, hyp), pa.int64())
 
 
 def word_error_rate(df: DataFrame, by: Sequence[str], hyp: str = "preds", ref: str = "labels") -> DataFrame:
-    """100 x word edits over reference words, over each whole group. Words become characters, whose edits the JVM counts."""
+    """100 x word edits over reference words, over each whole group. Edits are counted by bit vectors, an Arrow batch at a time."""
     ship_package(df.sparkSession)
-    words = F.size(tokens(F.coalesce(F.col(ref), F.lit(""))))
-    base = df.select(*by, _coded(F.col(ref), F.col(hyp)).alias("c"), words.alias("words"))
-    edits = F.coalesce(F.col("c.edits"), F.levenshtein("c.ref", "c.hyp").cast("long"))
-    return base.groupBy(*by).agg(F.round(F.try_divide(100.0 * F.sum(edits), F.sum("words")), 6).alias("wer"))
+    own = lambda c: tokens(F.coalesce(F.col(c), F.lit("")))
+    base = df.select(*by, own(ref).alias("r"), own(hyp).alias("h")).select(*by, _edits("r", "h").alias("edits"), F.size("r").alias("words"))
+    return base.groupBy(*by).agg(F.round(F.try_divide(100.0 * F.sum("edits"), F.sum("words")), 6).alias("wer"))
 
 
 def smoothed_cross_entropy(logits: Column, label: Column, epsilon: float = 0.1, ignored: int = -100) -> Column:

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import delete_folder
+from ..sources.folders import write_folder
 from .curate import rows_per_shard, shuffled
 
 
@@ -49,31 +42,17 @@ def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    """With a header, quotes doubled, and white space at either end of a text kept."""
+    w = df.write.mode("overwrite").option("header", "true").option("escape", '"')
+    w.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def write_arrow(df: DataFrame, path: str) -> None:
     """An Arrow file a task, in a folder that all executors reach under this path or URI.
 
-    A task writes under a name of its own attempt and renames the whole file, so one that runs again leaves one file.
+    Published in two phases: a write that fails leaves the output before it as it was.
     """
-    kinds = to_arrow_schema(df.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get()
-        files, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
-        name, n = f"{folder}/part-{at.partitionId():05d}.arrow", 0
-        own = f"{folder}/_part-{at.partitionId():05d}-{at.taskAttemptId()}"
-        files.create_dir(folder)
-        with files.open_output_stream(own) as out, pa.ipc.new_file(out, kinds) as writer:
-            for batch in batches:
-                writer.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, kinds)], schema=kinds))
-                n += batch.num_rows
-        files.move(own, name)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
-
-    delete_folder(df.sparkSession, path)
-    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    write_folder(df, path, "arrow")
 
 
 def write_as(df: DataFrame, path: str, kind: str) -> None:

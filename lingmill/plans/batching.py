@@ -9,6 +9,7 @@ from ..operators import batching as b
 from ..operators import noise
 from ..operators.mapping import buffer_shuffled, map_model
 from ..operators.ordering import number_rows
+from ..operators.permute import Permutation, numbered, permuted
 from . import fixtures as fx
 from .registry import query
 
@@ -190,3 +191,22 @@ def gather_positions(spark, d):
 def global_ordinal(spark, d):
     own = fx.load(spark, d, "documents").select("doc_id", "source")
     return number_rows(own, ["source", "doc_id"], "ordinal").select("doc_id", "ordinal")
+
+
+#: Rows by doc_id with the sides of their grid; five walks are more than these tables take.
+_PLACES = "WITH n AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id)::BIGINT - 1 AS row, n, a, (n + a - 1) // a AS b FROM documents, n)"
+
+
+def _walks(epoch: int) -> str:
+    walk = Permutation(1, 42, epoch).sql
+    ctes = [f"w{epoch}0 AS (SELECT doc_id, n, a, b, {walk('row')} AS p FROM r)"]
+    ctes += [f"w{epoch}{k} AS (SELECT doc_id, n, a, b, CASE WHEN p < n THEN p ELSE {walk('p')} END AS p FROM w{epoch}{k - 1})" for k in range(1, 5)]
+    return ", ".join(ctes)
+
+
+@query(f"{_PLACES}, {_walks(0)}, {_walks(1)} SELECT doc_id, x.p AS first_epoch, y.p AS second_epoch FROM w04 x JOIN w14 y USING (doc_id)")
+def permute_epochs(spark, d):
+    """Each document's place in two epochs of a shuffle of the whole table."""
+    rows, n = numbered(fx.load(spark, d, "documents").select("doc_id"), ["doc_id"])
+    out = permuted(rows, n, name="first_epoch")
+    return permuted(out, n, epoch=1, name="second_epoch").select("doc_id", "first_epoch", "second_epoch")

@@ -194,6 +194,13 @@ def describe_length_by_lang(spark, d):
     return _described(_lengths(spark, d))
 
 
+@query(_STACKED + _DESCRIBE)
+def describe_by_rounds(spark, d):
+    """The same by rounds of histograms: no task holds a language's lengths."""
+    out = stats.describe(_lengths(spark, d), method="rounds")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
 @query(f"WITH {fx.BITEXT}, s AS (SELECT source_nllb_code AS nllb_code, round(source_lid::DOUBLE, 6) AS v FROM bitext UNION ALL SELECT target_nllb_code, round(target_lid::DOUBLE, 6) FROM bitext) {_DESCRIBE}")
 def describe_lid_by_lang(spark, d):
     return _described(stats.stack_sides(fx.bitext(spark, d), {s: F.round(F.col(f"{s}_lid").cast("double"), 6) for s in ("source", "target")}))

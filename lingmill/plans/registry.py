@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import batching, curation, metrics, pairing, retrieval  # noqa: E402, F401
+from . import batching, curation, files, metrics, pairing, retrieval  # noqa: E402, F401

@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
 from ..operators.pairing import aligned
+from .records import blocks_at, split_csv
 
 FORMATS = {"arrow": "arrow", "json": "json", "jsonl": "json", "parquet": "parquet", "csv": "csv", "tsv": "csv", "xml": "xml", "txt": "text"}
 
@@ -35,10 +35,9 @@ def by_extension(spark: SparkSession, *paths: str) -> DataFrame:
     kind = kinds.pop()
     if kind == "arrow":
         return arrow(spark, *paths)
-    r = spark.read
     if kind in ("csv", "tsv"):
-        r = r.option("header", "true").option("sep", "\t" if kind == "tsv" else ",").option("multiLine", "true")
-    return r.format(FORMATS[kind]).load(list(paths))
+        return split_csv(spark, *paths, sep="\t" if kind == "tsv" else ",")[0]
+    return spark.read.format(FORMATS[kind]).load(list(paths))
 
 
 def _opened_arrow(raw: bytes) -> pa.RecordBatchReader:
@@ -135,7 +134,7 @@ def tmx_unit(value: Column, source: str, target: str) -> tuple[Column, Column]:
 
 def quoted_csv(spark: SparkSession, path: str, source: int = 0, target: int = 1, sep: str = ",", header: bool = True) -> DataFrame:
     """Two stripped columns, by number, of a quoted CSV or TSV; further columns, empty ones included, are dropped."""
-    df = spark.read.csv(path, header=header, sep=sep, multiLine=True, quote='"', escape='"')
+    df, _ = split_csv(spark, path, sep=sep, header=header)
     pick = lambda i: strip(F.col(f"`{df.columns[i]}`"))
     return df.select(pick(source).alias("source_text"), pick(target).alias("target_text"))
 
@@ -143,12 +142,7 @@ def quoted_csv(spark: SparkSession, path: str, source: int = 0, target: int = 1,
 def multilingual_csv(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, malformed) of a CSV of that many columns: rows with another number of fields aren't read as text
     but reported, as their line (`line`)."""
-    bad = "_malformed"
-    schema = StructType([StructField(c, StringType()) for c in (*columns, bad)])
-    own = spark.read.schema(schema).csv(path, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, multiLine=True, quote='"', escape='"', enforceSchema=True)
-    # Spark reads a malformed row's line only beside another column
-    line = F.substring(F.concat(F.col(bad), F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))), F.lit(1), F.length(bad))
-    return own.filter(F.col(bad).isNull()).drop(bad), own.filter(F.col(bad).isNotNull()).select(line.alias("line"))
+    return split_csv(spark, path, header=header, columns=columns)
 
 
 def unpivot_pairs(df: DataFrame, languages: list[str], row: str, pivot: str) -> DataFrame:
@@ -181,6 +175,13 @@ def marked_blocks(value: Column, first: str, second: str) -> Column:
     return F.transform(blocks, lambda b: F.struct(clean(F.substring_index(b, f"{second}:", 1)).alias("source_text"), clean(F.substring(b, F.instr(b, F.lit(f"{second}:")) + len(second) + 1, F.length(b))).alias("target_text")))
 
 
+def marked_block_files(spark: SparkSession, *paths: str, first: str, second: str) -> DataFrame:
+    """(source_text, target_text) of the marked blocks of files of any size, read in splits."""
+    blocks = blocks_at(spark, *paths, marker=f"{first}:")
+    pairs = blocks.select(F.explode(marked_blocks(F.col("block"), first, second)).alias("p"))
+    return pairs.select("p.source_text", "p.target_text")
+
+
 def members(spark: SparkSession, path: str, most_bytes: int = 1 << 31) -> DataFrame:
     """(archive, name, line, value): the lines of every file in zip and tar archives. Archives are read one per task."""
 
