@@ -113,7 +113,10 @@ def read_loss(text: Column, loss: Column) -> Column:
 
 
 def chat_query(turns: DataFrame, *, budget: int = 1024) -> DataFrame:
-    """Formats the conversations and conversation -7, then reads back what was written."""
+    """Formats the conversations and conversation -7, then reads back what was written, one row per conversation.
+
+    The edge cases of `windows` hold. Turns that the table has under -7 join the two added ones: all of them are one conversation.
+    An empty table gives conversation -7 alone."""
     said = "\\### Assistant: </turn> ok"
     spark = turns.sparkSession
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TARGET).alias("role"), F.lit(said).alias("text"))

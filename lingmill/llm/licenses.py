@@ -149,4 +149,6 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, base: dict[
 
 
 def licenses_query(docs: DataFrame) -> DataFrame:
+    """The contract's columns of `scan`, one row per row of docs: null and empty texts have no words, null first and last words, no
+    labels and score 0; rows may repeat and a doc_id may be null; an empty table gives an empty one; other columns are not read."""
     return scan(docs).drop("places")

@@ -229,7 +229,10 @@ def scorer(model: Model):
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame, *, at: float = 0.3) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. Repeated rows stay; an empty table gives an empty one."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Null and empty texts get the score of a text without words; texts of any length are scored whole; repeated rows stay; a null doc_id
+    is not held out; labels of null or unknown ids teach nothing. An empty table gives an empty one. Other columns are not read."""
     score = scorer(fit(docs, labels))
     out = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score(text_of()).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= at).cast("int"))
