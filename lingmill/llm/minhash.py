@@ -7,8 +7,8 @@ locality sensitive: two sets agree in a register with a probability of at least
 similarity. Documents of equal sets form a class, and classes go on alone.
 
 Bands of registers put classes into buckets. Rounds of pivots follow: each bucket whose
-members stand in different components compares all of them with two members, the first and the last in
-an order by hash that all buckets share, and lets those go. For each candidate pair the similarity is
+members stand in different components compares all of them with one member, the next in
+an order by hash that all buckets share, and lets that one go. For each candidate pair the similarity is
 estimated by the joint likelihood of the registers and the set sizes; pairs that the
 estimate puts far below the threshold go, and the rest are confirmed on the full sets, each
 document's best pair first. Links found so far give components; pairs whose ends already
@@ -415,7 +415,7 @@ def _rest(left: DataFrame, waiting: DataFrame, comps: DataFrame, classes: DataFr
 def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enough: float = 0.75, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Links, likely pairs that were no document's best, components, and what is left open, (key, band, id, component), after rounds of pivots.
 
-    In a round each open bucket compares its members with two fresh pivots, which then leave it. Members stand in the
+    In a round each open bucket compares its members with a fresh pivot, which then leaves it. Members stand in the
     same order in every bucket, so buckets that share most of their members share pivots, and pairs. Rounds go on while there are
     open buckets of more than `small` members and a round leaves at most `enough` of the open rows.
     """
@@ -423,7 +423,7 @@ def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enoug
     joined = lambda a, b: b if a is None else a.unionAll(b)
     while True:
         place = F.struct(F.xxhash64("id"), "id", "component")
-        pivots = left.groupBy("key").agg(F.min(place).alias("p"), F.max(place).alias("q")).select("key", F.explode(F.array("p", "q")).alias("p")).distinct().select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
+        pivots = left.groupBy("key").agg(F.min(place).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
         met = left.join(pivots, "key").filter("id <> pivot")
         pairs = met.filter("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         likely = cut(_likely(pairs, classes))
@@ -432,8 +432,7 @@ def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enoug
         waiting = joined(waiting, likely.select("a", "b").join(best, ["a", "b"], "left_anti"))
         links = joined(links, cut(_confirmed(best, sets)))
         comps = components(links)
-        gone = pivots.select("key", F.col("pivot").alias("id"))
-        now = _of(left.select("key", "band", "id").join(gone, ["key", "id"], "left_anti"), comps)
+        now = _of(met.select("key", "band", "id"), comps)
         opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
         left = cut(now.join(opened, "key").select("key", "band", "id", "component", "n"))
         before, n, most = n, *left.agg(F.count("*"), F.max("n")).first()
