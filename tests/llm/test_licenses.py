@@ -61,3 +61,33 @@ def test_scattered_words_are_no_template(spark):
 
 def test_empty_table(spark):
     assert licenses_query(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_texts_and_near_ones(spark):
+    """Every template is found as it stands, behind a header, and with a tenth of its words changed elsewhere than in its key phrase."""
+    from lingmill.llm.licenses import TEMPLATES
+
+    r, rows, want = random.Random(5), [], {}
+    for n, t in enumerate(TEMPLATES):
+        words, key = t.text.split(), t.key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        changed = [w if at <= i < at + len(key) or r.random() > 0.1 else "zzz" for i, w in enumerate(words)]
+        rows += [(2 * n, " ".join(["Header", "2024,", *words, "tail"]).upper(), "", ""), (2 * n + 1, " - ".join(changed), "", "")]
+        want[2 * n] = want[2 * n + 1] = t.label
+    rows += [(1000 + i, "plain words that say nothing of the kind", "", "") for i in range(30)]
+    got = {x.doc_id: x for x in scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, label in want.items():
+        if len(TEMPLATES[i // 2].text.split()) >= 8:
+            assert label in got[i].labels.split(","), (i, got[i].labels)
+            assert got[i].score >= 0.5
+    assert all(got[2 * n].score == pytest.approx(1.0) for n in range(len(TEMPLATES)) if not got[2 * n].n_base)
+    assert all(got[1000 + i].labels == "" for i in range(30))
+
+
+def test_work_follows_hits_not_templates(spark):
+    """Templates are data: the plan of twice as many isn't longer by more than their words."""
+    from lingmill.llm.licenses import TEMPLATES
+
+    df = spark.createDataFrame([(1, "cc by", "", "")], SCHEMA)
+    nodes = lambda ts: scan(df, ts)._jdf.queryExecution().analyzed().toString().count("lambdafunction(")
+    assert nodes(TEMPLATES[:5]) == nodes(TEMPLATES)
