@@ -126,7 +126,9 @@ def drop_duplicates_first(df: DataFrame, keys: Sequence[str], order: Sequence[st
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    """A shard by the first 32 bits of the key's MD5, which any engine can state; null keys go to shard 0."""
+    number = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.pmod(number, F.lit(shards)), F.lit(0)).cast("int")
 
 
 def rows_per_shard(n: int, shards: int) -> int:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import ship_package
 from .curate import lid_resolve
+from .mapping import made_once
 
 
 class LanguageIdentifier(Protocol):
@@ -45,11 +46,6 @@ class StopWordIdentifier:
         return out
 
 
-@lru_cache(maxsize=4)
-def _loaded(make: Callable[[], LanguageIdentifier]) -> LanguageIdentifier:
-    return make()
-
-
 def identify(df: DataFrame, columns: Sequence[str], make: Callable[[], LanguageIdentifier] = StopWordIdentifier) -> DataFrame:
     """Adds <column>_label and <column>_score for each text column, in one pass through Python.
 
@@ -60,8 +56,10 @@ def identify(df: DataFrame, columns: Sequence[str], make: Callable[[], LanguageI
     for c in columns:
         schema = schema.add(f"{c}_label", "string").add(f"{c}_score", "float")
 
+    pickled = cloudpickle.dumps(make)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _loaded(make)
+        model = made_once(pickled)
         for pdf in frames:
             for c in columns:
                 some = pdf[c].notna()

@@ -147,6 +147,16 @@ class NgramModel:
         return list(zip(labels, share.tolist()))
 
 
+@dataclass(frozen=True)
+class Classifier:
+    """A model as a text model of the classification task."""
+
+    model: NgramModel
+
+    def run(self, texts: Sequence[str]) -> list[tuple]:
+        return self.model.predict(texts)
+
+
 def _score(batches: Iterator[pa.RecordBatch], *, model, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         arrays, names = list(batch.columns), list(batch.schema.names)

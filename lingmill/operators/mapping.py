@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -29,9 +30,10 @@ class TextModel(Protocol):
         """For each text, the values of the task's columns."""
 
 
-@lru_cache(maxsize=2)
-def _loaded(make: Callable[[], TextModel]) -> TextModel:
-    return make()
+@lru_cache(maxsize=4)
+def made_once(make: bytes) -> object:
+    """What a pickled function makes, once a worker process. Tasks unpickle functions anew, but their bytes stay equal."""
+    return pickle.loads(make)()
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, *, remove: Sequence[str] = (), rows: int = 1000) -> DataFrame:
@@ -55,10 +57,10 @@ def map_model(df: DataFrame, task: str, make: Callable[[], TextModel], text: str
     if clash:
         raise ValueError(f"columns are there already: {', '.join(sorted(clash))}")
     schema = StructType([*df.schema.fields, *[StructField(f.name, f.dataType) for f in added]])
-    kinds = to_arrow_schema(schema)
+    kinds, pickled = to_arrow_schema(schema), cloudpickle.dumps(make)
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _loaded(make).run([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+        found = made_once(pickled).run([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
         new = [pa.array([r[k] for r in found], kinds.field(field.name).type) for k, field in enumerate(added)]
         return pa.RecordBatch.from_arrays([*[c.cast(k.type) for c, k in zip(batch.columns, kinds)], *new], names=kinds.names)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import sequences as s
@@ -10,6 +12,7 @@ from ..operators import noise
 from ..operators.mapping import buffer_shuffled, map_model
 from ..operators.ordering import number_rows
 from ..operators.permute import Permutation, numbered, permuted
+from ..session import ship_package
 from . import fixtures as fx
 from .registry import query
 
@@ -122,6 +125,14 @@ def language_of_first_token(spark, d):
     return fx.tokens(spark, d).select("id", s.code_of_first(encoded, _FIRST).alias("code"))
 
 
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, true AS moved, true AS within FROM documents")
+def buffer_shuffle_moves(spark, d):
+    """What a buffer of 50 rows does to the order: nine rows in ten move, and none comes out more than a buffer before its place."""
+    at, out = F.monotonically_increasing_id(), F.col("after")
+    rows = buffer_shuffled(fx.load(spark, d, "documents").select("doc_id").withColumn("before", at), 50).withColumn("after", at)
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"), (F.avg((out != F.col("before")).cast("double")) > 0.9).alias("moved"), (F.max(F.col("before") - out) <= 50).alias("within"))
+
+
 @query("SELECT doc_id, text FROM documents")
 def buffer_shuffle(spark, d):
     """Every row comes out once, whatever the order."""
@@ -153,14 +164,45 @@ def strip_ignore_index(spark, d):
     return fx.tokens(spark, d).select("id", _text(s.replace_ignored(marked, 0)).alias("ids"))
 
 
-@query()
-def noise_compose(spark, d):
-    """Denoising noise on every document's tokens, with the training ratios."""
-    from ..session import ship_package
+#: The training ratios, with a sentence ending in each word of three characters, so that there are sentences to move.
+_NOISE = replace(noise.TRAINING, stop_id=13)
+
+
+def _masked(table: str, place: str) -> str:
+    """Tokens of a table (id, place, t, n) with the share of the body masked whose draws are the least."""
+    inside = f"{place} BETWEEN 1 AND n - 2"
+    rank = f"row_number() OVER (PARTITION BY id, {inside} ORDER BY {noise.draw_sql('id', noise.MASK, place)}, {place})"
+    return f"SELECT id, {place} AS place, n, CASE WHEN {inside} AND {rank} <= ceil({_NOISE.mask}::DOUBLE * greatest(0, n - 2)) THEN {_NOISE.mask_id} ELSE t END AS t FROM {table}"
+
 
+_NOISED = f"""WITH {fx.TOKENS}, k AS (SELECT id, unnest(ids)::BIGINT AS t, unnest(range(len(ids)))::BIGINT AS i, len(ids)::BIGINT AS n FROM tokens),
+ a AS (SELECT *, CASE WHEN i BETWEEN 1 AND n - 2 THEN count(*) FILTER (WHERE t = {_NOISE.stop_id} AND i BETWEEN 1 AND n - 2) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS part FROM k),
+ p AS (SELECT id, part, count(*) OVER (PARTITION BY id) AS m, row_number() OVER (PARTITION BY id ORDER BY {noise.draw_sql('id', noise.PERMUTE, 'part')}, part) AS r FROM (SELECT DISTINCT id, part FROM a WHERE part IS NOT NULL)),
+ c AS (SELECT id, part, r, row_number() OVER (PARTITION BY id ORDER BY part) AS s FROM p WHERE m > 1 AND r <= ceil({_NOISE.permute}::DOUBLE * m)),
+ slots AS (SELECT p.id, p.part, coalesce(y.part, p.part) AS slot FROM p LEFT JOIN c x ON x.id = p.id AND x.part = p.part LEFT JOIN c y ON y.id = x.id AND y.s = x.r),
+ moved AS (SELECT a.id, t, n, row_number() OVER (PARTITION BY a.id ORDER BY CASE WHEN i = 0 THEN -1 ELSE coalesce(slot, 1000000) END, i) - 1 AS place FROM a LEFT JOIN slots ON slots.id = a.id AND slots.part = a.part),
+ hidden AS ({_masked('moved', 'place')}), plain AS ({_masked('k', 'i')}),
+ more AS (SELECT id, 1 + {noise.draw_sql('id', noise.INSERT, 'j')} % (n - 1) AS place FROM (SELECT id, len(ids)::BIGINT AS n, unnest(range(ceil({_NOISE.insert}::DOUBLE * len(ids))::BIGINT)) AS j FROM tokens WHERE len(ids) > 2)),
+ every AS (SELECT id, place, 1 AS own, t FROM hidden UNION ALL SELECT id, place, 0, {_NOISE.mask_id} FROM more),
+ noised AS (SELECT id, string_agg(t::VARCHAR, ',' ORDER BY place, own) AS noised FROM every GROUP BY id)"""
+
+
+@query(f"{_NOISED} SELECT id, noised, masked FROM noised JOIN (SELECT id, string_agg(t::VARCHAR, ',' ORDER BY place) AS masked FROM plain GROUP BY id) USING (id)")
+def noise_compose(spark, d):
+    """Denoising noise on every document's tokens: all steps with the training ratios, and masks alone."""
     ship_package(spark)
     own = fx.tokens(spark, d)
-    return own.select("id", _text(noise.noised(F.col("ids"), F.col("id"))).alias("noised"), _text(noise.masked_by_rank(F.col("ids"), F.col("id"), 0.3, 3)).alias("masked"))
+    alone = noise.Noise(mask=_NOISE.mask, random=0.0, rotate=0.0)
+    return own.select("id", _text(noise.noised(F.col("ids"), F.col("id"), _NOISE)).alias("noised"), _text(noise.noised(F.col("ids"), F.col("id"), alone)).alias("masked"))
+
+
+@query(f"{_NOISED} SELECT id, side, CASE WHEN id % 2 = 0 THEN array_to_string(ids, ',') ELSE noised END AS input_ids, array_to_string(ids, ',') AS labels FROM tokens JOIN noised USING (id), (VALUES (0), (1)) s(side)")
+def noisy_pairs(spark, d):
+    """Pair expansion with composed noise: sides of odd documents are rebuilt from their noise, even ones go as they are."""
+    ship_package(spark)
+    own = fx.tokens(spark, d).select("id", F.col("ids").alias("source_ids"), F.col("ids").alias("target_ids"))
+    out = b.expand_pairs(own, F.col("id") % 2 != 0, noise=lambda c: noise.noised(c, F.col("id"), _NOISE))
+    return out.select("id", "side", _text(F.col("input_ids")).alias("input_ids"), _text(F.col("labels")).alias("labels"))
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")

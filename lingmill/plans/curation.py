@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import dedup_key
 from ..operators import curate, key_index, lid_model, stats
 from ..operators.lid import StopWordIdentifier, lid_score
+from ..operators.mapping import map_model
 from ..session import cut, delete_folder, ensure_checkpoint_dir
 from . import fixtures as fx
 from .registry import query
@@ -168,7 +169,7 @@ def stage_report(spark, d):
     return rows.select("*", *curate.report(F.col("rows_in"), F.col("rows_out")))
 
 
-@query()
+@query("SELECT (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 16)::INT AS shard, count(*) AS n FROM documents GROUP BY 1")
 def shard_sizes(spark, d):
     """Rows of each of 16 hash shards."""
     return fx.load(spark, d, "documents").groupBy(curate.shard_of(F.col("doc_id"), 16).alias("shard")).agg(F.count("*").alias("n"))
@@ -283,10 +284,13 @@ def lid_ngram_counts(spark, d):
     return lid_model.bucket_counts(fx.load(spark, d, "documents"))
 
 
-@query(f"""WITH {_BUCKETS}, t AS (SELECT label, sum(n) AS total FROM c GROUP BY label), k AS (SELECT doc_id, b, count(*) AS k FROM g GROUP BY doc_id, b),
+_MODEL = f"""WITH {_BUCKETS}, t AS (SELECT label, sum(n) AS total FROM c GROUP BY label), k AS (SELECT doc_id, b, count(*) AS k FROM g GROUP BY doc_id, b),
  s AS (SELECT doc_id, t.label, sum(k * ln((coalesce(n, 0) + 0.5) / (total + 0.5 * {1 << lid_model.BITS}))) AS s FROM k CROSS JOIN t LEFT JOIN c ON c.label = t.label AND c.bucket = b GROUP BY doc_id, t.label),
  m AS (SELECT doc_id, max(s) AS m FROM s GROUP BY doc_id), o AS (SELECT doc_id, min(label) FILTER (WHERE s = m) AS label, round(1 / sum(exp((s - m) / {len(lid_model.ORDERS)})), 6) AS score FROM s JOIN m USING (doc_id) GROUP BY doc_id)
- SELECT documents.doc_id, coalesce(o.label, 'unknown') AS label, coalesce(o.score, 0) AS score FROM documents LEFT JOIN o ON o.doc_id = documents.doc_id""")
+ SELECT documents.doc_id, coalesce(o.label, 'unknown') AS {{label}}, coalesce(o.score, 0) AS {{score}} FROM documents LEFT JOIN o ON o.doc_id = documents.doc_id"""
+
+
+@query(_MODEL.format(label='label', score='score'))
 def lid_model_scores(spark, d):
     """A model of the documents' languages, and what it says of each document."""
     docs = fx.load(spark, d, "documents")
@@ -294,6 +298,15 @@ def lid_model_scores(spark, d):
     return out.select("doc_id", F.col("text_label").alias("label"), F.round("text_score", 6).alias("score"))
 
 
+@query(_MODEL.format(label="predicted_label", score="confidence_score"))
+def model_classify(spark, d):
+    """The same model as a mapped model task: a worker process makes it once, and it gets texts a few at a time."""
+    docs = fx.load(spark, d, "documents")
+    model = lid_model.NgramModel.train(docs)
+    out = map_model(docs.select("doc_id", "text"), "classification", lambda: lid_model.Classifier(model), rows=64)
+    return out.select("doc_id", "predicted_label", F.round("confidence_score", 6).alias("confidence_score"))
+
+
 @query(f"WITH {fx.FEATURES}{_D1}{_D2} SELECT id, sid, tid FROM d2")
 def dedup_increments(spark, d):
     """The pairs in three batches, each against the index of the keys before it: the rows of one run over all."""

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import one_line
 from ..operators import resume, sinks
 from ..session import cut, delete_folder, ensure_checkpoint_dir
 from ..sources import readers
@@ -84,3 +85,33 @@ def shard_files(spark, d):
         return per.agg(F.sum("n").alias("n_rows"), F.max("last").alias("last"), (F.max("n") <= 300).alias("within"))
 
     return _through(spark, lambda p: sinks.write_shards(docs, p, max_rows=300), read)
+
+
+@query(f"WITH {fx.BITEXT} SELECT row_number() OVER (ORDER BY sid, tid) - 1 AS line, replace(source_text, chr(10), ' ') AS source_text, replace(target_text, chr(10), ' ') AS target_text FROM bitext")
+def line_pair_files(spark, d):
+    """Two line-aligned folders of text files, read in splits and zipped by line."""
+    pairs = fx.bitext(spark, d).select("sid", "tid", *[one_line(F.col(f"{s}_text")).alias(s) for s in ("source", "target")]).orderBy("sid", "tid")
+
+    def write(p: str) -> None:
+        rows = cut(pairs)  # one order for both sides
+        for side in ("source", "target"):
+            rows.select(side).write.text(f"{p}/{side}")
+
+    back = _through(spark, write, lambda p: readers.text_pair(spark, f"{p}/source", f"{p}/target", "eng_Latn", "fra_Latn"))
+    return back.select("line", "source_text", "target_text")
+
+
+@query(f"""WITH {fx.BITEXT} SELECT trim(regexp_replace(source_text, '\\s+', ' ', 'g')) AS source_text, trim(regexp_replace(target_text, '\\s+', ' ', 'g')) AS target_text FROM bitext""")
+def tmx_files(spark, d):
+    """A translation memory as XML, read by its units."""
+    text = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    variant = lambda lang, c: F.struct(F.lit(lang).alias("_lang"), text(F.col(c)).alias("seg"))
+    units = fx.bitext(spark, d).select(F.array(variant("en", "source_text"), variant("fr", "target_text")).alias("tuv"))
+    return _through(spark, lambda p: units.write.format("xml").option("rootTag", "body").option("rowTag", "tu").save(p), lambda p: readers.tmx(spark, p, "en", "fr"))
+
+
+@query("SELECT -row_number() OVER (ORDER BY item_id) AS id, replace(text, chr(10), ' ') AS sentence, 'eng_Latn' AS nllb_code FROM benchmark")
+def negative_files(spark, d):
+    """Headless files of one column as hard negatives, numbered downwards over all splits."""
+    rows = fx.load(spark, d, "benchmark").select("item_id", one_line(F.col("text")).alias("value")).orderBy("item_id")
+    return _through(spark, lambda p: rows.select("value").write.text(p), lambda p: readers.negatives(spark, p, "eng_Latn"))

@@ -2,6 +2,8 @@
 
 import gzip
 import math
+import os
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -61,6 +63,24 @@ def test_model_map(spark):
         mapping.map_model(df.withColumn("generated_text", F.lit("")), "generation", Lengths)
 
 
+def test_models_are_made_once_a_worker(spark, tmp_path):
+    """A closure too, though every task unpickles it anew."""
+    folder = str(tmp_path)
+
+    class Plain:
+        def run(self, texts):
+            return [("x", 0.5) for _ in texts]
+
+    def make():
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return Plain()
+
+    df = spark.range(0, 400, 1, 16).withColumn("text", F.lit("t"))
+    assert mapping.map_model(df, "sentiment", make, rows=5).filter("confidence_score = 0.5").count() == 400
+    per = Counter(name.split("-")[0] for name in os.listdir(folder))
+    assert per and set(per.values()) == {1}
+
+
 def test_buffer_shuffle(spark):
     df = spark.range(0, 5000, 1, 2).withColumn("t", F.col("id").cast("string"))
     out = [r.id for r in mapping.buffer_shuffled(df, 100).collect()]

@@ -236,25 +236,71 @@ def test_expand_pairs(spark):
 
 
 def test_noise_properties(spark):
-    ids = [1, *([11, 12, 4] * 10), 2]
-    r = np.random.default_rng(0)
+    ids = [1, *[x for k in range(10) for x in (20 + k, 12, 4)], 2]
     n = noise.Noise(permute=1.0, rotate=1.0, insert=0.2, mask=0.3, random=0.5)
+    rows = lambda k=50: noise.Rows.of([ids] * k, list(range(k)))
     for step in (noise.permute, noise.rotate):
-        out = step(np.array(ids), n, r)
-        assert sorted(out) == sorted(ids) and (out[0], out[-1]) == (1, 2)
-    masked = noise.mask(np.array(ids), noise.Noise(random=0.0), r)
-    assert (masked == 3).sum() == math.ceil(0.3 * 30) and (masked[0], masked[-1]) == (1, 2)
-    spans = noise.mask(np.array(ids), noise.Noise(random=0.0, span_rate=3.0), r)
-    assert (spans == 3).sum() == math.ceil(0.3 * 30)
-    assert len(noise.insert(np.array(ids), n, r)) == 32 + math.ceil(0.2 * 32)
+        out = step(rows(), n).lists()
+        assert all(sorted(x) == sorted(ids) and (x[0], x[-1]) == (1, 2) for x in out) and len({tuple(x) for x in out}) > 5
+    for cfg in (noise.Noise(random=0.0), noise.Noise(random=0.0, span_rate=3.0)):
+        for x in noise.mask(rows(), cfg).lists():
+            assert x.count(3) == math.ceil(0.3 * 30) and (x[0], x[-1]) == (1, 2)
+    assert all(len(x) == 32 + math.ceil(0.2 * 32) and (x[0], x[-1]) == (1, 2) for x in noise.insert(rows(), n).lists())
     assert noise.add_noise(ids, 7, noise.TRAINING) == noise.add_noise(ids, 7, noise.TRAINING) != noise.add_noise(ids, 8, noise.TRAINING)
-    assert noise.add_noise([1, 2], 7, n) == [1, 2]
+    assert noise.add_noise(ids, 7, noise.TRAINING, 1) != noise.add_noise(ids, 7, noise.TRAINING)
+    assert noise.add_noise([1, 2], 7, n) == [1, 2] and noise.add_noise([], 7, n) == []
     for bad in ({"mask": 1.5}, {"span_rate": 0.0}):
         with pytest.raises(ValueError):
             noise.Noise(**bad)
     df = spark.createDataFrame([(1, ids), (2, [1, 2]), (3, None)], "id int, ids array<int>")
     out = {r.id: r.x for r in df.select("id", noise.masked_by_rank(F.col("ids"), F.col("id"), 0.3, 3).alias("x")).collect()}
     assert out[1].count(3) == 9 and out[2] == [1, 2] and out[3] is None
+    out = {r.id: r.x for r in df.select("id", noise.noised(F.col("ids"), F.col("id"), n, most=10).alias("x")).collect()}
+    assert out == {1: noise.add_noise(ids, 1, n), 2: [1, 2], 3: None}
+
+
+def plain_noise(ids, key, n):
+    """The steps one row and one token at a time."""
+    draw = lambda kind, place: int(noise.draws(np.array([key]), kind, place)[0])
+    ids = list(ids)
+    token = lambda kind, place: n.first_random + draw(kind, place) % (n.vocabulary - n.first_random)
+    if n.permute and len(ids) > 2:
+        parts = [[]]
+        for x in ids[1:-1]:
+            parts[-1].append(x)
+            if x == n.stop_id:
+                parts.append([])
+        parts = [p for p in parts if p]
+        if len(parts) > 1:
+            chosen = sorted(range(len(parts)), key=lambda p: (draw(noise.PERMUTE, p), p))[: math.ceil(n.permute * len(parts))]
+            moved = list(parts)
+            for slot, p in zip(sorted(chosen), chosen):
+                moved[slot] = parts[p]
+            ids = [ids[0], *[x for p in moved for x in p], ids[-1]]
+    if n.mask and len(ids) > 2:
+        size = len(ids) - 2
+        count = math.ceil(n.mask * size)
+        at = sorted(range(1, size + 1), key=lambda i: (draw(noise.MASK, i), i))[:count]
+        for i in at:
+            ids[i] = token(noise.MASK_TOKEN, i) if draw(noise.RANDOM, i) < n.random * noise.P else n.mask_id
+    if n.insert and len(ids) > 2:
+        count = math.ceil(n.insert * len(ids))
+        places = sorted((1 + draw(noise.INSERT, j) % (len(ids) - 1), j) for j in range(count))
+        new = [(at, token(noise.INSERT_TOKEN, r) if r < math.ceil(n.random * count) else n.mask_id) for r, (at, _) in enumerate(places)]
+        for at, x in reversed(new):
+            ids.insert(at, x)
+    if n.rotate and len(ids) > 2 and draw(noise.ROTATE, 0) < n.rotate * noise.P:
+        k = draw(noise.SHIFT, 0) % (len(ids) - 2)
+        ids = [ids[0], *ids[1 + k : -1], *ids[1 : 1 + k], ids[-1]]
+    return ids
+
+
+def test_noise_equals_one_token_at_a_time():
+    r = np.random.default_rng(2)
+    lists = [r.choice([4, 7, 8, 50], size=k).tolist() for k in (0, 1, 2, 3, 4, 5, 9, 30, 200)]
+    for n in (noise.TRAINING, noise.Noise(mask=0.4, random=0.5, insert=0.3, permute=0.6, rotate=0.7), noise.Noise(mask=0, rotate=1.0), noise.Noise(mask=1.0, random=1.0, rotate=0)):
+        keys = list(range(100, 100 + len(lists)))
+        assert noise.noised_rows(noise.Rows.of(lists, keys), n).lists() == [plain_noise(x, k, n) for x, k in zip(lists, keys)]
 
 
 def test_metrics(spark):
