@@ -433,10 +433,9 @@ def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enoug
         links = joined(links, cut(_confirmed(best, sets)))
         comps = components(links)
         now = _of(met.select("key", "band", "id"), comps)
-        opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
-        left = cut(now.join(opened, "key").select("key", "band", "id", "component", "n"))
-        before, n, most = n, *left.agg(F.count("*"), F.max("n")).first()
-        left = left.drop("n")
+        opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        left = cut(now.join(opened, "key", "left_semi").select("key", "band", "id", "component"))
+        before, n, most = n, *left.groupBy("key").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
         if not n or most <= small or before is not None and n > enough * before:
             break
     side = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
