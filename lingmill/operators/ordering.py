@@ -26,11 +26,12 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str, start:
 
 
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
-    """Adds `name`: 0, 1 and so on in order within each group of keys. A group of any size is spread over tasks."""
+    """Adds `name`: 0, 1 and so on in order within each group of keys. A group of any size is spread over tasks;
+    groups are few (languages, buckets), since their first numbers are broadcast."""
     rows = number_rows(df, [*keys, *order], "_number")
     first = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_number").alias("_first"))
     same = None
     for k in keys:
         test = F.col(k).eqNullSafe(F.col(f"_{k}"))
         same = test if same is None else same & test
-    return rows.join(first, same).withColumn(name, F.col("_number") - F.col("_first")).drop("_number", "_first", *[f"_{k}" for k in keys])
+    return rows.join(F.broadcast(first), same).withColumn(name, F.col("_number") - F.col("_first")).drop("_number", "_first", *[f"_{k}" for k in keys])

@@ -31,9 +31,9 @@ def mined_transform(raw: DataFrame, source: tuple[str, str], target: tuple[str,
 
 
 def frequent(df: DataFrame, code: str, min_samples: int) -> DataFrame:
-    """Rows of languages with more than min_samples rows."""
+    """Rows of languages with more than min_samples rows. A language is one row of what is broadcast, so its texts aren't dealt by it."""
     many = df.groupBy(code).agg(F.count("*").alias("_n")).filter(F.col("_n") > min_samples).select(code)
-    return df.join(many, code, "left_semi")
+    return df.join(F.broadcast(many), code, "left_semi")
 
 
 def seed_pairs(seed: DataFrame, *, min_samples: int = 0, dataset: str = "seed") -> DataFrame:
