@@ -36,14 +36,20 @@ def made_once(make: bytes) -> object:
     return pickle.loads(make)()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, so that what a task makes of one at a time is small whatever Spark sends; no bytes are copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, *, remove: Sequence[str] = (), rows: int = 1000) -> DataFrame:
     """f over at most `rows` rows of df at a time, without the columns to remove; it returns batches of schema."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield f(batch.slice(at, rows))
+        for piece in pieces(batches, rows):
+            yield f(piece)
 
     return df.drop(*remove).mapInArrow(run, schema)
 
@@ -69,12 +75,12 @@ def map_model(df: DataFrame, task: str, make: Callable[[], TextModel], text: str
 
 def buffer_shuffled(df: DataFrame, buffer: int, seed: int = 42) -> DataFrame:
     """Each task's rows through a buffer: a row takes a random one's place, which goes out; at the end the buffer
-    goes out in random order. A task holds `buffer` rows and a batch. Works on streams too, a micro-batch at a time."""
+    goes out in random order. A task holds `buffer` rows, a batch and what a piece of it pushes out. Works on streams too, a micro-batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
         held: pa.Table | None = None
-        for batch in batches:
+        for batch in pieces(batches):
             rows = pa.Table.from_batches([batch])
             first = held.num_rows if held else 0
             rows = pa.concat_tables([held, rows]) if held else rows
