@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import ship_package
+from .mapping import pieces
 
 MULTIPLIERS = (1_000_003, 40_503_001, 1_566_083_941, 2_038_074_743)
 MIX = 2_083_697_005
@@ -71,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch], *, orders: tuple[int, ...], bits:
         held.clear()
         return rows
 
-    for batch in batches:
+    for batch in pieces(batches):
         labels, texts = batch.column("label").to_pylist(), batch.column("text").to_pylist()
         for own in _slices(texts):
             points, ends = code_points([t.lower() for t in texts[own]])
@@ -158,7 +159,7 @@ class Classifier:
 
 
 def _score(batches: Iterator[pa.RecordBatch], *, model, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         arrays, names = list(batch.columns), list(batch.schema.names)
         for c in columns:
             texts, labels, share = batch.column(c).to_pylist(), [], []
