@@ -312,7 +312,8 @@ def dedup_increments(spark, d):
     """The pairs in three batches, each against the index of the keys before it: the rows of one run over all."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/keys-{uuid.uuid4().hex}"
-    kept = _kept(spark, d)
+    # three batches read the pairs six times: they are made once
+    kept = cut(_kept(spark, d).select("id", "sid", "tid", *[f"{s}_{c}" for s in ("source", "target") for c in ("text", "nllb_code")]))
     last = kept.agg(F.max("sid").alias("n")).first().n or 0
     out, low = None, None
     for k, high in enumerate((last // 2, last // 2 + last // 4, last)):
