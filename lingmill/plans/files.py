@@ -69,7 +69,7 @@ def resumed_files(spark, d):
         shards = docs.withColumn("shard", F.pmod(F.col("doc_id"), F.lit(3)))
         shards.filter("shard = 0").drop("shard").write.parquet(f"{p}/in/first")
         resume.by_file(spark, f"{p}/in", f"{p}/done", stage)
-        shards.filter("shard <> 0").drop("shard").repartition(2).write.parquet(f"{p}/in/second")
+        shards.filter("shard <> 0").drop("shard").write.parquet(f"{p}/in/second")
         resume.by_file(spark, f"{p}/in", f"{p}/done", stage)
 
     return _through(spark, write, lambda p: spark.read.parquet(f"{p}/done").select("doc_id", "n"))
