@@ -62,3 +62,12 @@ def test_languages_share_what_is_shuffled(spark):
     before = shuffled(spark)
     assert r.xsim(emb).agg(F.sum("n")).first()[0] == 1200 * 19
     assert shuffled(spark) - before < 3e6  # a copy for each pair of languages made 8 MB
+
+
+def test_sql_makes_no_row_for_each_pair(spark):
+    """A block of targets is one row to a query, and its best are all that leaves it; queries are dealt over all tasks."""
+    own = table(spark, "v", np.random.default_rng(1).standard_normal((40, 4)))
+    found = r.sql_nearest(own, own, F.lit(True), 1, block=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "array_min" in plan and "RepartitionByExpression" in plan
+    assert {(v.i, v.j) for v in found.collect()} == {(i, i) for i in range(40)}
