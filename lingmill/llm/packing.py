@@ -11,10 +11,12 @@ by the block length. Each round is cut in the shared checkpoint folder.
 from __future__ import annotations
 
 import gc
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -33,23 +35,41 @@ _BINS = f"load int, done boolean, members array<{MEMBER}>"
 #: only at their start or among white space, and none looks back, so the ids on either side don't depend on the other.
 BOUNDARY = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
 
+_LETTER, _SIGN, _ASCII = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-/:-@\[-`{-~", r"(?=[\x00-\x7f]|\Z)"
+#: Runs of one or more whole pre-tokens, from a place where one starts: a word, signs, a line end, a number or a contraction that what
+#: follows can't lengthen; else all up to the next boundary. They make up the text.
+_RUNS = re.compile(
+    rf" ?[{_LETTER}]++{_ASCII}|(?: [{_SIGN}]|(?!')[{_SIGN}])[{_SIGN}]*+(?=[A-Za-z0-9 \n]|\Z)|\n(?=[!-~{_LETTER}])"
+    rf"| ?[0-9]++{_ASCII}|'(?:[stmd]|re|ve|ll)|(?s:.)+?(?:{BOUNDARY.pattern}|\Z)"
+)
+#: Runs that stand as a line of their own: white space is at most one space, at the start, and inside.
+_LINE = re.compile(r" ?[!-~\w](?:.*[!-~\w])?")
 
-class Encoder:
-    """Ids of whole texts by the library's tokenizer at path, with a memo of the ids of short runs between boundaries.
 
-    The memo starts anew when it holds `memo` runs. Texts are taken in slices of about
-    `slice_chars`, cut at boundaries; a run without one goes to the library whole. New runs from inside a slice go to
-    the library as lines of one text: a line end before a space is a pre-token, and a token, of its own.
+class Encoder:
+    """Ids of whole texts by the library's tokenizer at path, with a memo of the ids of short runs of pre-tokens.
+
+    The memo has two generations of about `memo` runs: when the younger is full it takes the older's place, and what is met again comes back
+    from there, so runs that are met often stay. Texts are taken in slices of about
+    `slice_chars`, cut at boundaries, and slices in runs: a word and the signs after it are two, so few runs are new.
+    A stretch that only boundaries cut goes to the library whole. New runs go to
+    the library as lines of one text: a line end before anything but white space is a pre-token, and a token, of its own.
+    Added tokens are taken out first, as the library does; texts with one that takes more than its own characters go whole.
     """
 
-    def __init__(self, path: str, memo: int = 200_000, longest: int = 40, slice_chars: int = 1 << 20, lines: int = 4096):
+    def __init__(self, path: str, memo: int = 200_000, longest: int = 40, slice_chars: int = 1 << 17, lines: int = 64):
         from tokenizers import Tokenizer
 
         self.library, self.most, self.longest, self.slice_chars, self.lines = Tokenizer.from_file(path), memo, longest, slice_chars, lines
-        ends = {tuple(self.library.encode(x, add_special_tokens=False).ids[-2:-1]) for x in ("a\n b", "7\n 7", "!\n !")}
+        ends = {tuple(self.library.encode(x, add_special_tokens=False).ids[1:-1]) for x in ("a\n b", "7\n 7", "!\n !", "a\nb", "7\n7", "!\n!")}
         alone = self.library.encode("\n", add_special_tokens=False).ids
         self.line_end = alone[0] if ends == {tuple(alone)} and len(alone) == 1 else None
+        added = sorted(self.library.get_added_tokens_decoder().values(), key=lambda t: -len(t.content))
+        pattern = lambda some: re.compile("(" + "|".join(re.escape(t.content) for t in some) + ")") if some else None
+        self.added, self.contents = pattern(added), {t.content for t in added}
+        self.greedy = pattern([t for t in added if t.single_word or t.lstrip or t.rstrip or t.normalized])
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -61,16 +81,21 @@ class Encoder:
             at = found.start()
         yield text[at:] if at else text
 
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text's slices and added tokens, in order, and whether one goes to the library whole."""
+        if self.greedy and self.greedy.search(text):
+            yield text, True
+            return
+        for k, part in enumerate(self.added.split(text) if self.added else [text]):
+            yield from [(part, True)] if k % 2 else ((x, False) for x in self._slices(part))
+
     def _raw(self, runs: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
 
-    def _learn(self, inner: set[str], other: set[str]) -> list[str]:
-        """Puts the ids of runs into the memo; inner ones start with a space and end with a character that is no white space. Returns the long runs."""
-        new = inner.difference(self.memo)
-        rest = other.difference(self.memo)
-        plain = [r for r in new if "\n" not in r] if self.line_end is not None else []
-        if len(plain) < len(new):
-            rest.update(new.difference(plain))
+    def _learn(self, new: set[str]) -> list[str]:
+        """Puts the ids of runs into the memo. Returns the long ones."""
+        plain = [r for r in new if _LINE.fullmatch(r) and r not in self.contents] if self.line_end is not None else []
+        rest = list(new.difference(plain))
         parts = [plain[at : at + self.lines] for at in range(0, len(plain), self.lines)]
         for part, e in zip(parts, self.library.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
@@ -79,10 +104,9 @@ class Encoder:
                 raw, cuts = ids.tobytes(), (4 * ends).tolist()
                 self.memo.update(zip(part, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]))
             else:
-                rest.update(part)
-        some = list(rest)
-        self.memo.update(zip(some, self._raw(some)))
-        return [r for r in (*new, *some) if len(r) > self.longest]
+                rest.extend(part)
+        self.memo.update(zip(rest, self._raw(rest)))
+        return [r for r in new if len(r) > self.longest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
@@ -90,8 +114,8 @@ class Encoder:
         held: list[tuple[int, list[str]]] = []
         chars = 0
         for i, text in enumerate(texts):
-            for part in self._slices(text):
-                held.append((i, BOUNDARY.split(part)))
+            for part, whole in self._parts(text):
+                held.append((i, [part] if whole else _RUNS.findall(part)))
                 chars += len(part)
                 if chars >= self.slice_chars:
                     self._flush(held, out)
@@ -100,19 +124,30 @@ class Encoder:
         return [b"".join(x) for x in out]
 
     def _flush(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        inner = set().union(*[rs[1:-1] for _, rs in held])
-        long = self._learn(inner, {r for _, rs in held for r in (rs[0], rs[-1])})
-        for i, rs in held:
-            out[i].append(b"".join(map(self.memo.__getitem__, rs)))
+        new: set[str] = set()
+        for _, runs in held:
+            new.update(filterfalse(self.memo.__contains__, runs))
+        known = [r for r in new if r in self.old]
+        self.memo.update(zip(known, map(self.old.__getitem__, known)))
+        long = self._learn(new.difference(known))
+        for i, runs in held:
+            out[i].append(b"".join(map(self.memo.__getitem__, runs)))
         held.clear()
         if len(self.memo) >= self.most:
-            self.memo = {}
+            self.memo, self.old = {}, self.memo
         for r in long:
             self.memo.pop(r, None)
+            self.old.pop(r, None)
+
+    def rest(self) -> None:
+        """Keeps one generation, for the next task."""
+        self.memo, self.old = {}, max(self.memo, self.old, key=len)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
+    # a task has one core; the library's threads would only contend with those of other tasks
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
@@ -141,8 +176,8 @@ def _tokenize(batches: Iterator[pa.RecordBatch], *, path: str, end_id: int, capa
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
         trim()
-    # the worker waits for tasks of other stages with what is left here
-    own.memo = {}
+    # the worker may wait for tasks of other stages with what is left here
+    own.rest()
     gc.collect()
     trim()
 

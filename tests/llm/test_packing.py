@@ -43,6 +43,25 @@ def test_boundaries_hold_beside_every_character(library):
     assert same(own, library, [f"a{c} b {c}d 1{c} c{c}e f{c} .{c} {c}" for c in points])
 
 
+def test_signs_and_line_ends_make_no_new_runs(library):
+    """A word is asked of the library once, whatever stands after it: before, each of these pairs was a run of its own."""
+    words, after = [f"{a}{b}é" for a in "bcdfghjklm" for b in "aeiou"], [".", ",", "!?", ".\n", "\n", "'s", ' "', "&&&", " 12", ")"]
+    text = " " + " ".join(w + x for w in words for x in after)
+    own = Encoder(PATH)
+    assert same(own, library, [text, text[::-1]])
+    own = Encoder(PATH)
+    own.encode([text])
+    assert len(own.memo) <= 2 * len(words) + len(after) + 10
+
+
+def test_runs_of_mixed_characters_equal_the_library(library):
+    r = random.Random(5)
+    bits = [*"aZ9'.,-(<|> \n\t\r\x00\x1c\x1f\x7f\x85\xa0\xb5\xaa\xb2éÿ×š٣日\u0301\u200b\u2028😀", "  ", "\n\n", "'s", "'LL", " 're", "<|endoftext|>", "word", " word", "12", "__", "n't"]
+    texts = ["".join(r.choices(bits, k=r.randint(1, 40))) for _ in range(20_000)]
+    assert same(Encoder(PATH), library, texts)
+    assert same(Encoder(PATH, memo=50, longest=6, slice_chars=11, lines=3), library, texts[:4000])
+
+
 def test_very_long_texts(library):
     own = Encoder(PATH)
     assert same(own, library, ["x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "a" * 2_000_000, "a \n" * 700_000, "some words " * 200_000])
