@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from .common import cut, ship_package, text_of, trim
-from .components import components
+from .components import components, extended
 
 ROWS, BANDS = 5, 56
 REGISTERS = ROWS * BANDS
@@ -412,14 +412,14 @@ def _rest(left: DataFrame, waiting: DataFrame, comps: DataFrame, classes: DataFr
     return cells.mapInArrow(_confirm, "a long, b long")
 
 
-def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enough: float = 0.75, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Links, likely pairs that were no document's best, components, and what is left open, (key, band, id, component), after rounds of pivots.
+def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enough: float = 0.75, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Likely pairs that were no document's best, components, and what is left open, (key, band, id, component), after rounds of pivots.
 
     In a round each open bucket compares its members with a fresh pivot, which then leaves it. Members stand in the
     same order in every bucket, so buckets that share most of their members share pivots, and pairs. Rounds go on while there are
     open buckets of more than `small` members and a round leaves at most `enough` of the open rows.
     """
-    links, waiting, left, n = None, None, _of(members, None), None
+    comps, waiting, left, n = None, None, _of(members, None), None
     joined = lambda a, b: b if a is None else a.unionAll(b)
     while True:
         place = F.struct(F.xxhash64("id"), "id", "component")
@@ -430,8 +430,7 @@ def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enoug
         ends = likely.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("end"))
         best = ends.groupBy("end").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         waiting = joined(waiting, likely.select("a", "b").join(best, ["a", "b"], "left_anti"))
-        links = joined(links, cut(_confirmed(best, sets)))
-        comps = components(links)
+        comps = extended(comps, cut(_confirmed(best, sets)))
         now = _of(met.select("key", "band", "id"), comps)
         opened = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         left = cut(now.join(opened, "key", "left_semi").select("key", "band", "id", "component"))
@@ -440,7 +439,7 @@ def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, enoug
             break
     side = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
     across = waiting.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    return links, across.select("a", "b"), comps, left
+    return across.select("a", "b"), comps, left
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -463,10 +462,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
     sets = cut(sets.distinct() if repeated else sets)
 
-    links, waiting, comps, left = _pivot_rounds(members, classes, sets)
+    waiting, comps, left = _pivot_rounds(members, classes, sets)
     more = cut(_rest(left, waiting, comps, classes, sets))
     if more.limit(1).count():
-        comps = components(links.unionAll(more))
+        comps = extended(comps, more)
 
     named = classes.select("digest", F.col("id").alias("class_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")

@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from lingmill.llm.components import components
+from lingmill.llm import minhash
+from lingmill.llm.components import components, extended
 from lingmill.llm.minhash import estimate, near_duplicates, registers, shingle_sets
 
 SCHEMA = "doc_id long, text string, kept string, n_shingles int, digest string"
@@ -88,3 +89,29 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (7, 8), (5, 5), (4, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (25, 26), (3, None)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 7, 8: 7, 7: 7} | {k: 20 for k in range(20, 27)}
+
+
+def test_extended_components(spark):
+    r = random.Random(4)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(240)]
+    table = lambda some: spark.createDataFrame(some, "a long, b long").filter("a <> b").localCheckpoint()
+    comps = None
+    for at in range(0, 240, 60):
+        comps = extended(comps, table(links[at : at + 60]))
+    comps = extended(comps, table([]))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(comps) == rows(components(table(links)))
+
+
+def test_a_round_contracts_its_own_links_only(spark, monkeypatch):
+    """Before, each round of pivots contracted the links of all rounds before again."""
+    seen = []
+
+    def recorded(comps, links):
+        seen.append({tuple(x) for x in links.select("a", "b").collect()})
+        return extended(comps, links)
+
+    monkeypatch.setattr(minhash, "extended", recorded)
+    rows = fixture()
+    assert run(spark, rows) == brute(rows)
+    assert len(seen) > 1 and sum(map(len, seen)) == len(set().union(*seen))
