@@ -14,13 +14,15 @@ import gc
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
-from itertools import filterfalse
+from itertools import filterfalse, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,10 @@ _RUNS = re.compile(
     rf" ?[{_LETTER}]++{_ASCII}|(?: [{_SIGN}]|(?!')[{_SIGN}])[{_SIGN}]*+(?=[A-Za-z0-9 \n]|\Z)|\n(?=[!-~{_LETTER}])"
     rf"| ?[0-9]++{_ASCII}|'(?:[stmd]|re|ve|ll)|(?s:.)+?(?:{BOUNDARY.pattern}|\Z)"
 )
+#: Runs that are one pre-token, and go to the library's model without its search for pre-tokens.
+_ONE = re.compile(rf" ?(?:[{_LETTER}]+|[{_SIGN}]+|[0-9]+)")
+#: For Arrow: a space that does not stand so, but for one at the start of a text.
+_OTHER_SPACE = r"[^!-~\pL\pN_] | (?:[^!-~\pL\pN_]|$)"
 #: Runs that stand as a line of their own: white space is at most one space, at the start, and inside.
 _LINE = re.compile(r" ?[!-~\w](?:.*[!-~\w])?")
 
@@ -49,18 +55,22 @@ _LINE = re.compile(r" ?[!-~\w](?:.*[!-~\w])?")
 class Encoder:
     """Ids of whole texts by the library's tokenizer at path, with a memo of the ids of short runs of pre-tokens.
 
+    Texts without added tokens whose spaces are all boundaries are split into words by Arrow, and only the distinct words of all
+    texts given at once are cut in runs. Other texts, and those of more than `longest_text` bytes, are cut in runs as a whole.
+
     The memo has two generations of about `memo` runs: when the younger is full it takes the older's place, and what is met again comes back
-    from there, so runs that are met often stay. Texts are taken in slices of about
+    from there, so runs that are met often stay. Other texts are taken in slices of about
     `slice_chars`, cut at boundaries, and slices in runs: a word and the signs after it are two, so few runs are new.
     A stretch that only boundaries cut goes to the library whole. New runs go to
     the library as lines of one text: a line end before anything but white space is a pre-token, and a token, of its own.
     Added tokens are taken out first, as the library does; texts with one that takes more than its own characters go whole.
     """
 
-    def __init__(self, path: str, memo: int = 200_000, longest: int = 40, slice_chars: int = 1 << 17, lines: int = 64):
+    def __init__(self, path: str, memo: int = 300_000, longest: int = 40, slice_chars: int = 1 << 17, lines: int = 64, longest_text: int = 1 << 23):
         from tokenizers import Tokenizer
 
         self.library, self.most, self.longest, self.slice_chars, self.lines = Tokenizer.from_file(path), memo, longest, slice_chars, lines
+        self.longest_text, self.byte_chars = longest_text, _byte_chars()
         ends = {tuple(self.library.encode(x, add_special_tokens=False).ids[1:-1]) for x in ("a\n b", "7\n 7", "!\n !", "a\nb", "7\n7", "!\n!")}
         alone = self.library.encode("\n", add_special_tokens=False).ids
         self.line_end = alone[0] if ends == {tuple(alone)} and len(alone) == 1 else None
@@ -68,6 +78,8 @@ class Encoder:
         pattern = lambda some: re.compile("(" + "|".join(re.escape(t.content) for t in some) + ")") if some else None
         self.added, self.contents = pattern(added), {t.content for t in added}
         self.greedy = pattern([t for t in added if t.single_word or t.lstrip or t.rstrip or t.normalized])
+        probes = ["a", " word", " 12", "7", "!?", " ...", "é", " Ünïcödé", "antidisestablishmentarianism", " '"]
+        self.by_model = self._by_model(probes) == self._raw(probes)
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -92,10 +104,19 @@ class Encoder:
     def _raw(self, runs: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
 
+    def _by_model(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs that are one pre-token each, by the library's model, which takes a character for each byte."""
+        tokenize = self.library.model.tokenize
+        taken = "\n".join(runs).encode().decode("latin-1").translate(self.byte_chars).split(self.byte_chars[10]) if runs else []
+        return [array("I", [t.id for t in tokenize(r)]).tobytes() for r in taken]
+
     def _learn(self, new: set[str]) -> list[str]:
         """Puts the ids of runs into the memo. Returns the long ones."""
-        plain = [r for r in new if _LINE.fullmatch(r) and r not in self.contents] if self.line_end is not None else []
-        rest = list(new.difference(plain))
+        one = [r for r in new if _ONE.fullmatch(r) and r not in self.contents] if self.by_model else []
+        self.memo.update(zip(one, self._by_model(one)))
+        rest = new.difference(one)
+        plain = [r for r in rest if _LINE.fullmatch(r) and r not in self.contents] if self.line_end is not None else []
+        rest = list(rest.difference(plain))
         parts = [plain[at : at + self.lines] for at in range(0, len(plain), self.lines)]
         for part, e in zip(parts, self.library.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
@@ -108,8 +129,40 @@ class Encoder:
         self.memo.update(zip(rest, self._raw(rest)))
         return [r for r in new if len(r) > self.longest]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        other = pc.or_(pc.match_substring_regex(texts, _OTHER_SPACE), pc.greater(pc.binary_length(texts), self.longest_text))
+        for content in self.contents:
+            other = pc.or_(other, pc.match_substring(texts, content))
+        out = np.empty(len(texts), dtype=object)
+        for which, own in ((pc.invert(other), self._by_words), (other, lambda x: self._by_slices(x.to_pylist()))):
+            if len(some := texts.filter(which)):
+                out[which.to_numpy(zero_copy_only=False)] = own(some)
+        return out.tolist()
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts whose spaces are all boundaries."""
+        split = pc.split_pattern(texts, " ")
+        words, bounds = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        # only a text's first word can be empty, and no space stands before it: first words are encoded by themselves
+        distinct = pc.if_else(pc.equal(words.dictionary, ""), "a", words.dictionary)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), pa.scalar(" ", distinct.type))[0].as_py()
+        runs = _RUNS.findall(" " + joined)
+        starts = [k for k, r in enumerate(runs) if r[0] == " "]
+        if len(starts) == len(distinct):
+            raw = self._ids([runs])[0]
+            ends = np.cumsum([0, *map(len, raw)])[[*starts, len(raw)]]
+        else:  # what Arrow and Python call a letter differs
+            raw = self._by_slices([" " + w for w in distinct.to_pylist()])
+            ends = np.cumsum([0, *map(len, raw)])
+        own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(b"".join(raw))])
+        taken = own.take(words.indices)
+        at, data = np.frombuffer(taken.buffers()[1], dtype="<i8"), memoryview(taken.buffers()[2] or b"")
+        first = self._by_slices(words.take(pa.array(bounds[:-1])).cast(pa.large_string()).to_pylist())
+        return [f + data[a:b] for f, a, b in zip(first, at[bounds[:-1] + 1].tolist(), at[bounds[1:]].tolist())]
+
+    def _by_slices(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
         chars = 0
@@ -124,26 +177,38 @@ class Encoder:
         return [b"".join(x) for x in out]
 
     def _flush(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        for (i, _), raw in zip(held, self._ids([runs for _, runs in held])):
+            out[i].append(b"".join(raw))
+        held.clear()
+
+    def _ids(self, held: list[list[str]]) -> list[list[bytes]]:
+        """The ids of each run of some lists of runs."""
         new: set[str] = set()
-        for _, runs in held:
+        for runs in held:
             new.update(filterfalse(self.memo.__contains__, runs))
         known = [r for r in new if r in self.old]
         self.memo.update(zip(known, map(self.old.__getitem__, known)))
         long = self._learn(new.difference(known))
-        for i, runs in held:
-            out[i].append(b"".join(map(self.memo.__getitem__, runs)))
-        held.clear()
+        out = [list(map(self.memo.__getitem__, runs)) for runs in held]
         if len(self.memo) >= self.most:
             self.memo, self.old = {}, self.memo
         for r in long:
             self.memo.pop(r, None)
             self.old.pop(r, None)
+        return out
 
     def rest(self) -> None:
         """Keeps one generation, for the next task."""
         self.memo, self.old = {}, max(self.memo, self.old, key=len)
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: its own if it can be seen, else one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     # a task has one core; the library's threads would only contend with those of other tasks
@@ -165,10 +230,13 @@ def _tokenize(batches: Iterator[pa.RecordBatch], *, path: str, end_id: int, capa
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
+        # texts that come to about as many bytes as one may have to go by words
+        bytes_at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(bytes_at // own.longest_text)) + 1
+        for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
             out: list[list] = [[] for _ in names]
-            part = batch.slice(at, 256)
-            for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist())):
+            part = batch.slice(a, b - a)
+            for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1))):
                 ids += end
                 for piece, (start, length) in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     raw = ids[4 * start : 4 * (start + length)]

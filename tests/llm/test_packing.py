@@ -54,6 +54,30 @@ def test_signs_and_line_ends_make_no_new_runs(library):
     assert len(own.memo) <= 2 * len(words) + len(after) + 10
 
 
+def test_words_of_texts_given_at_once_are_looked_up_once(library):
+    """Before, each of these words was cut and looked up again wherever it stood."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    own, texts = Encoder(PATH), [" ".join(["Some", "words,", "again", "(and", "été)."] * 2000), " at first", "", " ", "12 monkeys' 'll"]
+    own.memo = memo = Counted()
+    assert same(own, library, texts)
+    assert memo.asked <= 40
+
+
+def test_texts_by_words_and_whole_equal_the_library(library):
+    """Spaces beside what Arrow, Python and the library may take for a letter, a sign or white space; texts over the limit go whole."""
+    r = random.Random(8)
+    bits = ["a", "é", "1", "_", "'s", "¿", "—", "日", "½", "\u0301", "\u200b", "\x1c", "\x85", "\xa0", "😀", "\U00010d4a", "\ua7cb", "\n", "\t", "<|endoftext|>"]
+    texts = [" ".join("".join(r.choices(bits[: r.randint(5, len(bits))], k=r.randint(1, 3))) for _ in range(r.randint(1, 12))) for _ in range(5000)]
+    assert same(Encoder(PATH), library, texts) and same(Encoder(PATH, longest_text=20), library, texts)
+
+
 def test_runs_of_mixed_characters_equal_the_library(library):
     r = random.Random(5)
     bits = [*"aZ9'.,-(<|> \n\t\r\x00\x1c\x1f\x7f\x85\xa0\xb5\xaa\xb2éÿ×š٣日\u0301\u200b\u2028😀", "  ", "\n\n", "'s", "'LL", " 're", "<|endoftext|>", "word", " word", "12", "__", "n't"]
