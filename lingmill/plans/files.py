@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
 from ..operators import resume, sinks
+from ..operators.ordering import number_rows, number_within
 from ..session import cut, delete_folder, ensure_checkpoint_dir
 from ..sources import readers
 from . import fixtures as fx
@@ -90,14 +91,25 @@ def shard_files(spark, d):
 @query(f"WITH {fx.BITEXT} SELECT row_number() OVER (ORDER BY sid, tid) - 1 AS line, replace(source_text, chr(10), ' ') AS source_text, replace(target_text, chr(10), ' ') AS target_text FROM bitext")
 def line_pair_files(spark, d):
     """Two line-aligned folders of text files, read in splits and zipped by line."""
-    pairs = fx.bitext(spark, d).select("sid", "tid", *[one_line(F.col(f"{s}_text")).alias(s) for s in ("source", "target")]).orderBy("sid", "tid")
+    # pairs are made and numbered without texts; a key, and a number among rows of one key, stand for a row
+    key, alike = F.xxhash64("doc_id", "source", "lang", "text").alias("key"), Window.partitionBy("key").orderBy("doc_id", "source", "lang")
+    named = lambda df, *more: df.select("doc_id", "source", "lang", key, *more).withColumn("copy", F.row_number().over(alike))
+    docs = fx.load(spark, d, "documents")
+    own = number_within(named(docs), ["source", "lang"], ["doc_id", "key"], "pos").withColumn("row", F.struct("key", "copy"))
+    a, b = (own.select("source", "pos", F.col("doc_id").alias(f"{p}id"), F.col("lang").alias(f"{p}_lang"), F.col("row").alias(f"{p}_row")) for p in "st")
+    pairs = number_rows(a.join(b, ["source", "pos"]).filter("s_lang < t_lang"), ["sid", "tid"], "line")
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), f"{side[0]}_row.key", f"{side[0]}_row.copy") for side in ("source", "target")]))
+    wanted = pairs.select("line", ends.alias("end")).select("line", "end.side", F.col("end.key").alias("of"), F.col("end.copy").alias("nth"))
+    texts = named(docs, one_line(F.col("text")).alias("value"))
+    # joined by the key alone, by which texts are dealt already
+    lines = wanted.join(texts, (F.col("of") == F.col("key")) & (F.col("nth") - F.col("copy") == 0)).orderBy("side", "line").select("side", "value")
 
     def write(p: str) -> None:
-        rows = cut(pairs)  # one order for both sides
-        for side in ("source", "target"):
-            rows.select(side).write.text(f"{p}/{side}")
+        lines.write.partitionBy("side").text(p)
+        for side in ("source", "target"):  # without pairs there would be no folder
+            spark.createDataFrame([], "value string").write.mode("append").text(f"{p}/side={side}")
 
-    back = _through(spark, write, lambda p: readers.text_pair(spark, f"{p}/source", f"{p}/target", "eng_Latn", "fra_Latn"))
+    back = _through(spark, write, lambda p: readers.text_pair(spark, f"{p}/side=source", f"{p}/side=target", "eng_Latn", "fra_Latn"))
     return back.select("line", "source_text", "target_text")
 
 

@@ -87,7 +87,8 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, line, value): every line with its number from 0 over the files in the order given.
 
     Files are read in splits, as Spark deals them. Within a split lines come in order, so a line's number is its
-    place there plus the lines of the splits before, of which there is one count each. An empty file has no line.
+    place there plus the lines of the splits before, of which there is one count each. Counts are broadcast, so lines
+    stay where they are read. An empty file has no line.
     """
     out = None
     for n, path in enumerate(paths):
@@ -97,7 +98,7 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     split = ["file", "path", "start"]
     counts = placed.groupBy(*split).agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy(*split)) - F.col("n")).select(*split, "first", "before")
-    return placed.join(before, split).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+    return placed.join(F.broadcast(before), split).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
 
 
 def text_pair(spark: SparkSession, source: str | list[str], target: str | list[str], source_code: str, target_code: str) -> DataFrame:
